@@ -20,7 +20,7 @@ CTES = {
         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'P' THEN 'paid' ELSE 'pending' END AS status,
         CAST(o_orderdate AS DATE) AS created_at FROM orders""",
     "paid": "SELECT * FROM ord WHERE status IN ('paid', 'shipped', 'delivered')",
-    "asof": "SELECT CAST(max(o_orderdate) AS DATE) + 1 AS as_of FROM orders",
+    "cal": "SELECT CAST(max(o_orderdate) AS DATE) + 1 AS as_of FROM orders",
     "tx": """SELECT l_orderkey AS invoice_no, l_partkey AS stock_code, p_name AS description, p_brand AS brand, p_type AS category,
         l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price, l_extendedprice AS line_total,
         CAST(round(l_extendedprice * 100) AS BIGINT) AS line_cents, o_orderdate AS invoice_date, o_custkey AS customer_id,
@@ -50,7 +50,7 @@ CTES = {
         UNION ALL SELECT order_id, 'shipped', 'delivered', shipped_on + 3, 3 FROM ord JOIN ship USING (order_id)
         WHERE status = 'delivered'""",
     "rfm0": """SELECT user_id, CAST(min(as_of) - max(created_at) AS INTEGER) AS recency, count(*) AS frequency,
-        CAST(sum(total_cents) AS BIGINT) AS monetary FROM paid, asof GROUP BY user_id""",
+        CAST(sum(total_cents) AS BIGINT) AS monetary FROM paid, cal GROUP BY user_id""",
     "rfm1": """SELECT *, CASE WHEN recency <= 30 THEN 5 WHEN recency <= 90 THEN 4 WHEN recency <= 180 THEN 3
         WHEN recency <= 365 THEN 2 ELSE 1 END AS r_score,
         CASE WHEN frequency >= 20 THEN 5 WHEN frequency >= 10 THEN 4 WHEN frequency >= 5 THEN 3 WHEN frequency >= 2 THEN 2
@@ -64,7 +64,7 @@ CTES = {
     "churn": """SELECT user_id, least(1.0::DOUBLE, recency / 365.0::DOUBLE) AS churn_prob,
         least(1.0::DOUBLE, recency / 365.0::DOUBLE) >= 0.5 AS is_churn_risk,
         CASE user_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'contacted' ELSE 'resolved' END AS status,
-        (SELECT as_of FROM asof) AS created_at FROM rfm""",
+        (SELECT as_of FROM cal) AS created_at FROM rfm""",
     "beh": """SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'add_to_cart'
         ELSE 'purchase' END AS action, value, ts FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
     "metric_log": """SELECT CASE event_type WHEN 'click' THEN 'Clustering' WHEN 'view' THEN 'Churn' WHEN 'purchase'
@@ -80,8 +80,8 @@ CTES = {
         max(created_at) AS created_at, max(id) AS id FROM metric_log GROUP BY 1, 2""",
 }
 _NEEDS = {
-    "paid": ["ord"], "sales": ["tx"], "carts": ["cart_adds"], "log": ["ord", "ship"], "rfm0": ["paid", "asof"],
-    "rfm1": ["rfm0"], "rfm": ["rfm1"], "churn": ["rfm", "asof"], "metrics": ["metric_log"],
+    "paid": ["ord"], "sales": ["tx"], "carts": ["cart_adds"], "log": ["ord", "ship"], "rfm0": ["paid", "cal"],
+    "rfm1": ["rfm0"], "rfm": ["rfm1"], "churn": ["rfm", "cal"], "metrics": ["metric_log"],
 }
 
 
