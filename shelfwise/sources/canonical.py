@@ -98,7 +98,11 @@ def with_ctes(names, body, extra=""):
     for n in names.split():
         visit(n)
     parts = [f"{n} AS ({CTES[n]})" for n in order] + ([extra.strip().rstrip(",")] if extra.strip() else [])
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    if not parts:
+        return body
+    own = body.lstrip()
+    joint = ",\n" + own[5:] if own.startswith("WITH ") else "\n" + body
+    return "WITH " + ",\n".join(parts) + joint
 
 
 def cents(col):
