@@ -83,9 +83,21 @@ def quantile_scalar(df: DataFrame, value, probs, **kw) -> Column:
     return exact_quantiles(df, value, probs, **kw).select("q").scalar()
 
 
-def add_scalars(df: DataFrame, **frames) -> DataFrame:
-    """Attach one-row, one-column frames as columns (scalar subqueries)."""
-    return df.withColumns({k: f.scalar() for k, f in frames.items()})
+def column_quantiles(df: DataFrame, cols, probs, method="auto") -> DataFrame:
+    """One row with an array of global quantiles per column, all columns in one pass."""
+    if method == "auto":
+        method = "merge" if df.count() <= MERGE_LIMIT else "split"
+    if method == "merge":
+        ps = F.array(*[F.lit(float(p)) for p in probs])
+        return df.agg(*[F.percentile(F.col(c).cast("double"), ps).alias(c) for c in cols])
+    long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_f", "_x")
+    q = exact_quantiles(long, "_x", probs, keys=["_f"], method="split", edges_per_key=True)
+    return q.agg(*[F.max(F.when(F.col("_f") == c, F.col("q"))).alias(c) for c in cols])
+
+
+def attach_quantiles(df: DataFrame, cols, probs, method="auto", name="_q") -> DataFrame:
+    """Add the global quantiles of ``cols`` as one struct column."""
+    return df.withColumn(name, column_quantiles(df, cols, probs, method).select(F.struct("*")).scalar())
 
 
 def bin_by_edges(value, edges) -> Column:
@@ -100,12 +112,9 @@ def bin_by_edges(value, edges) -> Column:
 
 
 def qcut(df: DataFrame, columns: dict, q: int, method="auto") -> DataFrame:
-    """Add a bin column per ``{out: (column, ...)}``; equal values share a bin."""
-    out = {}
-    for name, col in columns.items():
-        edges = quantile_scalar(df, col, [i / q for i in range(q + 1)], method=method)
-        out[name] = bin_by_edges(F.col(col), edges)
-    return df.withColumns(out)
+    """Add a bin column per ``{out: column}``; equal values share a bin."""
+    d = attach_quantiles(df, list(dict.fromkeys(columns.values())), [i / q for i in range(q + 1)], method)
+    return d.withColumns({out: bin_by_edges(F.col(c), F.col(f"_q.{c}")) for out, c in columns.items()}).drop("_q")
 
 
 def split_running_sum(df: DataFrame, keys, part, order, value, out) -> DataFrame:

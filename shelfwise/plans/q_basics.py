@@ -414,14 +414,14 @@ def _(t):
 
 
 @query("ag5_predictions_by_month", "paid", """WITH p AS (SELECT created_at AS d, sum(total_cents) / 100.0::DOUBLE AS a FROM paid GROUP BY 1)
-    SELECT strftime(d, '%Y-%m') AS month, round(sum(a), 2) AS pred_amount, round(sum(CASE WHEN day(d) % 5 = 0 THEN 0 ELSE a * 1.5 END), 2) AS pred_upper,
-    round(sum(a * 0.5), 2) AS pred_lower FROM p GROUP BY 1""")
+    SELECT strftime(d, '%Y-%m') AS month, round(sum(a), 4) AS pred_amount, round(sum(CASE WHEN day(d) % 5 = 0 THEN 0 ELSE a * 1.5 END), 4) AS pred_upper,
+    round(sum(a * 0.5), 4) AS pred_lower FROM p GROUP BY 1""")
 def _(t):
     p = K.sales_trend(t.orders).select(
         F.col("date").alias("pred_date"), (F.col("amount") / 100).alias("pred_amount"),
         F.when(F.day("date") % 5 != 0, F.col("amount") / 100 * 1.5).alias("pred_upper"), (F.col("amount") / 100 * 0.5).alias("pred_lower"))
     m = K.predictions_by_month(p)
-    return m.select("month", *[F.round(c, 2).alias(c) for c in m.columns[1:]])
+    return m.select("month", *[F.round(c, 4).alias(c) for c in m.columns[1:]])
 
 
 @query("ag6_sales_heatmap", "paid", """WITH m AS (SELECT DISTINCT strftime(created_at, '%Y-%m') AS month FROM paid ORDER BY 1 DESC LIMIT 6),
@@ -521,10 +521,10 @@ def _(t):
 
 
 @query("ag21_product_dimension", "sales", f"""SELECT stock_code, min(description) AS description, '{S.CATEGORY_NAME_DEFAULT}' AS category_name,
-    min(description) AS short_name, round(quantile_cont(unit_price, 0.5), 6) AS median_price FROM sales GROUP BY 1""")
+    min(description) AS short_name, round(quantile_cont(unit_price, 0.5), 10) AS median_price FROM sales GROUP BY 1""")
 def _(t):
     d = D.product_dimension(t.sales("stock_code", "description", "unit_price"))
-    return d.withColumn("median_price", F.round("median_price", 6))
+    return d.withColumn("median_price", F.round("median_price", 10))
 
 
 @query("ag22_user_dimension", "tx", """SELECT customer_id, min(country) AS country, 'customer_' || customer_id || '@customers.example' AS email FROM tx GROUP BY 1""")
@@ -545,14 +545,14 @@ def _(t):
         share(h.between(9, 17)).alias("office_ratio"))
 
 
-@query("ag35_group_quantiles", "sales", """SELECT customer_id, round(quantile_cont(unit_price, 0.25), 6) AS p25, round(quantile_cont(unit_price, 0.75), 6) AS p75,
+@query("ag35_group_quantiles", "sales", """SELECT customer_id, round(quantile_cont(unit_price, 0.25), 10) AS p25, round(quantile_cont(unit_price, 0.75), 10) AS p75,
     round(stddev_samp(unit_price) / greatest(avg(unit_price), 0.01), 6) AS cv FROM sales GROUP BY 1""")
 def _(t):
     s = t.sales("customer_id", "unit_price")
     q = exact_quantiles(s, "unit_price", [0.25, 0.75], keys=["customer_id"])
     cv = s.groupBy("customer_id").agg(F.round(F.stddev_samp("unit_price") / F.greatest(F.avg("unit_price"), F.lit(0.01)), 6).alias("cv"))
-    return q.join(cv, "customer_id").select("customer_id", F.round(F.get("q", F.lit(0)), 6).alias("p25"),
-                                            F.round(F.get("q", F.lit(1)), 6).alias("p75"), "cv")
+    return q.join(cv, "customer_id").select("customer_id", F.round(F.get("q", F.lit(0)), 10).alias("p25"),
+                                            F.round(F.get("q", F.lit(1)), 10).alias("p75"), "cv")
 
 
 # ---------------------------------------------------------------- sorts, paging, top-k
