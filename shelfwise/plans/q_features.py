@@ -303,7 +303,7 @@ def _(t):
 # ---------------------------------------------------------------- cluster features and label-based measures
 
 _KM1 = {"customer_id": None, "r_quintile": None, "f_quintile": None, "m_quintile": None, "product_diversity": None, "is_bulk_buyer": None,
-        "purchase_velocity": 8, "activity_rate": 8, "weekend_ratio": 6, "avg_spend_per_order": 5, "total_orders": None, "recency_days": None}
+        "purchase_velocity": 8, "activity_rate": 8, "weekend_ratio": 6, "avg_spend_per_order": 8, "total_orders": None, "recency_days": None}
 
 
 @query("km1_cluster_features", "sales", f"SELECT {rsql(_KM1)} FROM km", PROF + ", " + QUINT)
