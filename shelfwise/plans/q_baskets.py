@@ -82,8 +82,8 @@ def _(t):
     return brand_sets(t).select(F.array_join("items", ",").alias("items"), "freq")
 
 
-@query("ar3_support_ladder", "sales", "SELECT array_to_string(s, ',') AS items, f AS freq, 0.125::DOUBLE AS min_support FROM its",
-       itemset_sql("brand", "TRUE", 0.125, 3))
+@query("ar3_support_ladder", "sales", "SELECT array_to_string(s, ',') AS items, f AS freq, 0.005::DOUBLE AS min_support FROM its",
+       itemset_sql("brand", "TRUE", 0.005, 3))
 def _(t):
     sets, ms = B.itemsets_with_ladder(brand_baskets(t), 0.5)
     return sets.select(F.array_join("items", ",").alias("items"), "freq", F.lit(ms).alias("min_support"))
