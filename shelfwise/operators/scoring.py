@@ -38,10 +38,10 @@ def roc_points(df: DataFrame, y="label", p="score", points=50) -> DataFrame:
     """The ROC curve thinned to ``points`` evenly spaced score steps; starts at the origin."""
     r = ranked(df, y, p).withColumn("one", F.lit(1)).withColumn("_s", F.floor((1 - F.col("score")) * 1000))
     r = split_running_sum(r, [], "_s", [F.desc("score")], "one", "i").drop("_s", "one")
-    tot = r.agg(F.struct(F.max("tp").alias("P"), F.max("fp").alias("N"), F.max("i").alias("n")))
+    tot = r.agg(F.struct(F.max("tp").alias("P"), F.max("fp").alias("N"), F.max("i").alias("steps")))
     r = r.withColumn("_t", tot.scalar())
-    picks = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.floor(k * F.col("_t.n") / (points - 1)))
-    keep = (F.col("_t.n") + 1 <= points) | F.array_contains(picks, F.col("i").cast("long"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.floor(k * F.col("_t.steps") / (points - 1)))
+    keep = (F.col("_t.steps") + 1 <= points) | F.array_contains(picks, F.col("i").cast("long"))
     curve = r.where(keep).select((F.col("fp") / F.col("_t.N")).alias("fpr"), (F.col("tp") / F.col("_t.P")).alias("tpr"))
     origin = df.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(curve)

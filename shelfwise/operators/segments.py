@@ -84,11 +84,11 @@ def dispersion_scores(df: DataFrame, cols, key="cluster") -> DataFrame:
     return g.select("davies_bouldin", (F.col("_b") * (F.col("_n") - F.col("_k")) / (F.col("_w") * (F.col("_k") - 1))).alias("calinski_harabasz"))
 
 
-def adjusted_rand(pairs: DataFrame, a="a", b="b") -> DataFrame:
+def adjusted_rand(pairs: DataFrame, a="a", b="b", weight=None) -> DataFrame:
     """Adjusted Rand index of two labelings from their contingency counts."""
     def c2(n):
         return F.col(n) * (F.col(n) - 1) / 2
-    t = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
+    t = pairs.groupBy(a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     ra = t.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(c2("n"))).scalar()
     rb = t.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(c2("n"))).scalar()
     g = t.agg(F.sum(c2("n")).alias("s"), F.sum("n").alias("n")).withColumns({"ra": ra, "rb": rb})
