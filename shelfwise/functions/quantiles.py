@@ -1,4 +1,4 @@
-"""Exact quantiles that stay safe when one group holds most of the rows."""
+"""Exact quantiles, running sums and neighbours that stay safe when one group holds most of the rows."""
 
 from functools import reduce
 
@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 MERGE_LIMIT = 5_000_000
 
 
-def _edge_index(value, edges, fan=32):
-    """How many of the sorted ``edges`` are <= value, in two steps of ``fan``."""
-    coarse = F.filter(edges, lambda e, i: i % fan == 0)
-    step = F.size(F.filter(coarse, lambda e: e <= value))
-    fine = F.slice(edges, F.greatest(step - 1, F.lit(0)) * fan + 1, F.lit(fan))
-    return F.when(step == 0, 0).otherwise((step - 1) * fan + F.size(F.filter(fine, lambda e: e <= value)))
+FAN = 32
+
+
+def _edge_table(edges):
+    """Sorted edges as a two-level table: the first edge of every run, and the runs."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(edges), F.lit(1)), F.lit(FAN))
+    return F.struct(F.transform(starts, lambda i: F.try_element_at(edges, i)).alias("head"),
+                    F.transform(starts, lambda i: F.slice(edges, i, F.lit(FAN))).alias("runs"))
+
+
+def _edge_index(value, table):
+    """How many edges are <= value: first the run, then the place in it."""
+    run = F.size(F.filter(table["head"], lambda e: e <= value))
+    inside = F.size(F.filter(F.get(table["runs"], run - 1), lambda e: e <= value))
+    return F.when(run == 0, 0).otherwise((run - 1) * FAN + inside)
 
 
 def exact_quantiles(df: DataFrame, value, probs, keys=(), method="auto", splits=1024, edges_per_key=False):
@@ -39,10 +48,10 @@ def exact_quantiles(df: DataFrame, value, probs, keys=(), method="auto", splits=
     ks = keys or ["_k"]
     cuts = [i / splits for i in range(1, splits)]
     if edges_per_key:
-        edges = rows.groupBy(*ks).agg(F.percentile_approx("_v", cuts, 10000).alias("_e"))
+        edges = rows.groupBy(*ks).agg(F.percentile_approx("_v", cuts, 10000).alias("_e")).withColumn("_e", _edge_table(F.col("_e")))
         cut = rows.join(edges, ks)
     else:
-        edges = rows.agg(F.percentile_approx("_v", cuts, 10000).alias("_e"))
+        edges = rows.agg(F.percentile_approx("_v", cuts, 10000).alias("_e")).select(_edge_table(F.col("_e")))
         cut = rows.withColumn("_e", edges.scalar())
     counts = cut.withColumn("_b", _edge_index(F.col("_v"), F.col("_e"))).groupBy(*ks, "_b", "_v").agg(
         F.count("*").alias("_n"))
@@ -117,8 +126,8 @@ def qcut(df: DataFrame, columns: dict, q: int, method="auto") -> DataFrame:
     return d.withColumns({out: bin_by_edges(F.col(c), F.col(f"_q.{c}")) for out, c in columns.items()}).drop("_q")
 
 
-def split_running_sum(df: DataFrame, keys, part, order, value, out) -> DataFrame:
-    """Running total per ``keys`` in ``order``, computed on slices of a group.
+def split_running_sum(df: DataFrame, keys, part, order, sums: dict) -> DataFrame:
+    """Running totals ``{value: out}`` per ``keys`` in ``order``, computed on slices of a group.
 
     ``part`` names a column that rises with ``order`` (a day, a score band).
     Each slice is summed on its own; the totals of earlier slices come from an
@@ -127,9 +136,36 @@ def split_running_sum(df: DataFrame, keys, part, order, value, out) -> DataFrame
     keys = list(keys)
     ks = keys + [part]
     inner = Window.partitionBy(*ks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*ks).agg(F.sum(value).alias("_t"))
+    totals = df.groupBy(*ks).agg(*[F.sum(v).alias(f"_t_{o}") for v, o in sums.items()])
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(part).rowsBetween(
         Window.unboundedPreceding, 0)
-    offsets = totals.select(*ks, (F.sum("_t").over(across) - F.col("_t")).alias("_off"))
-    return df.withColumn("_run", F.sum(value).over(inner)).join(offsets, ks).withColumn(
-        out, F.col("_run") + F.col("_off")).drop("_run", "_off")
+    offsets = totals.select(*ks, *[(F.sum(f"_t_{o}").over(across) - F.col(f"_t_{o}")).alias(f"_off_{o}") for o in sums.values()])
+    run = df.withColumns({o: F.sum(v).over(inner) for v, o in sums.items()}).join(offsets, ks)
+    return run.withColumns({o: F.col(o) + F.col(f"_off_{o}") for o in sums.values()}).drop(*[f"_off_{o}" for o in sums.values()])
+
+
+def split_neighbor(df: DataFrame, keys, part, order, col, out, ahead=False) -> DataFrame:
+    """Previous (or next, with ``ahead``) value of ``col`` per ``keys`` in ``order``, on slices of a group.
+
+    Inside a slice it is a plain window; the first row of a slice takes the edge
+    value of the slice before it, found among one row per slice.
+    """
+    ks = [*keys, part]
+    w = Window.partitionBy(*ks).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(part)
+    pick, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    edge = df.groupBy(*ks).agg(pick(col, F.struct(*order)).alias("_v"))
+    edge = edge.select(*ks, shift("_v").over(across).alias("_carry"))
+    inside = F.when(shift(F.lit(1)).over(w) == 1, shift(col).over(w))
+    first = shift(F.lit(1)).over(w).isNull()
+    return df.withColumns({"_in": inside, "_first": first}).join(edge, ks).withColumn(
+        out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in"))).drop("_in", "_first", "_carry")
+
+
+def balanced_slices(df: DataFrame, col, out="_s", slices=1000, descending=True) -> DataFrame:
+    """Slice numbers that follow ``col`` and hold about equally many rows, from a bounded sketch of it."""
+    edges = df.agg(F.percentile_approx(F.col(col).cast("double"), [i / slices for i in range(1, slices)], 10000).alias("e")).select(
+        _edge_table(F.col("e"))).scalar()
+    d = df.withColumn("_e", edges)
+    at = _edge_index(F.col(col).cast("double"), F.col("_e"))
+    return d.withColumn(out, -at if descending else at).drop("_e")

@@ -44,23 +44,20 @@ def _yeo_johnson(x, lam):
 def yeo_johnson(df: DataFrame, cols, grid=tuple(i / 4 for i in range(-8, 9)), prefix="y_") -> DataFrame:
     """Power-transform each column with the grid value of best likelihood, then standardise.
 
-    All columns and grid values are scored in one aggregate.
+    One aggregate with a row per column scores the whole grid.
     """
-    aggs = [F.count("*").alias("_n")]
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"_s_{c}"))
-        aggs += [F.struct(F.avg(_yeo_johnson(x, g)).alias("m"), F.stddev_pop(_yeo_johnson(x, g)).alias("s")).alias(f"_{c}_{i}")
-                 for i, g in enumerate(grid)]
-    row = df.agg(*aggs).first()
+    x = F.col("x")
+    long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "f", "x")
+    stats = {r["f"]: r for r in long.groupBy("f").agg(
+        F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"),
+        F.array(*[F.avg(_yeo_johnson(x, g)) for g in grid]).alias("m"),
+        F.array(*[F.stddev_pop(_yeo_johnson(x, g)) for g in grid]).alias("s")).collect()}
     out = {}
     for c in cols:
-        def score(i):
-            s = row[f"_{c}_{i}"]["s"]
-            return -np.inf if not s else -row["_n"] * np.log(s) + (grid[i] - 1) * row[f"_s_{c}"]
-        best = max(range(len(grid)), key=score)
-        st = row[f"_{c}_{best}"]
-        out[prefix + c] = (_yeo_johnson(F.col(c).cast("double"), grid[best]) - st["m"]) / (st["s"] or 1.0)
+        r = stats[c]
+        fit = [-np.inf if not s else -r["n"] * np.log(s) + (g - 1) * r["j"] for g, s in zip(grid, r["s"])]
+        best = int(np.argmax(fit))
+        out[prefix + c] = (_yeo_johnson(F.col(c).cast("double"), grid[best]) - r["m"][best]) / (r["s"][best] or 1.0)
     return df.withColumns(out)
 
 
@@ -78,7 +75,7 @@ def isolate_outliers(df: DataFrame, k_init=5, min_size=50, seed=42) -> DataFrame
     """First-pass clusters below ``min_size`` are marked as outliers."""
     first = fit_kmeans(df, k_init, seed).transform(df).withColumnRenamed("cluster", "_c")
     small = first.groupBy("_c").agg((F.count("*") < min_size).alias("is_outlier"))
-    return first.join(small, "_c").drop("_c")
+    return first.join(F.broadcast(small), "_c").drop("_c")
 
 
 def search_k(df: DataFrame, ks=range(3, 8), seed=42):

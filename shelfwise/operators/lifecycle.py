@@ -1,14 +1,15 @@
 """Order life cycle: status audits, stock, balances, funnels."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.quantiles import split_running_sum
+from ..functions.quantiles import split_neighbor, split_running_sum
 
 
-def _steps():
-    return Window.partitionBy("order_id").orderBy("created_at", "seq")
+def _by_month(log: DataFrame) -> DataFrame:
+    """The slices that a long log is cut into."""
+    return log.withColumn("_m", F.trunc("created_at", "month"))
 
 
 def audit_transitions(log: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def audit_transitions(log: DataFrame) -> DataFrame:
     legal = F.lit(False)
     for a, b in S.TRANSITIONS:
         legal = legal | ((F.col("from_status") == a) & (F.col("to_status") == b))
-    prev = F.lag("to_status").over(_steps())
-    return log.withColumn("_prev", prev).withColumns({
+    steps = split_neighbor(_by_month(log), ["order_id"], "_m", ["created_at", "seq"], "to_status", "_prev")
+    return steps.withColumns({
         "illegal": F.col("from_status").isNotNull() & ~F.coalesce(legal, F.lit(False)),
-        "broken": ~F.col("from_status").eqNullSafe(F.col("_prev"))}).where("illegal OR broken").drop("_prev")
+        "broken": ~F.col("from_status").eqNullSafe(F.col("_prev"))}).where("illegal OR broken").drop("_prev", "_m")
 
 
 def current_status(log: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def current_status(log: DataFrame) -> DataFrame:
 
 def time_in_status(log: DataFrame) -> DataFrame:
     """Days an order spent in each status; null for the one it is in."""
-    return log.select("order_id", F.col("to_status").alias("status"),
-                      F.datediff(F.lead("created_at").over(_steps()), "created_at").alias("days"))
+    steps = split_neighbor(_by_month(log), ["order_id"], "_m", ["created_at", "seq"], "created_at", "_next", ahead=True)
+    return steps.select("order_id", F.col("to_status").alias("status"), F.datediff("_next", "created_at").alias("days"))
 
 
 def price_carts(carts: DataFrame, products: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def oversell_check(demand: DataFrame, products: DataFrame) -> DataFrame:
 
     The running sum is cut by day, so a best-seller is spread over its days.
     """
-    run = split_running_sum(demand, ["product_id"], "created_at", ["order_id", "quantity"], "quantity", "running")
+    run = split_running_sum(demand, ["product_id"], "created_at", ["order_id", "quantity"], {"quantity": "running"})
     return run.join(products.select("product_id", "stock"), "product_id").withColumn("fits", F.col("running") <= F.col("stock"))
 
 
@@ -60,7 +61,7 @@ def stock_position(products: DataFrame, moves: DataFrame) -> DataFrame:
 def balance_ledger(opening: DataFrame, entries: DataFrame, cap=None) -> DataFrame:
     """Running balance per user over signed entries in time order, with overdraft and cap flags."""
     e = opening.unionByName(entries)
-    run = split_running_sum(e, ["user_id"], "created_at", ["kind", "ref"], "amount", "balance")
+    run = split_running_sum(e, ["user_id"], "created_at", ["kind", "ref"], {"amount": "balance"})
     over = (F.abs("amount") > cap) if cap is not None else F.lit(False)
     return run.withColumns({"overdrawn": F.col("balance") < 0, "above_cap": over})
 

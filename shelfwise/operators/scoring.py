@@ -4,20 +4,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.quantiles import split_running_sum
+from ..functions.quantiles import balanced_slices, split_running_sum
 
 
 def score_counts(df: DataFrame, y="label", p="score") -> DataFrame:
     """Positives and negatives per distinct score: what every ranking measure needs."""
     return df.groupBy(F.col(p).alias("score")).agg(
-        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
+        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"),
+        F.lit(1).alias("one"))
 
 
-def ranked(df: DataFrame, y="label", p="score", slices=1000) -> DataFrame:
-    """Cumulative positives and negatives from the highest score down, over slices of the score range."""
-    c = score_counts(df, y, p).withColumn("_s", F.floor((1 - F.col("score")) * slices))
-    a = split_running_sum(c, [], "_s", [F.desc("score")], "pos", "tp")
-    return split_running_sum(a, [], "_s", [F.desc("score")], "neg", "fp").drop("_s")
+def ranked(df: DataFrame, y="label", p="score") -> DataFrame:
+    """Cumulative positives, negatives and step number from the highest score down, over even slices of the scores."""
+    c = balanced_slices(score_counts(df, y, p), "score")
+    return split_running_sum(c, [], "_s", [F.desc("score")], {"pos": "tp", "neg": "fp", "one": "step"}).drop("_s", "one")
 
 
 def roc_auc(df: DataFrame, y="label", p="score") -> DataFrame:
@@ -36,12 +36,11 @@ def average_precision(df: DataFrame, y="label", p="score") -> DataFrame:
 
 def roc_points(df: DataFrame, y="label", p="score", points=50) -> DataFrame:
     """The ROC curve thinned to ``points`` evenly spaced score steps; starts at the origin."""
-    r = ranked(df, y, p).withColumn("one", F.lit(1)).withColumn("_s", F.floor((1 - F.col("score")) * 1000))
-    r = split_running_sum(r, [], "_s", [F.desc("score")], "one", "i").drop("_s", "one")
-    tot = r.agg(F.struct(F.max("tp").alias("P"), F.max("fp").alias("N"), F.max("i").alias("steps")))
+    r = ranked(df, y, p)
+    tot = r.agg(F.struct(F.max("tp").alias("P"), F.max("fp").alias("N"), F.max("step").alias("steps")))
     r = r.withColumn("_t", tot.scalar())
     picks = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.floor(k * F.col("_t.steps") / (points - 1)))
-    keep = (F.col("_t.steps") + 1 <= points) | F.array_contains(picks, F.col("i").cast("long"))
+    keep = (F.col("_t.steps") + 1 <= points) | F.array_contains(picks, F.col("step").cast("long"))
     curve = r.where(keep).select((F.col("fp") / F.col("_t.N")).alias("fpr"), (F.col("tp") / F.col("_t.P")).alias("tpr"))
     origin = df.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(curve)
@@ -121,12 +120,13 @@ def stratified_split(df: DataFrame, strata, key="customer_id", share=0.7, seed=4
     """
     h = F.xxhash64(F.col(key), F.lit(seed))
     d = df.withColumns({"_h": h, "_s": F.pmod(F.shiftright(h, 56), F.lit(256)).cast("int"), "_one": F.lit(1)})
-    d = split_running_sum(d, list(strata), "_s", ["_h", key], "_one", "_rk")
+    d = split_running_sum(d, list(strata), "_s", ["_h", key], {"_one": "_rk"})
+    # strata are few (bins by label), so their sizes travel to the rows
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    d = d.join(sizes, list(strata))
+    d = d.join(F.broadcast(sizes), list(strata))
     small = F.lit(False)
     if bin_col:
-        d = d.join(df.groupBy(bin_col).agg(F.count("*").alias("_bn")), bin_col)
+        d = d.join(F.broadcast(df.groupBy(bin_col).agg(F.count("*").alias("_bn"))), bin_col)
         small = F.col("_bn") < min_size
     return d.withColumn("is_train", small | ((F.col("_rk") - 1) < F.col("_n") * share)).drop("_h", "_s", "_one", "_rk", "_n", "_bn")
 
@@ -135,7 +135,7 @@ def stratified_folds(df: DataFrame, label="label", key="customer_id", k=5, seed=
     """Fold number per row, even within each label."""
     h = F.xxhash64(F.col(key), F.lit(seed))
     d = df.withColumns({"_h": h, "_s": F.pmod(F.shiftright(h, 56), F.lit(256)).cast("int"), "_one": F.lit(1)})
-    d = split_running_sum(d, [label], "_s", ["_h", key], "_one", "_rk")
+    d = split_running_sum(d, [label], "_s", ["_h", key], {"_one": "_rk"})
     return d.withColumn("fold", F.pmod(F.col("_rk"), F.lit(k)).cast("int")).drop("_h", "_s", "_one", "_rk")
 
 

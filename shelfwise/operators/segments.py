@@ -49,7 +49,7 @@ def write_segments(rfm: DataFrame, labels: DataFrame, profiles: DataFrame) -> Da
     """Result rows: RFM values with the renamed label of the customer's cluster."""
     named = F.coalesce(X.lookup("label", S.SEGMENT_ALIASES), F.col("label"))
     seg = profiles.select("cluster", named.alias("segment"))
-    return labels.join(seg, "cluster", "left").select(
+    return labels.join(F.broadcast(seg), "cluster", "left").select(
         "customer_id", "cluster", F.coalesce("segment", F.concat(F.lit("Cluster_"), F.col("cluster"))).alias("segment")).join(
         rfm, "customer_id")
 
@@ -64,14 +64,14 @@ def dispersion_scores(df: DataFrame, cols, key="cluster") -> DataFrame:
     """Davies-Bouldin and Calinski-Harabasz from centroids and within-cluster spread.
 
     Points are compared with their own centroid only; the pairwise part is
-    between clusters, whose number is small.
+    between clusters, whose number the fit fixes, so centroids travel to the rows.
     """
     cent = df.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("mu"))
     all_mu = df.agg(F.array(*[F.avg(c) for c in cols])).scalar()
 
     def sq(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    pts = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).join(cent, key)
+    pts = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).join(F.broadcast(cent), key)
     within = pts.groupBy(key).agg(F.avg(F.sqrt(sq(F.col("x"), F.col("mu")))).alias("s"), F.sum(sq(F.col("x"), F.col("mu"))).alias("w"))
     c = cent.join(within, key).withColumn("_all", all_mu).withColumn("b", F.col("n") * sq(F.col("mu"), F.col("_all")))
     others = c.select(F.collect_list(F.struct(key, "mu", "s"))).scalar()

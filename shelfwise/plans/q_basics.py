@@ -349,26 +349,6 @@ def _(t):
     return D.near_holiday(t.orders.select(F.col("created_at").alias("date")).distinct(), holidays_between(1995, 2002))
 
 
-_RULES13 = """SELECT p_brand AS rule_id, substring(array_to_string(list_sort(list(DISTINCT p_name)), ', '), 1, 200) AS consequent
-    FROM part GROUP BY 1"""
-
-
-def _brand_rules(t):
-    return t.raw("part").groupBy(F.col("p_brand").alias("rule_id")).agg(
-        X.rule_text(F.array_sort(F.collect_set("p_name"))).alias("consequent"))
-
-
-@query("jn13_match_rule_products", "prod", f"""WITH r AS ({_RULES13}), i AS (SELECT rule_id, unnest(string_split(consequent, ', ')) AS item FROM r)
-    SELECT DISTINCT rule_id, p_partkey AS product_id FROM i JOIN part ON p_name = item""")
-def _(t):
-    return D.match_rule_products(_brand_rules(t), t.products)
-
-
-@query("jn13_match_contained", "", f"WITH r AS ({_RULES13}) SELECT rule_id, p_partkey AS product_id FROM r JOIN part ON contains(consequent, p_name)")
-def _(t):
-    return D.match_contained(_brand_rules(t), t.products)
-
-
 @query("jn14_cart_lines", "carts prod", """SELECT user_id, product_id, quantity, price, stock, is_active, price * quantity AS subtotal
     FROM carts JOIN prod USING (product_id)""")
 def _(t):

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
 from ..operators import baskets as B
 from ..operators import catalogue as C
+from ..operators import dims as D
 from ..session import materialize
 from .q_basics import CLUSTER_SQL, cluster_labels
 from .registry import query
@@ -234,3 +236,24 @@ def _(t):
 def _(t):
     return C.top_per_group(B.product_rules(code_rules(t)), ["product_id"], [F.desc("lift"), F.asc("consequent_id")], 1000000).select(
         "product_id", "consequent_id", "rank")
+
+
+_NAMED = itemset_sql("description", "TRUE", 0.0045, 2) + ", " + rule_sql() + """,
+    r AS (SELECT array_to_string(ant, ',') || '>' || array_to_string(con, ',') AS rule_id, substring(array_to_string(con, ', '), 1, 200) AS consequent FROM rules)"""
+
+
+def name_rules(t):
+    """Rules mined on product names, as stored text."""
+    r = B.mine_rules(t.sales("invoice_no", "description"), "description", 200, 0.0045, 2)
+    return r.select(F.concat(F.array_join("antecedents", ","), F.lit(">"), F.array_join("consequents", ",")).alias("rule_id"),
+                    X.rule_text("consequents").alias("consequent"))
+
+
+@query("jn13_match_rule_products", "sales", "SELECT DISTINCT rule_id, p_partkey AS product_id FROM (SELECT rule_id, unnest(string_split(consequent, ', ')) AS item FROM r) JOIN part ON p_name = item", _NAMED)
+def _(t):
+    return D.match_rule_products(name_rules(t), t.products)
+
+
+@query("jn13_match_contained", "sales", "SELECT rule_id, p_partkey AS product_id FROM r JOIN part ON contains(consequent, p_name)", _NAMED)
+def _(t):
+    return D.match_contained(materialize(name_rules(t)), t.products)

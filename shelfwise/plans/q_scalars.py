@@ -150,12 +150,9 @@ def _(t):
     return e.select("event_id", F.array_join(items, ",").alias("items"), F.size(items).alias("n"))
 
 
-@query("sf16_rule_text", "", """SELECT l_orderkey AS order_id, substring(array_to_string(list_sort(list(DISTINCT p_name)), ', '), 1, 200) AS txt
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+@query("sf16_rule_text", "", "SELECT p_partkey AS product_id, substring(p_name || ', ' || p_brand || ', ' || p_type, 1, 20) AS txt FROM part")
 def _(t):
-    li = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        X.rule_text(F.array_sort(F.collect_set("p_name"))).alias("txt"))
+    return t.raw("part").select(F.col("p_partkey").alias("product_id"), X.rule_text(F.array("p_name", "p_brand", "p_type"), width=20).alias("txt"))
 
 
 @query("sf17_tagged_text", "", "SELECT p_partkey AS product_id, '[' || p_brand || '] ' || p_name AS txt FROM part")
