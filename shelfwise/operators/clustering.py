@@ -164,6 +164,9 @@ def segment_customers(df: DataFrame, cols, ks=range(3, 8), k_init=5, min_size=50
     from ..session import materialize
     marked = materialize(isolate_outliers(vectors(df, cols), k_init, min_size, seed))
     normal = marked.where("NOT is_outlier")
+    if normal.limit(2 * max(ks)).count() < 2 * max(ks):  # too few customers for the size rule to mean anything
+        marked = marked.withColumn("is_outlier", F.lit(False))
+        normal = marked
     k, sil = max(search_k(normal, ks, seed), key=lambda r: r[1])
     labels = combine_labels(fit_kmeans(normal, k, seed).transform(normal), marked.where("is_outlier"))
     return labels, k, sil
