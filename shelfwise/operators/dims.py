@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..functions import scalars as X
 from ..functions.quantiles import exact_quantiles
 
@@ -120,7 +119,3 @@ def align_features(base: DataFrame, current: DataFrame, features) -> DataFrame:
             [], [c for c in features if c in df.columns], "feature", "value")
         return long.groupBy("feature").agg(F.count("value").alias(f"n_{tag}"), F.avg("value").alias(f"mean_{tag}"))
     return side(base, "base").join(side(current, "current"), "feature", "full_outer")
-
-
-def user_addresses(users: DataFrame) -> DataFrame:
-    return users.select("user_id", X.email_of(F.col("user_id"), S.EMAIL_PREFIX, S.EMAIL_SUFFIX).alias("email"))

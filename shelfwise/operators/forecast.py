@@ -8,6 +8,7 @@ day, week or month, so its windows are short whatever the size of the lines.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import scalars as X
 from ..functions.quantiles import exact_quantiles
 from .dims import near_holiday
@@ -25,15 +26,15 @@ def bucket(grain, ts="invoice_date") -> Column:
 def series(lines: DataFrame, grain, keys=()) -> DataFrame:
     """Revenue, orders, customers and units per bucket.
 
-    Distinct orders and customers are reduced to pairs first: a busy bucket is
-    spread over its orders instead of meeting in one task.
+    Lines are first summed per visit; the distinct counts then run over visits,
+    and Spark groups them by bucket and id before it counts, so a busy bucket
+    is spread over its orders and customers.
     """
     k = [*keys, "date"]
-    b = lines.withColumn("date", bucket(grain))
-    base = b.groupBy(*k).agg((F.sum("line_cents") / 100).alias("revenue"), F.sum("quantity").alias("quantity"))
-    orders = b.select(*k, "invoice_no").distinct().groupBy(*k).agg(F.count("*").alias("orders"))
-    cust = b.select(*k, "customer_id").distinct().groupBy(*k).agg(F.count("*").alias("customers"))
-    return base.join(orders, k).join(cust, k)
+    visits = lines.groupBy(*keys, bucket(grain).alias("date"), "invoice_no", "customer_id").agg(
+        F.sum("line_cents").alias("_c"), F.sum("quantity").alias("_q"))
+    return visits.groupBy(*k).agg((F.sum("_c") / 100).alias("revenue"), F.sum("_q").alias("quantity"),
+                                  F.count_distinct("invoice_no").alias("orders"), F.count_distinct("customer_id").alias("customers"))
 
 
 def _w(keys):
@@ -87,7 +88,7 @@ def build_features(s: DataFrame, grain, keys=(), y="revenue", leaky=True, drop_h
     return df.where(F.col("time_idx") >= max(LAGS[grain])) if drop_head else df
 
 
-def calendar_features(s: DataFrame, holidays) -> DataFrame:
+def calendar_features(s: DataFrame, holidays=S.HOLIDAYS) -> DataFrame:
     """Weekly calendar flags: Christmas distance and season, sales weeks, holidays, month and week cycles."""
     d, m, w = F.col("date"), F.month("date"), F.weekofyear("date")
     xmas = F.datediff(F.make_date(F.year(d), F.lit(12), F.lit(25)), d)

@@ -1,6 +1,6 @@
 """Dashboard, trend, preference and rating queries."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -20,10 +20,10 @@ def user_rfm_cards(users: DataFrame, rfm: DataFrame) -> DataFrame:
                     X.lookup("segment", S.SEGMENT_ADVICE, "").alias("advice"))
 
 
-def metric_value(metrics: DataFrame, model, name) -> Column:
-    """One metric as a scalar, 0 when it is missing."""
-    one = metrics.where((F.col("model_name") == model) & (F.col("metric_name") == name)).agg(F.max("metric_value"))
-    return F.coalesce(one.scalar(), F.lit(0.0))
+HEADLINE_METRICS = {
+    "clustering_k": ("Clustering", "K"), "churn_auc": ("Churn", "test_auc"),
+    "forecast_smape": ("SalesForecast", "best_smape"), "association_rules_count": ("Association", "global_rules_count"),
+}
 
 
 def dashboard(users, products, orders, churn, metrics) -> DataFrame:
@@ -32,15 +32,16 @@ def dashboard(users, products, orders, churn, metrics) -> DataFrame:
         F.count("*").alias("total_orders"),
         F.coalesce(F.sum(F.when(F.col("status").isin(*S.REVENUE_STATUSES), F.col("total_cents"))), F.lit(0)).alias("total_revenue"),
         F.count(F.when(F.col("status") != "cancelled", 1)).alias("paid_orders"))
-    return o.withColumns({
+    picked = metrics.agg(F.struct(*[
+        F.coalesce(F.max(F.when((F.col("model_name") == m) & (F.col("metric_name") == n), F.col("metric_value"))), F.lit(0.0)).alias(k)
+        for k, (m, n) in HEADLINE_METRICS.items()]))
+    counted = o.withColumns({
         "total_users": users.agg(F.count("*")).scalar(),
         "total_products": products.where("is_active").agg(F.count("*")).scalar(),
-        "churn_risk_count": churn.where("is_churn_risk").agg(F.count("*")).scalar(),
-        "clustering_k": F.floor(metric_value(metrics, "Clustering", "K")).cast("long"),
-        "churn_auc": metric_value(metrics, "Churn", "test_auc"),
-        "forecast_smape": metric_value(metrics, "SalesForecast", "best_smape"),
-        "association_rules_count": F.floor(metric_value(metrics, "Association", "global_rules_count")).cast("long"),
-    })
+        "churn_risk_count": churn.where("is_churn_risk").agg(F.count("*")).scalar(), "_m": picked.scalar()})
+    whole = ("clustering_k", "association_rules_count")
+    return counted.withColumns({
+        k: F.floor(f"_m.{k}").cast("long") if k in whole else F.col(f"_m.{k}") for k in HEADLINE_METRICS}).drop("_m")
 
 
 def gauges(dash: DataFrame) -> DataFrame:

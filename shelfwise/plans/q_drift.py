@@ -19,7 +19,7 @@ SIDES = {"x": f"invoice_date < DATE '{DRIFT_DATE}'", "y": f"invoice_date >= DATE
 
 def sides(t, *cols):
     """Lines before and after the drift date."""
-    li = t.sales(*dict.fromkeys(["invoice_date", *cols]))
+    li = materialize(t.sales(*dict.fromkeys(["invoice_date", *cols])))
     at = F.lit(DRIFT_DATE).cast("timestamp")
     return li.where(F.col("invoice_date") < at), li.where(F.col("invoice_date") >= at)
 

@@ -14,7 +14,8 @@ LINE_COLS = ("customer_id", "invoice_no", "stock_code", "quantity", "unit_price"
 
 
 def lines(t):
-    return t.sales(*LINE_COLS)
+    """Cleaned lines joined once and written, since the feature builders read them several times."""
+    return materialize(t.sales(*LINE_COLS))
 
 
 def rounded(df, spec):
@@ -97,8 +98,8 @@ GAPS = """tr AS (SELECT * FROM sales WHERE invoice_date <= DATE '2001-01-31'),
     max(c) / 100.0::DOUBLE / greatest(CAST(sum(c) AS BIGINT) / 100.0::DOUBLE, 1) AS spend_peak_ratio FROM pm GROUP BY 1)"""
 
 
-def train(t):
-    return lines(t).where(F.col("invoice_date") <= F.lit(CUT_DATE).cast("timestamp"))
+def train(t, *cols):
+    return (materialize(t.sales(*cols)) if cols else lines(t)).where(F.col("invoice_date") <= F.lit(CUT_DATE).cast("timestamp"))
 
 
 _WN7 = {"customer_id": None, "n_times": None, "interval_mean": 6, "interval_std": 5, "interval_cv": 6}
@@ -109,14 +110,14 @@ _WN13 = {"customer_id": None, "spend_peak_month": None, "spend_peak_ratio": 6}
 
 @query("wn6_date_gaps", "sales", "SELECT customer_id, round(avg_purchase_interval, 6) AS avg_gap FROM prof", PROF)
 def _(t):
-    s = lines(t).select("customer_id", F.to_date("invoice_date").alias("d")).distinct()
+    s = t.sales("customer_id", "invoice_date").select("customer_id", F.to_date("invoice_date").alias("d")).distinct()
     g = s.groupBy("customer_id").agg(F.datediff(F.max("d"), F.min("d")).alias("s"), F.count("*").alias("n"))
     return g.select("customer_id", F.round(F.coalesce(F.try_divide("s", F.col("n") - 1), F.lit(0.0)), 6).alias("avg_gap"))
 
 
 @query("wn7_intervals", "sales", f"SELECT {rsql(_WN7)} FROM gap", GAPS)
 def _(t):
-    return rounded(FT.purchase_gaps(train(t)), _WN7)
+    return rounded(FT.purchase_gaps(train(t, "customer_id", "invoice_date")), _WN7)
 
 
 @query("wn8_half_trends", "sales", f"SELECT {rsql(_WN8)} FROM half", GAPS)
@@ -126,7 +127,7 @@ def _(t):
 
 @query("wn9_last_interval", "sales", f"SELECT {rsql(_WN9)} FROM gap", GAPS)
 def _(t):
-    return rounded(FT.purchase_gaps(train(t)), _WN9)
+    return rounded(FT.purchase_gaps(train(t, "customer_id", "invoice_date")), _WN9)
 
 
 def _bin(col, edges):

@@ -173,7 +173,7 @@ def _(t):
 
 @query("ml11_out_of_time")
 def _(t):
-    li = materialize(lines(t))
+    li = lines(t)
     model = M.gbt(8).fit(M.with_class_weight(materialize(M.assemble(FT.churn_features(li, "2000-07-31", "2001-01-31"), COLS_C, "is_churn"))))
     return M.out_of_time(li, model, COLS_C, ["2000-10-31", "2000-12-31"], "2001-06-30")
 
@@ -211,7 +211,7 @@ def _(t):
 
 def _windows(t):
     """Feature frames at an earlier cut for training and a later one for validation."""
-    li = materialize(lines(t))
+    li = lines(t)
     early = materialize(FT.churn_features(li, "2000-07-31", "2000-12-31"))
     late = materialize(FT.churn_features(li, CUT_DATE, "2001-06-30"))
     return early, late

@@ -52,6 +52,7 @@ def recompute(lines: DataFrame, folder, cut_date, item="brand", horizon=12, forc
     def stage(name, build):
         return _stage(spark, f"{folder}/{name}", build, force)
 
+    lines = materialize(lines)  # every stage reads the joined lines, so the join runs once
     profile = stage("features_profile", lambda: FT.churn_prob_group(materialize(FT.profile_features(lines))))
     rfm = stage("rfm_profile", lambda: R.rfm_from_profile(profile))
 

@@ -15,12 +15,12 @@ from ..sources.sinks import upsert_latest
 
 
 def stream_table(spark, folder, name, files_per_batch=None) -> DataFrame:
-    """A parquet table as a stream; its schema is read once from the files."""
+    """A parquet table, one file or a folder of files, as a stream; its schema is read once from the files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.parquet(folder)
+    return r.parquet(f"{folder}/{name}.[p]arquet")  # a pattern, because a plain path must be a folder
 
 
 def run_append(df: DataFrame) -> DataFrame:
