@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_LIMIT = 5_000_000
+MERGE_LIMIT = 1_000_000
 
 
 FAN = 32

@@ -53,13 +53,12 @@ def _(t):
     return t.raw("documents").select("doc_id", X.short_name(F.col("text")).alias("short"))
 
 
-@query("sf5_email_codec", "", """WITH e AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || '@other.example'
+@query("sf5_email_codec", "", """WITH e AS (SELECT CASE WHEN c_nationkey = 0 THEN c_name || '@other.example'
     ELSE 'customer_' || c_custkey || '@customers.example' END AS email FROM customer)
-    SELECT email, TRY_CAST(nullif(regexp_extract(email, '^customer_(-?\\d+)@customers\\.example$', 1), '') AS BIGINT) AS customer_id,
-    CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS coded FROM e WHERE email IS NOT NULL AND c_custkey % 5 <> 0""")
+    SELECT email, coalesce(TRY_CAST(nullif(regexp_extract(email, '^customer_(-?\\d+)@customers\\.example$', 1), '') AS BIGINT), -1) AS customer_id FROM e""")
 def _(t):
-    u = t.users.where("user_id % 5 <> 0")
-    return u.select("email", X.customer_of(F.col("email")).alias("customer_id"), F.lit(1).alias("coded"))
+    u = t.users.select(F.when(F.col("nation_key") == 0, F.concat(F.col("name"), F.lit("@other.example"))).otherwise(F.col("email")).alias("email"))
+    return u.select("email", F.coalesce(X.customer_of(F.col("email")), F.lit(-1)).alias("customer_id"))
 
 
 _HEX = "list_transform(range(1, 33), lambda i: instr('0123456789abcdef', substr(md5(CAST(c_custkey AS VARCHAR)), i, 1)) - 1)"

@@ -10,7 +10,11 @@ def query(key, ctes="", body=None, extra=""):
     def add(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = lambda spark, path: fn(Tables(spark, path))
+
+        def run(spark, path):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times without a zone
+            return fn(Tables(spark, path))
+        QUERIES[key] = run
         if body:
             ORACLES[key] = with_ctes(ctes, body, extra)
         return fn
