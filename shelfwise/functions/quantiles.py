@@ -18,11 +18,12 @@ def _edge_table(edges):
                     F.transform(starts, lambda i: F.slice(edges, i, F.lit(FAN))).alias("runs"))
 
 
-def _edge_index(value, table):
-    """How many edges are <= value: first the run, then the place in it."""
-    run = F.size(F.filter(table["head"], lambda e: e <= value))
-    inside = F.size(F.filter(F.get(table["runs"], run - 1), lambda e: e <= value))
-    return F.when(run == 0, 0).otherwise((run - 1) * FAN + inside)
+def _with_edge_index(df: DataFrame, value, table, out) -> DataFrame:
+    """Add how many edges are <= value: first the run, then the place in it."""
+    v = F.col(value)
+    d = df.withColumn("_run", F.size(F.filter(F.col(table)["head"], lambda e: e <= v)))
+    inside = F.size(F.filter(F.get(F.col(table)["runs"], F.col("_run") - 1), lambda e: e <= v))
+    return d.withColumn(out, F.when(F.col("_run") == 0, 0).otherwise((F.col("_run") - 1) * FAN + inside)).drop("_run")
 
 
 def exact_quantiles(df: DataFrame, value, probs, keys=(), method="auto", splits=1024, edges_per_key=False):
@@ -53,7 +54,7 @@ def exact_quantiles(df: DataFrame, value, probs, keys=(), method="auto", splits=
     else:
         edges = rows.agg(F.percentile_approx("_v", cuts, 10000).alias("_e")).select(_edge_table(F.col("_e")))
         cut = rows.withColumn("_e", edges.scalar())
-    counts = cut.withColumn("_b", _edge_index(F.col("_v"), F.col("_e"))).groupBy(*ks, "_b", "_v").agg(
+    counts = _with_edge_index(cut, "_v", "_e", "_b").groupBy(*ks, "_b", "_v").agg(
         F.count("*").alias("_n"))
     per_key = Window.partitionBy(*ks)
     ranges = (
@@ -166,6 +167,12 @@ def balanced_slices(df: DataFrame, col, out="_s", slices=1000, descending=True)
     """Slice numbers that follow ``col`` and hold about equally many rows, from a bounded sketch of it."""
     edges = df.agg(F.percentile_approx(F.col(col).cast("double"), [i / slices for i in range(1, slices)], 10000).alias("e")).select(
         _edge_table(F.col("e"))).scalar()
-    d = df.withColumn("_e", edges)
-    at = _edge_index(F.col(col).cast("double"), F.col("_e"))
-    return d.withColumn(out, -at if descending else at).drop("_e")
+    d = _with_edge_index(df.withColumns({"_e": edges, "_x": F.col(col).cast("double")}), "_x", "_e", out).drop("_e", "_x")
+    return d.withColumn(out, -F.col(out)) if descending else d
+
+
+def attach(df: DataFrame, small: DataFrame, keys=()) -> DataFrame:
+    """Add the columns of an aggregate: by its keys, or as a scalar when it is one row."""
+    if keys:
+        return df.join(small, list(keys))
+    return df.withColumn("_z", small.select(F.struct("*")).scalar()).select("*", "_z.*").drop("_z")

@@ -30,9 +30,10 @@ def with_line_total(df: DataFrame) -> DataFrame:
 
 def iqr_fence(df: DataFrame, col, k=3.0, method="auto") -> DataFrame:
     """Keep rows within k inter-quartile ranges of the quartiles."""
-    q = exact_quantiles(df, col, [0.25, 0.75], method=method).select("q").scalar()
-    lo, hi = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
-    return df.withColumn("_q", q).where(F.col(col).between(lo - k * (hi - lo), hi + k * (hi - lo))).drop("_q")
+    lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    q = exact_quantiles(df, col, [0.25, 0.75], method=method)
+    low, high = q.select(lo - k * (hi - lo)), q.select(hi + k * (hi - lo))
+    return df.where((F.col(col) >= low.scalar()) & (F.col(col) <= high.scalar()))
 
 
 def iqr_fences(df: DataFrame, cols=("quantity", "unit_price"), k=3.0, method="auto") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalars as X
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import attach, exact_quantiles
 from .dims import near_holiday
 
 LAGS = {"daily": [1, 3, 7, 14, 30], "weekly": [1, 2, 4, 8, 12], "monthly": [1, 2, 3, 6, 12]}
@@ -129,16 +129,13 @@ def trend_seasonal(df: DataFrame, season_key, keys=(), y="revenue") -> DataFrame
     """Linear trend plus the mean floored residual of the season key; unseen keys take the overall mean."""
     x = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double")
     train = df.where("NOT is_test").withColumn("_x", x)
-    k = list(keys) or ["_g"]
-    if not keys:
-        train, df = train.withColumn("_g", F.lit(0)), df.withColumn("_g", F.lit(0))
-    fit = train.groupBy(*k).agg(F.regr_slope(y, "_x").alias("slope"), F.regr_intercept(y, "_x").alias("icept"))
-    res = train.join(fit, k).withColumn("_r", F.greatest(F.col(y) - (F.col("icept") + F.col("slope") * F.col("_x")), F.lit(0.0)))
-    by_key = res.groupBy(*k, season_key).agg(F.avg("_r").alias("_s"))
-    overall = res.groupBy(*k).agg(F.avg("_r").alias("_o"))
-    out = df.where("is_test").withColumn("_x", x).join(fit, k).join(overall, k).join(by_key, [*k, season_key], "left")
+    fit = train.groupBy(*keys).agg(F.regr_slope(y, "_x").alias("slope"), F.regr_intercept(y, "_x").alias("icept"))
+    res = attach(train, fit, keys).withColumn("_r", F.greatest(F.col(y) - (F.col("icept") + F.col("slope") * F.col("_x")), F.lit(0.0)))
+    by_key = res.groupBy(*keys, season_key).agg(F.avg("_r").alias("_s"))
+    overall = res.groupBy(*keys).agg(F.avg("_r").alias("_o"))
+    out = attach(attach(df.where("is_test").withColumn("_x", x), fit, keys), overall, keys).join(by_key, [*keys, season_key], "left")
     yhat = F.col("icept") + F.col("slope") * F.col("_x") + F.coalesce("_s", "_o")
-    return out.withColumn("yhat", F.greatest(yhat, F.lit(0.0))).drop("_x", "slope", "icept", "_s", "_o", "_g")
+    return out.withColumn("yhat", F.greatest(yhat, F.lit(0.0))).drop("_x", "slope", "icept", "_s", "_o")
 
 
 def errors(df: DataFrame, keys=(), y="revenue", yhat="yhat") -> DataFrame:
@@ -180,23 +177,21 @@ def rolling_origin(df: DataFrame, grain, max_folds=10, keys=()) -> DataFrame:
 def linear_projection(s: DataFrame, horizon=12, held=4, y="revenue", scale=100, keys=()) -> DataFrame:
     """The stored weekly projection: a line on all but the last weeks, times the ratio of the matching
     held-out ISO week, with a 1.96 sigma band."""
-    k = list(keys) or ["_g"]
-    s = s if keys else s.withColumn("_g", F.lit(0))
-    h = holdout(s, k, last=held)
-    first = h.groupBy(*k).agg(F.min("date").alias("_d0"), F.max("date").alias("_dl"))
-    h = h.join(first, k).withColumn("x", F.datediff("date", "_d0").cast("double"))
+    h = holdout(s, keys, last=held)
+    first = h.groupBy(*keys).agg(F.min("date").alias("_d0"), F.max("date").alias("_dl"))
+    h = attach(h, first, keys).withColumn("x", F.datediff("date", "_d0").cast("double"))
     tr = h.where("NOT is_test")
-    fit = tr.groupBy(*k).agg(F.regr_slope(y, "x").alias("b"), F.regr_intercept(y, "x").alias("a"), F.count("*").alias("n"),
-                             F.avg("x").alias("mx"), F.regr_sxx(y, "x").alias("sxx"))
-    res = tr.join(fit, k).groupBy(*k).agg(F.stddev_pop(F.col(y) - (F.col("a") + F.col("b") * F.col("x"))).alias("sigma"))
+    fit = tr.groupBy(*keys).agg(F.regr_slope(y, "x").alias("b"), F.regr_intercept(y, "x").alias("a"), F.count("*").alias("n"),
+                                F.avg("x").alias("mx"), F.regr_sxx(y, "x").alias("sxx"))
+    res = attach(tr, fit, keys).groupBy(*keys).agg(F.stddev_pop(F.col(y) - (F.col("a") + F.col("b") * F.col("x"))).alias("sigma"))
     pred = F.col("a") + F.col("b") * F.col("x")
-    seas = h.where("is_test").join(fit, k).select(
-        *k, "date", F.weekofyear("date").alias("wk"), F.when(pred > 0, F.col(y) / pred).otherwise(1.0).alias("f")).groupBy(*k, "wk").agg(
+    seas = attach(h.where("is_test"), fit, keys).select(
+        *keys, "date", F.weekofyear("date").alias("wk"), F.when(pred > 0, F.col(y) / pred).otherwise(1.0).alias("f")).groupBy(*keys, "wk").agg(
         F.max_by("f", "date").alias("f"))
-    fut = first.join(fit, k).join(res, k).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
+    fut = attach(attach(first, fit, keys), res, keys).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
         "pred_date", F.date_add("_dl", F.col("h") * 7)).withColumn("x", F.datediff("pred_date", "_d0").cast("double")).withColumn(
         "wk", F.weekofyear("pred_date"))
-    out = fut.join(seas, [*k, "wk"], "left")
+    out = fut.join(seas, [*keys, "wk"], "left")
     amount = F.greatest(F.lit(0.0), pred * F.coalesce("f", F.lit(1.0))) * scale
     ci = 1.96 * F.col("sigma") * F.sqrt(1 + 1 / F.col("n") + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) / F.col("sxx")) * scale
     return out.select(*keys, "pred_date", amount.alias("pred_amount"), (amount + ci).alias("pred_upper"),
