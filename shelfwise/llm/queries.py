@@ -2,16 +2,28 @@
 
 import public_tokenizers
 
-from . import patched_blocks, prefix_counts, swap_packing
+from . import neighbour_vote, patched_blocks, pfair, prefix_counts, robust_outliers, swap_packing
 from .text import documents
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_neighbour_vote(spark, sf_dir):
+    return neighbour_vote.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_robust_outliers(spark, sf_dir):
+    return robust_outliers.judge(documents(spark, sf_dir))
+
+
 def op5_prefix_counts(spark, sf_dir):
     return prefix_counts.count_report(documents(spark, sf_dir), PIECES, 4096)
 
 
+def op6_pfair_mix(spark, sf_dir):
+    return pfair.mixture(documents(spark, sf_dir))
+
+
 def op7_patched_blocks(spark, sf_dir):
     return patched_blocks.round_trip(documents(spark, sf_dir), WORDS, 1)
 
@@ -20,5 +32,5 @@ def op9_swap_packing(spark, sf_dir):
     return swap_packing.pack_documents(documents(spark, sf_dir), WORDS, 0, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_prefix_counts, op7_patched_blocks, op9_swap_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbour_vote, op2_robust_outliers, op5_prefix_counts, op6_pfair_mix, op7_patched_blocks, op9_swap_packing)}
 ORACLES = {}
