@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import neighbour_vote, patched_blocks, pfair, prefix_counts, robust_outliers, swap_packing
+from . import neighbour_vote, parity_join, patched_blocks, pfair, prefix_counts, robust_outliers, swap_packing
 from .text import documents
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def op2_robust_outliers(spark, sf_dir):
     return robust_outliers.judge(documents(spark, sf_dir))
 
 
+def op3_parity_join(spark, sf_dir):
+    return parity_join.linked_documents(documents(spark, sf_dir), words=3, percent=90)
+
+
 def op5_prefix_counts(spark, sf_dir):
     return prefix_counts.count_report(documents(spark, sf_dir), PIECES, 4096)
 
@@ -32,5 +36,5 @@ def op9_swap_packing(spark, sf_dir):
     return swap_packing.pack_documents(documents(spark, sf_dir), WORDS, 0, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbour_vote, op2_robust_outliers, op5_prefix_counts, op6_pfair_mix, op7_patched_blocks, op9_swap_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbour_vote, op2_robust_outliers, op3_parity_join, op5_prefix_counts, op6_pfair_mix, op7_patched_blocks, op9_swap_packing)}
 ORACLES = {}
