@@ -12,13 +12,15 @@ document: the smaller, if there are more; null labels and labels of unknown docu
 scored alike, and null ids are kept.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-from .text import Memo, WordHasher, batch, shingle_hashes, text_column
+from .text import Memo, batch, shingle_hashes, text_column, word_hasher
 
 _SHAPES = bytes.maketrans(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)),
                           b"0" * 10 + b"A" * 26 + b"a" * 26 + b"a" * 128)
@@ -38,7 +40,7 @@ class Features:
         self.size, half = size, (size - REPEATS) // 2
         self.words = Memo(lambda w: xxhash.xxh32_intdigest(w) % half)
         self.shapes = Memo(lambda w: half + xxhash.xxh32_intdigest(shape(w), 7) % half, 200_000)
-        self.hasher = WordHasher()
+        self.hasher = word_hasher()
 
     def __call__(self, text):
         words = (text or b"").split()
@@ -54,13 +56,18 @@ class Features:
         return out
 
 
+@lru_cache(maxsize=1)
+def _features(size):
+    return Features(size)
+
+
 def counts(df, features, *others):
     """Rows with ``others``, the places and the values of the features that occur."""
     schema = StructType([*df.select(*others).schema, StructField("at", ArrayType(IntegerType())), StructField("n", ArrayType(FloatType()))])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        f, out = Features(features), to_arrow_schema(schema)
+        f, out = _features(features), to_arrow_schema(schema)
         for b in batches:
             rows = [f(t) for t in b.column("text").to_pylist()]
             at = [np.flatnonzero(r).astype(np.int32) for r in rows]
@@ -127,7 +134,7 @@ def score(df, model, key="doc_id", k=15, power=4):
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         m, out = shared.value, to_arrow_schema(schema)
-        f = Features(m["features"])
+        f = _features(m["features"])
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..session import materialize
-from .text import WordHasher, batch, mix, shingle_hashes, text_column
+from .text import batch, mix, shingle_hashes, text_column, word_hasher
 
 BAND = 1.3
 SMALL = 16
@@ -121,7 +121,7 @@ def _signatures(df, words):
     schema = _schema(doc_id=LongType, n_shingles=LongType, d1=LongType, d2=LongType)
 
     def run(batches):
-        hasher, out = WordHasher(), _arrow(schema)
+        hasher, out = word_hasher(), _arrow(schema)
         for b in batches:
             sets = [shingle_set(t, hasher, words) for t in b.column("text").to_pylist()]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
@@ -134,7 +134,7 @@ def _keys(docs, words, percent):
     schema = _schema(key=LongType, node=LongType, size=IntegerType)
 
     def run(batches):
-        hasher, out, bands = WordHasher(), _arrow(schema), Bands(percent)
+        hasher, out, bands = word_hasher(), _arrow(schema), Bands(percent)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -205,7 +205,7 @@ def _sketches(docs, words, percent):
     schema = _schema(node=LongType, size=IntegerType, sketch=BinaryType)
 
     def run(batches):
-        hasher, out, bands = WordHasher(), _arrow(schema), Bands(percent)
+        hasher, out, bands = word_hasher(), _arrow(schema), Bands(percent)
         for b in batches:
             sets = [shingle_set(t, hasher, words) for t in b.column("text").to_pylist()]
             yield batch(out, node=b.column("node"), size=[len(s) for s in sets], sketch=[b"".join(bands.sketch(s, k).tobytes() for k in bands.bands(len(s))) for s in sets])
@@ -216,7 +216,7 @@ def _sets(docs, words):
     schema = _schema(node=LongType, shingles=BinaryType)
 
     def run(batches):
-        hasher, out = WordHasher(), _arrow(schema)
+        hasher, out = word_hasher(), _arrow(schema)
         for b in batches:
             yield batch(out, node=b.column("node"), shingles=[shingle_set(t, hasher, words).tobytes() for t in b.column("text").to_pylist()])
     return text_column(docs, "node").mapInArrow(run, schema)

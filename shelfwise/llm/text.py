@@ -1,5 +1,7 @@
 """Helpers shared by the document operators: rows in Arrow batches, word hashing, memoised tokenizers."""
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -142,3 +144,15 @@ class WordTokenizer:
         except KeyError:
             self._learn(runs)
         return np.frombuffer(b"".join(map(self.memo.__getitem__, runs)), "<u4")
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path):
+    """One tokenizer a process, so that the tasks of a worker share what it remembers."""
+    return WordTokenizer(path)
+
+
+@lru_cache(maxsize=1)
+def word_hasher():
+    """One hasher a process."""
+    return WordHasher()
