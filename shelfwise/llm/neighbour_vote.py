@@ -108,7 +108,7 @@ def _weigh(x, idf):
     return _unit(np.sqrt(x) * idf)
 
 
-def vote(vectors, model, k, power, block=512):
+def vote(vectors, model, k=15, power=4, block=512):
     """Similarity-weighted share of label 1 among the ``k`` nearest labelled vectors, by blocks of rows."""
     out = np.empty(len(vectors))
     for i in range(0, len(vectors), block):
@@ -144,13 +144,35 @@ def score(df, model, key="doc_id", k=15, power=4):
     return text_column(df, key).mapInArrow(run, schema)
 
 
+def keep(df, model, threshold=0.3, **options):
+    """The rows of ``df``, all columns, whose score reaches the threshold."""
+    if model is None:
+        return df.where(F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) > 0)
+    shared, columns, schema = df.sparkSession.sparkContext.broadcast(model), df.columns, df.schema
+
+    def run(batches):
+        m = shared.value
+        f = _features(m["features"])
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x = np.stack([f(t) for t in part.column("own_text").to_pylist()])
+                s = vote(_unit(_weigh(x, m["idf"]) @ m["directions"]), m, **options)
+                yield part.select(columns).filter(pa.array(np.where(x.any(axis=1), s, 0.0) >= threshold))
+    return df.withColumn("own_text", F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+
+
 def held_out(key="doc_id"):
     """Whether a document's label is kept for judging: crc32 of its id as text is divisible by five."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
+def fit_quality(docs, labels, **options):
+    """The model of ``labels.quality``, from labels that are not held out."""
+    return fit(docs, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()), **options)
+
+
 def score_documents(docs, labels, threshold=0.3, **fit_options):
     """Per document: doc_id, held_out, score, predicted."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    scored = score(docs, fit(docs, known, **fit_options))
+    scored = score(docs, fit_quality(docs, labels, **fit_options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

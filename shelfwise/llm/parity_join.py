@@ -379,3 +379,19 @@ def groups(df, words=3, percent=90):
 def linked_documents(df, words=3, percent=90):
     """Per document: doc_id, n_shingles, component_id."""
     return groups(df, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(df, words=5, percent=80):
+    """The rows of ``df`` without all but the smallest id of each group of linked documents; of rows that share an id, the one
+    of smallest text. Rows without an id, and documents without words, stay."""
+    found = materialize(groups(df, words, percent))
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    kept = df.join(gone, F.col("doc_id").cast("long") == gone["gone"], "left_anti")  # ids alone; Spark broadcasts them where their size allows
+    often = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("often")).count().where("count > 1").select("often"))
+    if often.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long") == often["often"]
+    single = kept.join(often, same, "left_anti")
+    several = kept.join(often, same, "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*df.columns), F.struct(F.col("text").isNull(), "text")).alias("row"))
+    return single.unionByName(first.select("row.*"))

@@ -92,10 +92,10 @@ def square_root_weights(chars, scale=100):
     return {s: max(1, round(scale * r / total)) for s, r in roots.items()}
 
 
-def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000):
+def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000, ordered=False):
     """The rows of ``df`` (doc_id, text, source, ...) with ``block`` (in its source), ``slot`` of the block and ``place``
     in the source, in characters; order by slot, place for the mixture. ``weights``: whole numbers by source, or a
-    function of the sources' sizes in characters."""
+    function of the sources' sizes in characters. ``ordered``: the rows come partitioned and sorted as the mixture has them."""
     df = df.drop("block", "slot", "place")
     narrow = df.select("doc_id", "source", F.length("text").alias("chars"))
     sizes = narrow.groupBy("source").agg(F.sum(F.coalesce("chars", F.lit(0))).alias("chars")).collect()  # a row a source
@@ -122,7 +122,13 @@ def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000):
     slots = F.broadcast(table.select("mix_source", "mix_none", "phase", "nth", "at"))  # at most sources x W rows
     out = dated.join(slots, ["mix_source", "mix_none", "phase", "nth"])
     slot = F.col("first") + F.floor((F.col("block") - F.col("had")) / F.col("weight")) * F.col("period") + F.col("at")
-    return out.select(*df.columns, "block", slot.alias("slot"), F.col("mix_start").alias("place"))
+    out = out.select(*df.columns, "block", slot.alias("slot"), F.col("mix_start").alias("place"))
+    if not ordered:
+        return out
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(blocks.values()))
+    part = F.least(F.floor(F.col("slot") * parts / total), F.lit(parts - 1)).cast("int")
+    sorted_ = out.withColumn("mix_part", part).repartitionById(parts, "mix_part").sortWithinPartitions("slot", "place", "doc_id")
+    return sorted_.drop("mix_part")
 
 
 def mixture(docs, **options):
