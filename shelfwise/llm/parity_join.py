@@ -97,6 +97,8 @@ class Bands:
     def sketch(self, shingles, band):
         """Segments of a set's sketch, 64 bits each."""
         _, segments, _ = self.plan(band)
+        if not segments:  # sets of such sizes link only when equal
+            return np.empty(0, "<u8")
         place = mix(shingles ^ np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(64 * segments)
         bits = (np.bincount(place.astype(np.int64), minlength=64 * segments) & 1).astype(np.uint8)
         return np.packbits(bits, bitorder="little").view("<u8")
