@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-from .text import Memo, batch, shingle_hashes, text_column, word_hasher
+from .text import Memo, batch, free_name, shingle_hashes, text_column, word_hasher
 
 _SHAPES = bytes.maketrans(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)),
                           b"0" * 10 + b"A" * 26 + b"a" * 26 + b"a" * 128)
@@ -148,6 +148,7 @@ def keep(df, model, threshold=0.3, **options):
     """The rows of ``df``, all columns, whose score reaches the threshold."""
     if model is None:
         return df.where(F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) > 0)
+    own = free_name(df, "own_text")
     shared, columns, schema = df.sparkSession.sparkContext.broadcast(model), df.columns, df.schema
 
     def run(batches):
@@ -156,10 +157,10 @@ def keep(df, model, threshold=0.3, **options):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                x = np.stack([f(t) for t in part.column("own_text").to_pylist()])
+                x = np.stack([f(t) for t in part.column(own).to_pylist()])
                 s = vote(_unit(_weigh(x, m["idf"]) @ m["directions"]), m, **options)
                 yield part.select(columns).filter(pa.array(np.where(x.any(axis=1), s, 0.0) >= threshold))
-    return df.withColumn("own_text", F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+    return df.withColumn(own, F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def held_out(key="doc_id"):

@@ -64,25 +64,21 @@ def phases(weights, blocks):
     return out
 
 
-def _numbered(df, block_chars, per_bucket):
+def _numbered(rows, block_chars, per_bucket):
     """Adds each document's block in its source: sums over buckets of hashes, then within a bucket, so that a large
     source is dealt to many tasks."""
-    sized = df.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    sized = sized.withColumn("mix_none", F.col("source").isNull()).withColumn("mix_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    hashed = sized.withColumn("mix_hash", F.xxhash64("doc_id", "mix_chars"))
-    counts = hashed.groupBy("mix_source", "mix_none").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = rows.count()
     buckets = max(1, -(-total // per_bucket))
-    hashed = hashed.withColumn("mix_bucket", F.pmod(F.shiftright("mix_hash", 20), F.lit(buckets)))
-    key = ["mix_source", "mix_none", "mix_bucket"]
-    sums = hashed.groupBy(*key).agg(F.sum("mix_chars").alias("chars"))
-    # one row a source and bucket; a source's rows are a share of its documents of about 1 in per_bucket
-    before = F.sum("chars").over(Window.partitionBy("mix_source", "mix_none").orderBy("mix_bucket")) - F.col("chars")
-    base = sums.select(*key, before.alias("mix_base"))
-    within = Window.partitionBy(*key).orderBy("mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = hashed.withColumn("mix_within", F.coalesce(F.sum("mix_chars").over(within), F.lit(0)))
-    placed = placed.join(base, key).withColumn("mix_start", F.col("mix_base") + F.col("mix_within"))
-    return placed.withColumn("block", (F.col("mix_start") / block_chars).cast("long"))
+    hashed = rows.withColumn("hash", F.xxhash64("id", "chars")).withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(buckets)))
+    key = ["source", "none", "bucket"]
+    sums = hashed.groupBy(*key).agg(F.sum("chars").alias("sum"))
+    # one row a source and bucket
+    before = F.sum("sum").over(Window.partitionBy("source", "none").orderBy("bucket")) - F.col("sum")
+    base = sums.select(*key, before.alias("base"))
+    within = Window.partitionBy(*key).orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.withColumn("within", F.coalesce(F.sum("chars").over(within), F.lit(0)))
+    placed = placed.join(base, key).withColumn("place", F.col("base") + F.col("within"))
+    return placed.select("row", "id", "source", "none", "place", (F.col("place") / block_chars).cast("long").alias("block"))
 
 
 def square_root_weights(chars, scale=100):
@@ -92,45 +88,44 @@ def square_root_weights(chars, scale=100):
     return {s: max(1, round(scale * r / total)) for s, r in roots.items()}
 
 
-def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000, ordered=False):
-    """The rows of ``df`` (doc_id, text, source, ...) with ``block`` (in its source), ``slot`` of the block and ``place``
+def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000, size=None, ordered=False):
+    """The rows of ``df`` (doc_id, source, text, ...) with ``block`` (in its source), ``slot`` of the block and ``place``
     in the source, in characters; order by slot, place for the mixture. ``weights``: whole numbers by source, or a
-    function of the sources' sizes in characters. ``ordered``: the rows come partitioned and sorted as the mixture has them."""
-    df = df.drop("block", "slot", "place")
-    narrow = df.select("doc_id", "source", F.length("text").alias("chars"))
-    sizes = narrow.groupBy("source").agg(F.sum(F.coalesce("chars", F.lit(0))).alias("chars")).collect()  # a row a source
-    chars = {(r["source"] or "", r["source"] is None): int(r["chars"] or 0) for r in sizes}
-    given = weights(chars) if callable(weights) else {k: weights.get(None if k[1] else k[0], 1) for k in chars}
+    function of the sources' sizes in characters. ``size``: a document's size, its characters if not given. ``ordered``: the
+    rows come partitioned and sorted as the mixture has them."""
     spark = df.sparkSession
-    placed = _numbered(df, block_chars, per_bucket)
-    blocks = {s: max(1, -(-n // block_chars)) for s, n in chars.items()}
+    kept = [c for c in df.columns if c not in ("block", "slot", "place")]
+    chars = F.coalesce(F.length("text") if size is None else size, F.lit(0)).cast("long").alias("chars")
+    named = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("none"), chars]
+    sizes = df.select(*named).groupBy("source", "none").agg(F.sum("chars").alias("chars")).collect()  # a row a source
+    totals = {(r["source"], r["none"]): int(r["chars"]) for r in sizes}
+    given = weights(totals) if callable(weights) else {k: weights.get(None if k[1] else k[0], 1) for k in totals}
+    blocks = {s: max(1, -(-n // block_chars)) for s, n in totals.items()}
     rows = []
-    for phase, (first, live, order, had) in enumerate(phases({s: max(1, int(given.get(s, 1))) for s in chars}, blocks)):
+    for phase, (first, live, order, had) in enumerate(phases({s: max(1, int(given.get(s, 1))) for s in totals}, blocks)):
         seen = {}
         for slot, s in enumerate(order):
             seen[s] = seen.get(s, -1) + 1
-            rows.append((s[0], s[1], phase, had[s], live[s], len(order), first, seen[s], slot))
-    table = spark.createDataFrame(rows, "mix_source string, mix_none boolean, phase int, had long, weight int, period int, first long, nth int, at int")
-    bounds = table.select("mix_source", "mix_none", "phase", "had", "weight", "period", "first").distinct()
-    nexts = F.lead("had", 1, 1 << 62).over(Window.partitionBy("mix_source", "mix_none").orderBy("phase"))
-    spans = F.broadcast(bounds.withColumn("until", nexts))  # a row a source and phase: at most the square of the sources
-    placed = placed.withColumn("block", F.least("block", F.lit(1 << 61)))
-    same = (placed["mix_source"] == spans["mix_source"]) & (placed["mix_none"] == spans["mix_none"])
-    inside = (placed["block"] >= spans["had"]) & (placed["block"] < spans["until"])
-    dated = placed.join(spans, same & inside).select(placed["*"], "phase", "had", "weight", "period", "first")
+            rows.append((*s, phase, had[s], live[s], len(order), first, seen[s], slot))
+    table = spark.createDataFrame(rows, "source string, none boolean, phase int, had long, weight int, period int, first long, nth int, at int")
+    spans = table.select("source", "none", "phase", "had", "weight", "period", "first").distinct()
+    until = F.lead("had", 1, 1 << 62).over(Window.partitionBy("source", "none").orderBy("phase"))
+    spans = F.broadcast(spans.withColumn("until", until)).alias("s")  # a row a source and phase: at most the square of the sources
+    placed = _numbered(df.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("id"), *named), block_chars, per_bucket).alias("p")
+    inside = F.expr("p.source = s.source and p.none = s.none and p.block >= s.had and p.block < s.until")
+    dated = placed.join(spans, inside).select("p.*", "s.phase", "s.had", "s.weight", "s.period", "s.first")
     dated = dated.withColumn("nth", ((F.col("block") - F.col("had")) % F.col("weight")).cast("int"))
-    slots = F.broadcast(table.select("mix_source", "mix_none", "phase", "nth", "at"))  # at most sources x W rows
-    out = dated.join(slots, ["mix_source", "mix_none", "phase", "nth"])
+    slots = F.broadcast(table.select("source", "none", "phase", "nth", "at"))  # at most sources x W rows for each phase
     slot = F.col("first") + F.floor((F.col("block") - F.col("had")) / F.col("weight")) * F.col("period") + F.col("at")
-    out = out.select(*df.columns, "block", slot.alias("slot"), F.col("mix_start").alias("place"))
-    if not ordered:
-        return out
-    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(blocks.values()))
-    part = F.least(F.floor(F.col("slot") * parts / total), F.lit(parts - 1)).cast("int")
-    sorted_ = out.withColumn("mix_part", part).repartitionById(parts, "mix_part").sortWithinPartitions("slot", "place", "doc_id")
-    return sorted_.drop("mix_part")
+    out = dated.join(slots, ["source", "none", "phase", "nth"]).select("row", "id", "block", slot.alias("slot"), "place")
+    if ordered:
+        parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(blocks.values()))
+        part = F.least(F.floor(F.col("slot") * parts / total), F.lit(parts - 1)).cast("int")
+        out = out.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("slot", "place", "id")
+    return out.select("row.*", "block", "slot", "place")
 
 
 def mixture(docs, **options):
     """Per document: doc_id, source, block, slot, place."""
-    return mix(docs.select("doc_id", "text", "source"), **options).select("doc_id", "source", "block", "slot", "place")
+    narrow = docs.select("doc_id", "source", F.length("text").alias("size"))
+    return mix(narrow, size=F.col("size"), **options).select("doc_id", "source", "block", "slot", "place")

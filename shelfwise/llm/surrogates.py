@@ -12,7 +12,7 @@ all entities, all but the smallest of a clash move on to their next attempt, and
 exceptions travel to the documents: as a broadcast table up to ``MOST_SENT`` rows, and beyond that by a join.
 
 Null texts stay null and empty ones empty; texts without entities are returned as they were. Repeated rows are replaced
-alike. All other columns are kept.
+alike. All other columns are kept, but for one named n_entities, which the count replaces.
 """
 
 import hashlib
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import materialize
-from .text import Memo
+from .text import Memo, free_name
 
 MOST_SENT = 50_000
 
@@ -226,25 +226,25 @@ def anonymize(df, key, most_sent=MOST_SENT):
     few = exceptions.limit(most_sent + 1).count() <= most_sent
     listed = {(r["kind"], r["entity"]): r["attempt"] for r in exceptions.collect()} if few else {}
     sent = df.sparkSession.sparkContext.broadcast(listed)
-    given = df
+    given, row, found_own = df, free_name(df, "own_row"), free_name(df, "own_exceptions")
     if not few:  # the exceptions of each row's own entities, by a join on a number of the row
-        given = materialize(df.withColumn("own_row", F.monotonically_increasing_id()))
-        pairs = StructType([StructField("own_row", LongType()), StructField("kind", StringType()), StructField("entity", StringType())])
+        given = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+        pairs = StructType([StructField(row, LongType()), StructField("kind", StringType()), StructField("entity", StringType())])
 
         def mentions(batches):
             for b in batches:
-                got = [(i, *f[2:]) for i, t in zip(b.column("own_row").to_pylist(), b.column("text").to_pylist()) if t for f in find(t)]
+                got = [(i, *f[2:]) for i, t in zip(b.column(row).to_pylist(), b.column("text").to_pylist()) if t for f in find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(_arrow(pairs))], schema=_arrow(pairs))
-        own = given.select("own_row", "text").mapInArrow(mentions, pairs).distinct().join(exceptions, ["kind", "entity"])
-        own = own.groupBy("own_row").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("own_exceptions"))
-        given = given.join(own, "own_row", "left").drop("own_row")
+        own = given.select(row, "text").mapInArrow(mentions, pairs).distinct().join(exceptions, ["kind", "entity"])
+        own = own.groupBy(row).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(found_own))
+        given = given.join(own, row, "left").drop(row)
     schema, columns = StructType([*df.schema, StructField("n_entities", IntegerType())]), df.columns
 
     def run(batches):
         memo, out = Memo(lambda k: surrogate(key, *k), 50_000), _arrow(schema)
         for b in batches:
             texts, n = [], []
-            own = b.column("own_exceptions").to_pylist() if not few else [None] * b.num_rows
+            own = b.column(found_own).to_pylist() if not few else [None] * b.num_rows
             for t, o in zip(b.column("text").to_pylist(), own):
                 attempts = {(x["kind"], x["entity"]): x["attempt"] for x in o} if o else sent.value
                 new, k = replace(t, key, attempts, memo) if t else (t, 0)

@@ -31,3 +31,63 @@ def cut_pieces(docs, path, end_id, capacity):
         ids = np.append(enc(t), end_id)
         out += [(d, k, s, len(ids[s:s + capacity]), crc(ids[s:s + capacity])) for k, s in enumerate(range(0, len(ids), capacity))]
     return sorted(out)
+
+
+def shingles(text, k):
+    """Distinct runs of k words; only A-Z are lower-cased; a shorter text is one run."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1)))
+
+
+def components(docs, k, percent):
+    """{id: smallest id reachable by links}, trying all pairs of distinct sets."""
+    sets = {d: shingles(t, k) for d, t in docs if d is not None}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    ids = sorted(d for d in sets if sets[d])
+    by_shingle = {}
+    for d in ids:
+        near = {e for s in sets[d] for e in by_shingle.get(s, ())}
+        for e in near:
+            both = len(sets[d] & sets[e])
+            if 100 * both >= percent * (len(sets[d]) + len(sets[e]) - both):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+        for s in sets[d]:
+            by_shingle.setdefault(s, []).append(d)
+    return {d: find(d) for d in sets}
+
+
+def base_statistics(text):
+    import re
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i:i + 3]), []).append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def earliest_deadline(weights, blocks):
+    """Slot by slot: sources in the order of the mixture, with a new start whenever one runs out."""
+    from fractions import Fraction
+    import math
+    left, out = dict(blocks), []
+    while any(left.values()):
+        live = {s: weights[s] for s in left if left[s]}
+        total, had, t = sum(live.values()), dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            ready = [(math.ceil(Fraction((had[s] + 1) * total, w)), s) for s, w in live.items() if math.floor(Fraction(had[s] * total, w)) <= t]
+            _, s = min(ready)
+            out.append(s)
+            had[s] += 1
+            left[s] -= 1
+            t += 1
+    return out
