@@ -1,6 +1,6 @@
 """Mixes sources to target weights by Pfair scheduling, with DataFrame operations on the data.
 
-Each source's documents, in an order of their hashes, fill blocks of ``block_chars`` characters. A source of weight
+Each source's documents, in the order of the md5 of their ids, fill blocks of ``block_chars`` characters. A source of weight
 w (a whole number, W the sum of the weights of the sources that still have blocks) gets block i released at slot
 floor((i - 1) W / w) and due at slot ceil(i W / w); in each slot the released block with the earliest deadline goes next.
 So after any slot, a source has had less than one block more or fewer than its weight asks for. When a source runs out, a
@@ -65,17 +65,17 @@ def phases(weights, blocks):
 
 
 def _numbered(rows, block_chars, per_bucket):
-    """Adds each document's block in its source: sums over buckets of hashes, then within a bucket, so that a large
-    source is dealt to many tasks."""
-    total = rows.count()
-    buckets = max(1, -(-total // per_bucket))
-    hashed = rows.withColumn("hash", F.xxhash64("id", "chars")).withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(buckets)))
+    """Adds each document's block in its source, by the order of the md5 of its id: sums over buckets of that order, then
+    within a bucket, so that a large source is dealt to many tasks."""
+    buckets = max(1, -(-rows.count() // per_bucket))
+    hashed = rows.withColumn("hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    hashed = hashed.withColumn("bucket", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * buckets, 32))
     key = ["source", "none", "bucket"]
     sums = hashed.groupBy(*key).agg(F.sum("chars").alias("sum"))
     # one row a source and bucket
     before = F.sum("sum").over(Window.partitionBy("source", "none").orderBy("bucket")) - F.col("sum")
     base = sums.select(*key, before.alias("base"))
-    within = Window.partitionBy(*key).orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key).orderBy("hash", "chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("within", F.coalesce(F.sum("chars").over(within), F.lit(0)))
     placed = placed.join(base, key).withColumn("place", F.col("base") + F.col("within"))
     return placed.select("row", "id", "source", "none", "place", (F.col("place") / block_chars).cast("long").alias("block"))
@@ -129,3 +129,22 @@ def mixture(docs, **options):
     """Per document: doc_id, source, block, slot, place."""
     narrow = docs.select("doc_id", "source", F.length("text").alias("size"))
     return mix(narrow, size=F.col("size"), **options).select("doc_id", "source", "block", "slot", "place")
+
+
+#: The mixture slot by slot: the state of all sources is a list, and a step gives a slot to the released block due first.
+ORACLE = """WITH RECURSIVE d AS (SELECT doc_id, source, length(text) AS chars, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    b AS (SELECT doc_id, source, CAST(coalesce(sum(chars) OVER (PARTITION BY source ORDER BY h, chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM d),
+    z AS (SELECT source, CAST(sum(chars) AS BIGINT) AS n FROM d GROUP BY 1),
+    w AS (SELECT source, greatest(1, CAST(round(100 * sqrt(greatest(n, 1)) / (SELECT sum(sqrt(greatest(n, 1))) FROM z)) AS BIGINT)) AS w,
+        greatest(1, (n + 19999) // 20000) AS l FROM z),
+    sim AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, CAST((SELECT sum(w) FROM w) AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS s,
+        (SELECT list({'s': source, 'w': w, 'h': CAST(0 AS BIGINT), 'l': l}) FROM w) AS st
+    UNION ALL
+    SELECT slot + 1, CASE WHEN gone THEN 0 ELSE t + 1 END, CASE WHEN gone THEN CAST(list_sum(list_transform(list_filter(nx, lambda x: x.l > 0), lambda x: x.w)) AS BIGINT) ELSE total END, s2,
+        CASE WHEN gone THEN list_transform(nx, lambda x: {'s': x.s, 'w': x.w, 'h': CAST(0 AS BIGINT), 'l': x.l}) ELSE nx END
+    FROM (SELECT *, len(list_filter(nx, lambda x: x.s = s2 AND x.l = 0)) > 0 AS gone FROM (
+        SELECT *, list_transform(st, lambda x: {'s': x.s, 'w': x.w, 'h': CASE WHEN x.s = s2 THEN x.h + 1 ELSE x.h END, 'l': CASE WHEN x.s = s2 THEN x.l - 1 ELSE x.l END}) AS nx FROM (
+        SELECT *, list_sort(list_transform(list_filter(st, lambda x: x.l > 0 AND x.h * total // x.w <= t), lambda x: {'due': ((x.h + 1) * total + x.w - 1) // x.w, 's': x.s}))[1].s AS s2
+        FROM sim WHERE total > 0)))),
+    q AS (SELECT s, slot, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS block FROM sim WHERE s IS NOT NULL)
+    SELECT doc_id, source, b.place // 20000 AS block, slot, place FROM b JOIN q ON q.s = source AND q.block = b.place // 20000"""

@@ -52,4 +52,4 @@ def op10_license_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_neighbour_vote, op2_robust_outliers, op3_parity_join, op4_surrogates, op5_prefix_counts, op6_pfair_mix,
                                    op7_patched_blocks, op8_stable_tree, op9_swap_packing, op10_license_windows)}
-ORACLES = {}
+ORACLES = {"op6_pfair_mix": pfair.ORACLE}
