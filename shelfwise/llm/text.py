@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six; ``bytes.split()`` cuts at exactly the same ones.
 SPACES = " \t\n\x0b\x0c\r"
-MEMO = 500_000
+MEMO = 300_000
+RUNS = 1_000_000  # of a tokenizer
 
 
 def documents(spark, sf_dir):
@@ -21,6 +22,13 @@ def text_column(df, *others):
     return df.select(*others, F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def free_name(df, name):
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def batch(schema, **columns):
     """A record batch with the columns of an Arrow schema."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array)
@@ -96,54 +104,119 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         added = {str(t.content): i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.special, (self.cut, self.cut_id) = list(added), next(iter(added.items()))
-        self.memo = {"": b""}
+        self.memo, self.old = {"": b""}, {}
+        self.plain = self._plain(path)
 
     def whole(self, text):
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _plain(self, path):
+        """For runs of lower-case letters alone, which are one piece each to the pattern: the same merges without
+        normalizer and pattern, and which ids end a word, which is where such runs can be told apart."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        lib = Tokenizer.from_file(path)
+        suffix = lib.model.end_of_word_suffix
+        if not suffix:
+            return None
+        from tokenizers import normalizers
+        lib.normalizer = normalizers.Sequence([])
+        lib.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(lib.get_vocab_size(), bool)
+        ends[[i for t, i in lib.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        return lib, ends
+
+    def _keep(self, runs, ids, ends):
+        raw, start = ids.tobytes(), 0
+        for r, end, after in zip(runs, *ends, strict=True):
+            self.memo[r] = raw[4 * start:4 * end]
+            start = after
+
     def _encode(self, runs):
-        """Remembers runs; one call encodes many, held apart by a special token."""
-        for i in range(0, len(runs), 2048):
-            part = runs[i:i + 2048]
-            ids = np.array(self.lib.encode(self.cut.join(part), add_special_tokens=False).ids, "<u4")
+        """Remembers runs; one call encodes many."""
+        letters = [r for r in runs if r.isalpha() and r.islower() and (r.isascii() or max(r) < "\u0100")] if self.plain else []
+        for i in range(0, len(letters), 2048):
+            lib, last = self.plain
+            ids = np.array(lib.encode(" ".join(letters[i:i + 2048]), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            self._keep(letters[i:i + 2048], ids, (ends, ends))
+        rest = [r for r in runs if r not in self.memo]
+        for i in range(0, len(rest), 2048):  # held apart by a special token
+            ids = np.array(self.lib.encode(self.cut.join(rest[i:i + 2048]), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.cut_id), len(ids))
-            raw, start = ids.tobytes(), 0
-            for r, end in zip(part, ends.tolist(), strict=True):
-                self.memo[r] = raw[4 * start:4 * end]
-                start = end + 1
-
-    def _learn(self, runs):
-        missing = {r for r in runs if r not in self.memo}
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            self.memo[""] = b""
-            missing = set(runs) - {""}
-        tails = {}
+            self._keep(rest[i:i + 2048], ids, (ends.tolist(), (ends + 1).tolist()))
+
+    def _learn(self, missing):
+        """Remembers a set of runs that are not remembered yet."""
+        memo, old = self.memo, self.old
+        if len(memo) + len(missing) > RUNS // 2:  # what was met lately outlives one turn
+            self.old = old = memo
+            self.memo = memo = {"": b""}
+        new, parts, tails = [], set(), []
         for r in missing:
-            base = r.rstrip(self.MARKS)
-            if base != r and base[-1:].isalpha():
-                tails[r] = base
-        needed = {*(missing - tails.keys()), *tails.values(), *(r[len(b):] for r, b in tails.items())}
-        self._encode([r for r in needed if r not in self.memo])
-        for r, base in tails.items():
-            self.memo[r] = self.memo[base] + self.memo[r[len(base):]]
-
-    def __call__(self, text):
-        """Ids as a little-endian unsigned 32-bit array."""
-        given = text
+            known = old.get(r)
+            if known is not None:
+                memo[r] = known
+            elif r.isalpha():
+                new.append(r)
+            else:
+                base = r.rstrip(self.MARKS)
+                if base != r and base[-1:].isalpha():
+                    tail = r[len(base):]
+                    tails.append((r, base, tail))
+                    parts.add(base)
+                    parts.add(tail)
+                else:
+                    new.append(r)
+        for r in parts - missing:
+            if r not in memo:
+                known = old.get(r)
+                if known is None:
+                    new.append(r)
+                else:
+                    memo[r] = known
+        self._encode(new)
+        for r, base, tail in tails:
+            memo[r] = memo[base] + memo[tail]
+
+    def _runs(self, text):
+        """The runs of a text; None where the library has to see the text itself."""
         try:
             text.encode("latin-1")  # no marks that combine with what stands before them: lower case may come first
             text = text.lower()
         except UnicodeEncodeError:
             pass
         if any(s in text for s in self.special):
-            return self.whole(given)
-        runs = text.replace("\n", " ").split(" ")
-        try:
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, runs)), "<u4")
-        except KeyError:
-            self._learn(runs)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, runs)), "<u4")
+            return None
+        return (text.replace("\n", " ") if "\n" in text else text).split(" ")
+
+    def __call__(self, text):
+        """Ids as a little-endian unsigned 32-bit array."""
+        return self.many([text])[0]
+
+    def many(self, texts):
+        """Ids of some texts; what they have in new runs is learnt at once."""
+        runs = [self._runs(t) for t in texts]
+        found = [None if x is None else list(map(self.memo.get, x)) for x in runs]
+        gaps = [[] if v is None else [i for i, b in enumerate(v) if b is None] for v in found]
+        missing = {x[i] for x, g in zip(runs, gaps) for i in g}
+        if missing:
+            self._learn(missing)
+            for x, v, g in zip(runs, found, gaps):
+                for i in g:
+                    v[i] = self.memo[x[i]]
+        return [self.whole(t) if v is None else np.frombuffer(b"".join(v), "<u4") for t, v in zip(texts, found)]
+
+    def each(self, texts, at_once=64):
+        """Ids of texts one after the other, learnt by groups of bounded length."""
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if len(group) == at_once or size > 1 << 20:
+                yield from self.many(group)
+                group, size = [], 0
+        if group:
+            yield from self.many(group)
 
 
 @lru_cache(maxsize=2)
