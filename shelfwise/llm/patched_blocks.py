@@ -21,7 +21,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
-from .text import WordTokenizer, batch, crc_of, text_column
+from .text import batch, crc_of, text_column, word_tokenizer
 
 MAGIC = b"PFB1"
 HEADER = struct.Struct("<4sQIII")
@@ -118,17 +118,17 @@ def write_ids(df, tokenizer, path, end_id, block=128, fit=0.9, segment=1 << 16,
 
     def encode(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        tok, out = WordTokenizer(tokenizer), to_arrow_schema(coded)
+        tok, out = word_tokenizer(tokenizer), to_arrow_schema(coded)
         wide = tok.lib.get_vocab_size(with_added_tokens=True) > 1 << 16
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             part = np.searchsorted(bounds, np.array([-1 << 63 if i is None else i for i in ids], np.int64), "left").astype(np.int32)
             yield batch(out, part=part, doc_id=b.column("doc_id"),
-                        ids=[tok(t or "").astype("<u4" if wide else "<u2").tobytes() for t in b.column("text").cast(pa.string()).to_pylist()])
+                        ids=[i.astype("<u4" if wide else "<u2").tobytes() for i in tok.each(t or "" for t in b.column("text").cast(pa.string()).to_pylist())])
 
     def segments(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        tok, out = WordTokenizer(tokenizer), to_arrow_schema(stored)
+        tok, out = word_tokenizer(tokenizer), to_arrow_schema(stored)
         kind = "<u4" if tok.lib.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
         part, first, held, docs, n = None, 0, [], [], 0
 
@@ -161,7 +161,7 @@ def write_ids(df, tokenizer, path, end_id, block=128, fit=0.9, segment=1 << 16,
 def read_ids(spark, path, with_ids=True):
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids."""
     table = spark.read.parquet(path)
-    totals = table.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a range; their number is that of the partitions
+    totals = table.select("part", "n_ids").groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a range; their number is that of the partitions
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     fields = [StructField(c, LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")]
     schema = StructType([*fields, StructField("ids", BinaryType())] if with_ids else fields)
@@ -178,7 +178,7 @@ def read_ids(spark, path, with_ids=True):
                 cut = np.split(ids, ends[:-1])
                 yield batch(out, doc_id=docs, start=r["base"] + r["first"] + ends - lengths, n_tokens=lengths, ids_crc32=[crc_of(c) for c in cut],
                             **({"ids": [c.tobytes() for c in cut]} if with_ids else {}))
-    return table.join(base, "part").mapInArrow(decode, schema)
+    return table.join(F.broadcast(base), "part").mapInArrow(decode, schema)
 
 
 def round_trip(df, tokenizer, end_id=1):

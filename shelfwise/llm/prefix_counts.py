@@ -10,6 +10,7 @@ give repeated rows and null ids. Columns other than the id and the text do not t
 """
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,12 @@ class PrefixCounter:
         return first.tobytes() + raw[2:]
 
 
+@lru_cache(maxsize=1)
+def _counter(model):
+    """One counter a process, so that the tasks of a worker share what it remembers."""
+    return PrefixCounter(model)
+
+
 def longest_prefix(deltas, budget):
     """Characters of the longest prefix with at most ``budget`` tokens."""
     within = np.flatnonzero(np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64) <= budget)
@@ -163,7 +170,7 @@ def prefix_counts(df, model, limit, key="doc_id"):
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        counter, out = PrefixCounter(model), to_arrow_schema(schema)
+        counter, out = _counter(model), to_arrow_schema(schema)
         for b in batches:
             text = b.column("text")
             deltas = [counter(t) for t in text.cast(pa.string()).to_pylist()]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..session import materialize
-from .text import WordTokenizer, batch, crc_of, text_column
+from .text import batch, crc_of, text_column, word_tokenizer
 
 
 def pieces(df, tokenizer, end_id, capacity, with_ids=True):
@@ -30,12 +30,13 @@ def pieces(df, tokenizer, end_id, capacity, with_ids=True):
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        tok, out = WordTokenizer(tokenizer), to_arrow_schema(schema)
+        tok, out = word_tokenizer(tokenizer), to_arrow_schema(schema)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             got = {f.name: [] for f in out}
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.string()).to_pylist()):
-                ids = np.append(tok(t or ""), np.uint32(end_id)).astype("<u4")
+            texts = (t or "" for t in b.column("text").cast(pa.string()).to_pylist())
+            for d, ids in zip(b.column("doc_id").to_pylist(), tok.each(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start:start + capacity]
                     for c, v in zip(("row", "doc_id", "piece", "start", "length", "ids_crc32"), (row, d, k, start, len(cut), crc_of(cut))):
