@@ -5,10 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_LIMIT = 1_000_000
-
-
-FAN = 32
+FAN = 16
 
 
 def _edge_table(edges):
@@ -26,24 +23,16 @@ def _with_edge_index(df: DataFrame, value, table, out) -> DataFrame:
     return d.withColumn(out, F.when(F.col("_run") == 0, 0).otherwise((F.col("_run") - 1) * FAN + inside)).drop("_run")
 
 
-def exact_quantiles(df: DataFrame, value, probs, keys=(), method="auto", splits=1024, edges_per_key=False):
+def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=256, edges_per_key=False):
     """Linear-interpolated quantiles of ``value`` per ``keys`` as array ``q``.
 
-    ``merge`` is one ``percentile`` aggregate: each group's distinct values end
-    in one buffer. ``split`` cuts every group into value ranges, counts the
-    distinct values per range on many tasks, and reads only the ranges that
-    hold a wanted rank, so no task sees a whole group. ``auto`` counts the rows
-    of the largest group first and merges only below ``MERGE_LIMIT``.
+    Every group is cut into value ranges, the distinct values per range are
+    counted on many tasks, and only the ranges that hold a wanted rank are read,
+    so no task sees a whole group. The plan is lazy and the same at every size.
     """
     keys = list(keys)
     v = F.col(value).cast("double") if isinstance(value, str) else value.cast("double")
     rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v) AND abs(_v) < double('infinity')")
-    if method == "auto":
-        n = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        method = "merge" if n <= MERGE_LIMIT else "split"
-    if method == "merge":
-        return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-
     if not keys:
         rows = rows.withColumn("_k", F.lit(0))
     ks = keys or ["_k"]
@@ -93,21 +82,16 @@ def quantile_scalar(df: DataFrame, value, probs, **kw) -> Column:
     return exact_quantiles(df, value, probs, **kw).select("q").scalar()
 
 
-def column_quantiles(df: DataFrame, cols, probs, method="auto") -> DataFrame:
+def column_quantiles(df: DataFrame, cols, probs) -> DataFrame:
     """One row with an array of global quantiles per column, all columns in one pass."""
-    if method == "auto":
-        method = "merge" if df.count() <= MERGE_LIMIT else "split"
-    if method == "merge":
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        return df.agg(*[F.percentile(F.col(c).cast("double"), ps).alias(c) for c in cols])
     long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_f", "_x")
-    q = exact_quantiles(long, "_x", probs, keys=["_f"], method="split", edges_per_key=True)
+    q = exact_quantiles(long, "_x", probs, keys=["_f"], edges_per_key=True)
     return q.agg(*[F.max(F.when(F.col("_f") == c, F.col("q"))).alias(c) for c in cols])
 
 
-def attach_quantiles(df: DataFrame, cols, probs, method="auto", name="_q") -> DataFrame:
+def attach_quantiles(df: DataFrame, cols, probs, name="_q") -> DataFrame:
     """Add the global quantiles of ``cols`` as one struct column."""
-    return df.withColumn(name, column_quantiles(df, cols, probs, method).select(F.struct("*")).scalar())
+    return df.withColumn(name, column_quantiles(df, cols, probs).select(F.struct("*")).scalar())
 
 
 def bin_by_edges(value, edges) -> Column:
@@ -121,9 +105,9 @@ def bin_by_edges(value, edges) -> Column:
     return F.size(F.filter(inner, lambda e: e < value)).cast("int")
 
 
-def qcut(df: DataFrame, columns: dict, q: int, method="auto") -> DataFrame:
+def qcut(df: DataFrame, columns: dict, q: int) -> DataFrame:
     """Add a bin column per ``{out: column}``; equal values share a bin."""
-    d = attach_quantiles(df, list(dict.fromkeys(columns.values())), [i / q for i in range(q + 1)], method)
+    d = attach_quantiles(df, list(dict.fromkeys(columns.values())), [i / q for i in range(q + 1)])
     return d.withColumns({out: bin_by_edges(F.col(c), F.col(f"_q.{c}")) for out, c in columns.items()}).drop("_q")
 
 

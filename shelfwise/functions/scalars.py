@@ -131,21 +131,28 @@ NUMBER_WORDS = {
     "NINE": "9", "TEN": "10", "ELEVEN": "11", "TWELVE": "12", "TWENTY": "20", "THIRTY": "30", "FORTY": "40",
     "FIFTY": "50", "SIXTY": "60",
 }
-# (pattern, what the phrase becomes: group numbers and literal text)
+# (pattern, what the phrase becomes: group numbers and literal text, as regexp_extract takes them); patterns that an earlier one
+# always precedes are left out
 QUANTITY_PHRASES = [
     (r"^SET OF (\d+) (.+)", [1, 2, "件套"]), (r"^SET/(\d+) (.+)", [1, 2, "件套"]), (r"^SET (\d+) (.+)", [1, 2, "件套"]),
     (r"^SET3 (.+)", [1, "3件套"]), (r"^PACK OF (\d+) (.+)", [1, 2, "件装"]), (r"^PACK (\d+) (.+)", [1, 2, "件装"]),
     (r"^(\d+) PACK (.+)", [1, 2, "件装"]), (r"^(.+) (\d+) PACK$", [1, 2, "件装"]), (r"^(\d+) (.+) SET$", [2, 1, "件套"]),
     (r"^(\d+) PC (.+)", [2, 1, "件套"]), (r"^(\d+) PIECE (.+)", [2, 1, "件套"]),
 ]
-STOP_WORDS = (
-    "IN WITH FOR AND THE A AN OF ON TO BY AT FROM OR AS IS ARE WAS WERE BE BEEN BEING HAVE HAS HAD DO DOES DID WILL "
-    "WOULD SHOULD CAN COULD MAY MIGHT THIS THAT THESE THOSE IT ITS MY YOUR HIS HER OUR THEIR WE YOU HE SHE THEY WHAT "
-    "WHICH WHO WHOM WHOSE WHERE WHEN WHY HOW NOT NO ONLY OWN SAME SO THAN TOO VERY JUST ABOUT ABOVE AFTER AGAIN ALL "
-    "ALSO AM ANOTHER ANY BECAUSE BEFORE BELOW BETWEEN BOTH BUT CALL COME DAY DOWN EACH EVEN EVERY FIND FIRST GET GOOD "
-    "GREAT HERE HIGH HIM HIMSELF IF INTO KEEP LAST LIKE LONG LOOK MAKE MANY MORE MOST MUCH MUST MYSELF NEW NOW OFF OLD "
-    "OTHER OUT OVER PART PEOPLE PUT SAID SEE SHOW SIDE SMALL SOME SOUND STILL SUCH TAKE THEM THEN THING THINK THOUGH "
-    "THREE THROUGH TIME UNDER UNTIL UP USE WANT WAY WELL WHILE WORDS WORK WORLD WRITE YEAR YOURS").split()
+STOP_WORDS = [
+    "IN", "WITH", "FOR", "AND", "THE", "A", "AN", "OF", "ON", "TO", "BY", "AT", "FROM", "OR", "AS", "IS", "ARE",
+    "WAS", "WERE", "BE", "BEEN", "BEING", "HAVE", "HAS", "HAD", "DO", "DOES", "DID", "WILL", "WOULD", "SHOULD", "CAN",
+    "COULD", "MAY", "MIGHT", "THIS", "THAT", "THESE", "THOSE", "IT", "ITS", "MY", "YOUR", "HIS", "HER", "OUR",
+    "THEIR", "WE", "YOU", "HE", "SHE", "THEY", "WHAT", "WHICH", "WHO", "WHOM", "WHOSE", "WHERE", "WHEN", "WHY", "HOW",
+    "NOT", "NO", "ONLY", "OWN", "SAME", "SO", "THAN", "TOO", "VERY", "JUST", "ABOUT", "ABOVE", "AFTER", "AGAIN",
+    "ALL", "ALSO", "AM", "ANOTHER", "ANY", "BECAUSE", "BEFORE", "BELOW", "BETWEEN", "BOTH", "BUT", "CALL", "COME",
+    "DAY", "DOWN", "EACH", "EVEN", "EVERY", "FIND", "FIRST", "GET", "GOOD", "GREAT", "HERE", "HIGH", "HIM", "HIMSELF",
+    "IF", "INTO", "KEEP", "LAST", "LIKE", "LONG", "LOOK", "MAKE", "MANY", "MORE", "MOST", "MUCH", "MUST", "MYSELF",
+    "NEW", "NOW", "OFF", "OLD", "OTHER", "OUT", "OVER", "PART", "PEOPLE", "PUT", "SAID", "SEE", "SHOW", "SIDE",
+    "SMALL", "SOME", "SOUND", "STILL", "SUCH", "TAKE", "THEM", "THEN", "THING", "THINK", "THOUGH", "THREE", "THROUGH",
+    "TIME", "UNDER", "UNTIL", "UP", "USE", "WANT", "WAY", "WELL", "WHILE", "WORDS", "WORK", "WORLD", "WRITE", "YEAR",
+    "YOURS",
+]
 COLORS = {
     "RED": "红色", "BLUE": "蓝色", "GREEN": "绿色", "PINK": "粉色", "WHITE": "白色", "BLACK": "黑色", "YELLOW": "黄色",
     "PURPLE": "紫色", "ORANGE": "橙色", "GREY": "灰色", "GOLD": "金色", "SILVER": "银色", "BROWN": "棕色", "CREAM": "奶油色",

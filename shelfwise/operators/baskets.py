@@ -38,8 +38,10 @@ def baskets(pairs: DataFrame, top_n=200) -> DataFrame:
     return kept.groupBy("basket").agg(F.array_sort(F.collect_set("_i")).alias("items"))
 
 
-def frequent_itemsets(bk: DataFrame, min_support, max_len=3) -> DataFrame:
-    """Itemsets up to ``max_len`` with their count and the number of baskets."""
+def frequent_itemsets(bk: DataFrame, min_support=None, max_len=3, min_count=None) -> DataFrame:
+    """Itemsets up to ``max_len`` with their count and the number of baskets, by a share of the baskets or by a count of them."""
+    if min_count is not None:
+        min_support = (min_count - 0.5) / max(bk.count(), 1)
     model = FPGrowth(itemsCol="items", minSupport=min_support).fit(bk)
     n = bk.agg(F.count("*"))
     return model.freqItemsets.where(F.size("items") <= max_len).select(
@@ -72,10 +74,10 @@ def rules_from(sets: DataFrame, metric="confidence", threshold=0.1) -> DataFrame
 
 
 def mine_rules(lines: DataFrame, item, top_n=200, min_support=0.015, max_len=3, metric="confidence", threshold=0.1,
-               ladder=False) -> DataFrame:
+               ladder=False, min_count=None) -> DataFrame:
     """Baskets, itemsets and rules in one call."""
     bk = materialize(baskets(basket_pairs(lines, item), top_n))
-    sets = itemsets_with_ladder(bk, min_support, max_len)[0] if ladder else materialize(frequent_itemsets(bk, min_support, max_len))
+    sets = itemsets_with_ladder(bk, min_support, max_len)[0] if ladder else materialize(frequent_itemsets(bk, min_support, max_len, min_count))
     return rules_from(sets, metric, threshold)
 
 
@@ -148,13 +150,13 @@ def adaptive_support(bk: DataFrame) -> DataFrame:
     return bk.agg((F.avg(F.size("items")) / F.count("*")).alias("min_support"))
 
 
-def rule_set_summary(rules: DataFrame, keys=(), method="auto") -> DataFrame:
+def rule_set_summary(rules: DataFrame, keys=()) -> DataFrame:
     """Count, mean, median and maximum lift, strong rules, mean confidence and support, and the search score."""
     g = rules.groupBy(*keys).agg(
         F.count("*").alias("n_rules"), F.avg("lift").alias("mean_lift"), F.max("lift").alias("max_lift"),
         F.count(F.when(F.col("lift") > 10, 1)).alias("high_lift"), F.avg("confidence").alias("avg_confidence"),
         F.avg("support").alias("avg_support"))
-    med = exact_quantiles(rules, "lift", [0.5], keys=list(keys), method=method).select(*keys, F.get("q", F.lit(0)).alias("median_lift"))
+    med = exact_quantiles(rules, "lift", [0.5], keys=list(keys)).select(*keys, F.get("q", F.lit(0)).alias("median_lift"))
     g = g.join(med, list(keys)) if keys else g.withColumn("median_lift", med.scalar())
     return g.withColumn("score", F.col("high_lift") + 0.5 * F.col("mean_lift") + 0.1 * F.log1p(F.col("n_rules")))
 

@@ -28,23 +28,23 @@ def with_line_total(df: DataFrame) -> DataFrame:
         "invoice_day", F.to_date("invoice_date"))
 
 
-def iqr_fence(df: DataFrame, col, k=3.0, method="auto") -> DataFrame:
+def iqr_fence(df: DataFrame, col, k=3.0) -> DataFrame:
     """Keep rows within k inter-quartile ranges of the quartiles.
 
     The two quartiles are read first, so the fence is a plain filter that
     reaches the scan and the next fence does not repeat this one's work.
     """
-    row = exact_quantiles(df, col, [0.25, 0.75], method=method).first()
+    row = exact_quantiles(df, col, [0.25, 0.75]).first()
     if row is None or row["q"] is None:
         return df
     lo, hi = row["q"]
     return df.where(F.col(col).between(lo - k * (hi - lo), hi + k * (hi - lo)))
 
 
-def iqr_fences(df: DataFrame, cols=("quantity", "unit_price"), k=3.0, method="auto") -> DataFrame:
+def iqr_fences(df: DataFrame, cols=("quantity", "unit_price"), k=3.0) -> DataFrame:
     """Fences in turn: each column's quartiles come from the rows that the previous fence kept."""
     for c in cols:
-        df = iqr_fence(df, c, k, method)
+        df = iqr_fence(df, c, k)
     return df
 
 
@@ -60,9 +60,9 @@ def fill_features(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: clean(F.col(c).cast("double")) for c in cols})
 
 
-def impute_median(df: DataFrame, cols, method="auto") -> DataFrame:
+def impute_median(df: DataFrame, cols) -> DataFrame:
     for c in cols:
-        med = exact_quantiles(df, c, [0.5], method=method).select(F.get("q", F.lit(0))).scalar()
+        med = exact_quantiles(df, c, [0.5]).select(F.get("q", F.lit(0))).scalar()
         df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), med))
     return df
 

@@ -25,9 +25,9 @@ def vectors(df: DataFrame, cols, out="features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def robust_scale(df: DataFrame, cols, prefix="r_", method="auto") -> DataFrame:
+def robust_scale(df: DataFrame, cols, prefix="r_") -> DataFrame:
     """(x - median) / IQR with exact quartiles; a zero range scales by 1."""
-    d = attach_quantiles(df, cols, [0.25, 0.5, 0.75], method)
+    d = attach_quantiles(df, cols, [0.25, 0.5, 0.75])
 
     def q(c, i):
         return F.get(F.col(f"_q.{c}"), F.lit(i))
@@ -160,13 +160,12 @@ def project_2d(df: DataFrame) -> DataFrame:
 
 
 def segment_customers(df: DataFrame, cols, ks=range(3, 8), k_init=5, min_size=50, seed=42):
-    """Outlier isolation, K search and the final fit; returns labels, K and silhouette."""
+    """Outlier isolation, K search and the final fit; returns labels, K and silhouette.
+
+    ``min_size`` is the smallest first-fit cluster that is no outlier; for few customers pass a smaller one."""
     from ..session import materialize
     marked = materialize(isolate_outliers(vectors(df, cols), k_init, min_size, seed))
     normal = marked.where("NOT is_outlier")
-    if normal.limit(2 * max(ks)).count() < 2 * max(ks):  # too few customers for the size rule to mean anything
-        marked = marked.withColumn("is_outlier", F.lit(False))
-        normal = marked
     k, sil = max(search_k(normal, ks, seed), key=lambda r: r[1])
     labels = combine_labels(fit_kmeans(normal, k, seed).transform(normal), marked.where("is_outlier"))
     return labels, k, sil

@@ -7,10 +7,10 @@ from ..functions import scalars as X
 from ..functions.quantiles import exact_quantiles
 
 
-def product_dimension(lines: DataFrame, method="auto") -> DataFrame:
+def product_dimension(lines: DataFrame) -> DataFrame:
     """One row per stock code: first description, category, median price in cents."""
     first = lines.groupBy("stock_code").agg(F.min("description").alias("description"))
-    med = exact_quantiles(lines, "unit_price", [0.5], keys=["stock_code"], method=method)
+    med = exact_quantiles(lines, "unit_price", [0.5], keys=["stock_code"])
     return first.join(med, "stock_code").select(
         "stock_code", "description", X.category_name(X.categorize(F.col("description"))).alias("category_name"),
         X.short_name(F.col("description")).alias("short_name"), F.get("q", F.lit(0)).alias("median_price"))

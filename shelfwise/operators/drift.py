@@ -20,14 +20,14 @@ def unpivot(df: DataFrame, features) -> DataFrame:
     return long.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('infinity')")
 
 
-def psi_long(base: DataFrame, current: DataFrame, bins=10, open_ends=False, method="auto") -> DataFrame:
+def psi_long(base: DataFrame, current: DataFrame, bins=10, open_ends=False) -> DataFrame:
     """PSI per feature of two (feature, value) frames over the base's quantile bins.
 
     Bins are left-closed, the last one closed on both sides; current values
     outside the base's range are dropped unless ``open_ends``. A constant
     feature, or one missing on a side, scores 0.
     """
-    q = exact_quantiles(base, "value", [i / bins for i in range(bins + 1)], keys=["feature"], method=method, edges_per_key=True)
+    q = exact_quantiles(base, "value", [i / bins for i in range(bins + 1)], keys=["feature"], edges_per_key=True)
     edges = q.select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
     both = base.select("feature", "value", F.lit(1).alias("b")).unionByName(current.select("feature", "value", F.lit(0).alias("b")))
     v, e = F.col("value"), F.col("e")
@@ -82,8 +82,8 @@ def model_report(model, psi: DataFrame) -> DataFrame:
         "model_status", status_of(F.col("model_psi")))
 
 
-def monitor_features(model, base: DataFrame, current: DataFrame, features, method="auto") -> DataFrame:
-    return model_report(model, psi_long(unpivot(base, features), unpivot(current, features), method=method))
+def monitor_features(model, base: DataFrame, current: DataFrame, features) -> DataFrame:
+    return model_report(model, psi_long(unpivot(base, features), unpivot(current, features)))
 
 
 def metric_shift(base: DataFrame, current: DataFrame, ratio_metrics, delta_metrics=()) -> DataFrame:
@@ -99,14 +99,14 @@ def metric_shift(base: DataFrame, current: DataFrame, ratio_metrics, delta_metri
                       F.round("psi_signal", 6).alias("psi_signal"), status_of(F.col("psi_signal")).alias("status"))
 
 
-def rule_drift(base: DataFrame, current: DataFrame, min_lifts=5, method="auto") -> DataFrame:
+def rule_drift(base: DataFrame, current: DataFrame, min_lifts=5) -> DataFrame:
     """Drift of rule support, and of lift when both sides have at least ``min_lifts`` rules."""
     enough = min(base.count(), current.count()) >= min_lifts
     cols = ["support", "lift"] if enough else ["support"]
 
     def side(df):
         return unpivot(df, cols).withColumn("feature", F.concat("feature", F.lit("_distribution")))
-    return model_report("association", psi_long(side(base), side(current), method=method))
+    return model_report("association", psi_long(side(base), side(current)))
 
 
 def overall(models: DataFrame) -> DataFrame:
@@ -115,6 +115,7 @@ def overall(models: DataFrame) -> DataFrame:
     g = m.agg(F.array_sort(F.collect_list(F.when(F.col("status") == "drifted", F.col("model")))).alias("d"),
               F.array_sort(F.collect_list(F.when(F.col("status") == "warning", F.col("model")))).alias("w"))
 
+    # The sentences of the recommendation.
     def many(c, a, b):
         return F.when(F.size(c) > 1, a).otherwise(b)
     d_text = F.concat(many("d", "Models ", "Model "), F.array_join("d", ", "), many("d", " show", " shows"),

@@ -33,7 +33,7 @@ def _attach(base: DataFrame, key, *others, how="left") -> DataFrame:
     return base
 
 
-def profile_features(lines: DataFrame, method="auto") -> DataFrame:
+def profile_features(lines: DataFrame) -> DataFrame:
     """The 22 profile columns per customer, plus churn label and probability group."""
     day, hour = F.to_date("invoice_date"), F.hour("invoice_date")
     today = lines.agg(F.max(day)).scalar()
@@ -44,7 +44,7 @@ def profile_features(lines: DataFrame, method="auto") -> DataFrame:
         F.min(day).alias("first_purchase"), F.max(day).alias("last_purchase"),
         F.avg(hour).alias("avg_purchase_hour"), F.stddev_samp(hour).alias("hour_std"),
         _share(F.weekday("invoice_date") >= 5).alias("weekend_ratio"), _share(hour < 6).alias("is_night"))
-    q = exact_quantiles(lines, "unit_price", [0.25, 0.75], keys=["customer_id"], method=method).select(
+    q = exact_quantiles(lines, "unit_price", [0.25, 0.75], keys=["customer_id"]).select(
         "customer_id", F.get("q", F.lit(0)).alias("price_p25"), F.get("q", F.lit(1)).alias("price_p75"))
     counts = _distinct_counts(lines.withColumn("_d", day), "customer_id", total_orders="invoice_no",
                               unique_products="stock_code", _days="_d")
@@ -62,9 +62,9 @@ def profile_features(lines: DataFrame, method="auto") -> DataFrame:
     return df.withColumn("churn_label", (F.col("recency_days") > 90).cast("int"))
 
 
-def churn_prob_group(features: DataFrame, method="auto") -> DataFrame:
+def churn_prob_group(features: DataFrame) -> DataFrame:
     """0.1 to 0.9 by recency quintile."""
-    edges = quantile_scalar(features, "recency_days", [0.2, 0.4, 0.6, 0.8], method=method)
+    edges = quantile_scalar(features, "recency_days", [0.2, 0.4, 0.6, 0.8])
     above = F.size(F.filter("_e", lambda e: e < F.col("recency_days")))
     return features.withColumn("_e", edges).withColumn(
         "churn_prob_group", F.get(F.array(*[F.lit(p) for p in (0.1, 0.3, 0.5, 0.7, 0.9)]), above)).drop("_e")
@@ -166,6 +166,7 @@ def peak_month(lines: DataFrame, key="customer_id") -> DataFrame:
 
 # ------------------------------------------------------------------ churn features
 
+# Feature names and what each model leaves out.
 CHURN_EXCLUDE = ["churn_risk_score", "is_churn", "is_at_risk", "loyalty_index", "purchase_span_days", "purchase_trend_30d",
                  "spend_trend_30d", "purchase_trend_60d", "spend_trend_60d", "recent_density_ratio"]
 CLV_EXCLUDE = CHURN_EXCLUDE + ["avg_spend_per_order", "spend_per_day", "spend_depth", "total_items", "items_per_day",
@@ -189,7 +190,7 @@ def churn_feature_columns(exclude=CHURN_EXCLUDE, extra=()):
     return [c for c in [*ALL_FEATURES, *extra] if c not in exclude]
 
 
-def churn_base(lines: DataFrame, cut_date, method="auto") -> DataFrame:
+def churn_base(lines: DataFrame, cut_date) -> DataFrame:
     """Volume, price, timing and window features up to the cut, one row per customer."""
     ref = F.date_add(F.lit(cut_date).cast("date"), 1).cast("timestamp")
     lines = lines.where(F.col("invoice_date") <= F.lit(cut_date).cast("timestamp"))
@@ -206,7 +207,7 @@ def churn_base(lines: DataFrame, cut_date, method="auto") -> DataFrame:
         F.coalesce(F.stddev_samp(hour), F.lit(0.0)).alias("hour_std"), _share((hour >= 22) | (hour <= 5)).alias("is_night"),
         _share(hour.between(9, 17)).alias("is_weekday"), F.size(F.collect_set(mon)).alias("active_months"),
         *[F.coalesce(F.sum(F.when(F.col(f"_{n}"), F.col("line_cents"))), F.lit(0)).alias(f"_spend_{n}") for n in starts])
-    q = exact_quantiles(lines, "unit_price", [0.25], keys=["customer_id"], method=method).select(
+    q = exact_quantiles(lines, "unit_price", [0.25], keys=["customer_id"]).select(
         "customer_id", F.get("q", F.lit(0)).alias("price_p25"))
     # one row per order answers the order counts of every window
     visits = lines.groupBy("customer_id", "invoice_no").agg(*[F.max(f"_{n}").alias(f"_{n}") for n in starts])
@@ -232,7 +233,7 @@ def churn_base(lines: DataFrame, cut_date, method="auto") -> DataFrame:
     }).drop(*[f"_spend_{n}" for n in starts])
 
 
-def derive_churn(df: DataFrame, cut_date, method="auto") -> DataFrame:
+def derive_churn(df: DataFrame, cut_date) -> DataFrame:
     """Ratios, engagement and risk components from the base and time features."""
     ref = F.date_add(F.lit(cut_date).cast("date"), 1)
     c = F.col
@@ -251,7 +252,7 @@ def derive_churn(df: DataFrame, cut_date, method="auto") -> DataFrame:
         "spending_cv": c("price_std") / F.greatest("avg_item_price", F.lit(0.01)), "price_range": c("price_p25") * 2,
         "recency_score": F.least(F.lit(100.0), c("recency_days") / 365 * 100),
     })
-    p90 = exact_quantiles(df, "avg_items_per_order", [0.9], method=method).select(F.get("q", F.lit(0))).scalar()
+    p90 = exact_quantiles(df, "avg_items_per_order", [0.9]).select(F.get("q", F.lit(0))).scalar()
     idle = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros("last_purchase")) / F.lit(86_400_000_000)
     overdue = F.greatest(F.floor(idle - c("avg_purchase_interval")), F.lit(0)).cast("int")
     df = df.withColumns({
@@ -265,16 +266,16 @@ def derive_churn(df: DataFrame, cut_date, method="auto") -> DataFrame:
     return df.withColumns({"loyalty_index": 100 - c("churn_risk_score"), "is_at_risk": (c("churn_risk_score") > 60).cast("int")})
 
 
-def churn_features(lines: DataFrame, cut_date, label_end=None, method="auto") -> DataFrame:
+def churn_features(lines: DataFrame, cut_date, label_end=None) -> DataFrame:
     """All churn features at one cut date with the label from the days after it."""
     train = lines.where(F.col("invoice_date") <= F.lit(cut_date).cast("timestamp"))
     later = lines.where(F.col("invoice_date") >= F.date_add(F.lit(cut_date).cast("date"), 1))
     if label_end:
         later = later.where(F.col("invoice_date") <= F.lit(label_end).cast("timestamp"))
-    df = _attach(churn_base(lines, cut_date, method), "customer_id", purchase_gaps(train), half_trends(train), peak_month(train))
+    df = _attach(churn_base(lines, cut_date), "customer_id", purchase_gaps(train), half_trends(train), peak_month(train))
     df = df.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in (
         "relative_freq_trend", "relative_spend_trend")})
-    df = derive_churn(df, cut_date, method)
+    df = derive_churn(df, cut_date)
     seen = later.groupBy("customer_id").agg(F.to_date(F.min("invoice_date")).alias("first_label_purchase"))
     return df.join(seen, "customer_id", "left").withColumns({
         "is_churn": F.col("first_label_purchase").isNull().cast("int"),
@@ -300,12 +301,12 @@ def leakage_scan(df: DataFrame, cols, label="is_churn") -> DataFrame:
     return long.withColumn("verdict", F.when(F.col("abs_r") > 0.9, "drop").when(F.col("abs_r") > 0.7, "warn").otherwise("keep"))
 
 
-def cluster_features(profile: DataFrame, method="auto") -> DataFrame:
+def cluster_features(profile: DataFrame) -> DataFrame:
     """The 11 clustering columns with the RFM values they describe."""
     cols = ["recency_days", "total_orders", "total_spent"]
-    med = exact_quantiles(profile, "avg_items_per_order", [0.5], method=method).select(F.get("q", F.lit(0))).scalar()
+    med = exact_quantiles(profile, "avg_items_per_order", [0.5]).select(F.get("q", F.lit(0))).scalar()
     velocity = F.col("total_orders") / F.greatest("purchase_span_days", F.lit(1))
-    binned = attach_quantiles(profile, cols, [i / 5 for i in range(6)], method).withColumn("_med", med)
+    binned = attach_quantiles(profile, cols, [i / 5 for i in range(6)]).withColumn("_med", med)
     r, f, m = [bin_by_edges(F.col(c), F.col(f"_q.{c}")) for c in cols]
     return binned.select(
         "customer_id", (6 - r).alias("r_quintile"), (f + 1).alias("f_quintile"), (m + 1).alias("m_quintile"),

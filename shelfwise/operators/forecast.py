@@ -285,6 +285,6 @@ def seasonality(s: DataFrame, y="revenue") -> DataFrame:
     return s.groupBy(F.month("date").alias("month")).agg(F.avg(y).alias("avg_revenue"))
 
 
-def median_ape(df: DataFrame, y, yhat, method="auto") -> DataFrame:
+def median_ape(df: DataFrame, y, yhat) -> DataFrame:
     ape = df.select((F.abs((F.col(y) - F.col(yhat)) / (F.col(y) + 1)) * 100).alias("ape"))
-    return exact_quantiles(ape, "ape", [0.5], method=method).select(F.get("q", F.lit(0)).alias("median_ape"))
+    return exact_quantiles(ape, "ape", [0.5]).select(F.get("q", F.lit(0)).alias("median_ape"))

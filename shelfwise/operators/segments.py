@@ -8,18 +8,18 @@ from ..functions import scalars as X
 from ..functions.quantiles import exact_quantiles
 
 
-def medians(df: DataFrame, key, cols, method="auto") -> DataFrame:
+def medians(df: DataFrame, key, cols) -> DataFrame:
     """Median of each column per group; the columns are unpivoted so one pass serves all."""
     long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([key], cols, "_f", "_x")
-    q = exact_quantiles(long, "_x", [0.5], keys=[key, "_f"], method=method, edges_per_key=True)
+    q = exact_quantiles(long, "_x", [0.5], keys=[key, "_f"], edges_per_key=True)
     return q.groupBy(key).agg(*[F.max(F.when(F.col("_f") == c, F.get("q", F.lit(0)))).alias(c) for c in cols])
 
 
-def cluster_profiles(df: DataFrame, key="cluster", cols=("recency_days", "total_orders", "total_spent"), method="auto") -> DataFrame:
+def cluster_profiles(df: DataFrame, key="cluster", cols=("recency_days", "total_orders", "total_spent")) -> DataFrame:
     """Size, share in percent and medians per cluster."""
     total = df.agg(F.count("*")).scalar()
     sizes = df.groupBy(key).agg(F.count("*").alias("size")).withColumn("pct", F.col("size") * 100.0 / total)
-    return sizes.join(medians(df, key, list(cols), method), key)
+    return sizes.join(medians(df, key, list(cols)), key)
 
 
 def business_label(cluster, recency, orders, spent, overall) -> Column:
@@ -33,8 +33,8 @@ def business_label(cluster, recency, orders, spent, overall) -> Column:
             .when((orders <= 2) & (recency <= 90), n["new"]).otherwise(n["plain"]))
 
 
-def label_profiles(profiles: DataFrame, features: DataFrame, method="auto") -> DataFrame:
-    overall = exact_quantiles(features, "total_spent", [0.5], method=method).select(F.get("q", F.lit(0))).scalar()
+def label_profiles(profiles: DataFrame, features: DataFrame) -> DataFrame:
+    overall = exact_quantiles(features, "total_spent", [0.5]).select(F.get("q", F.lit(0))).scalar()
     return profiles.withColumn("_g", overall).withColumn("label", business_label(
         F.col("cluster"), F.col("recency_days"), F.col("total_orders"), F.col("total_spent"), F.col("_g"))).drop("_g")
 

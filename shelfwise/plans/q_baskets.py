@@ -1,5 +1,6 @@
 """Market-basket queries (AR*, and the rule aggregates)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -11,23 +12,27 @@ from .q_basics import CLUSTER_SQL, cluster_labels
 from .registry import query
 
 
-def itemset_sql(item, where, min_support, max_len, p="", top_n=None, src="sales"):
+def itemset_sql(item, where, min_support, max_len, p="", top_n=None, src="sales", min_count=None):
     """Itemsets by self-joins up to three items; ``p`` prefixes the fragment names."""
     top = f"AND item IN (SELECT item FROM {p}a GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {top_n})" if top_n else ""
     k3 = f"""UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM {p}b a JOIN {p}b b ON a.k = b.k AND a.item < b.item
         JOIN {p}b c ON a.k = c.k AND b.item < c.item GROUP BY a.item, b.item, c.item""" if max_len > 2 else ""
     return f"""{p}a AS (SELECT DISTINCT invoice_no AS k, CAST({item} AS VARCHAR) AS item FROM {src} WHERE {where}),
     {p}b AS (SELECT * FROM {p}a WHERE TRUE {top}),
-    {p}n AS (SELECT count(DISTINCT k) AS n, ceil(count(DISTINCT k) * {min_support}) AS mc FROM {p}a),
+    {p}n AS (SELECT count(DISTINCT k) AS n, {min_count or f"ceil(count(DISTINCT k) * {min_support})"} AS mc FROM {p}a),
     {p}cand AS (SELECT [item] AS s, count(*) AS f FROM {p}b GROUP BY item UNION ALL
     SELECT [a.item, b.item], count(*) FROM {p}b a JOIN {p}b b ON a.k = b.k AND a.item < b.item GROUP BY a.item, b.item {k3}),
     {p}its AS (SELECT s, f, n FROM {p}cand, {p}n WHERE f >= mc)"""
 
 
 def rule_sql(p="", cond="confidence >= 0.1"):
-    return f"""{p}rules AS (SELECT * FROM (SELECT a.s AS ant, c.s AS con, x.f / x.n::DOUBLE AS support, x.f / a.f::DOUBLE AS confidence,
-    (x.f / a.f::DOUBLE) / (c.f / x.n::DOUBLE) AS lift FROM {p}its x JOIN {p}its a ON len(a.s) < len(x.s) AND list_has_all(x.s, a.s)
-    JOIN {p}its c ON len(a.s) + len(c.s) = len(x.s) AND list_has_all(x.s, c.s) AND NOT list_has_any(a.s, c.s)) WHERE {cond})"""
+    """Every split of an itemset of up to three items, joined to its parts on equal lists."""
+    halves = lambda *xs: ", ".join("{'a': [%s], 'c': [%s]}" % (", ".join(f"s[{i}]" for i in a), ", ".join(f"s[{i}]" for i in c)) for a, c in xs)
+    two = halves(((1,), (2,)), ((2,), (1,)))
+    three = halves(*((x, tuple(i for i in (1, 2, 3) if i not in x)) for x in ((1,), (2,), (3,), (1, 2), (1, 3), (2, 3))))
+    return f"""{p}splits AS (SELECT f, n, unnest(CASE len(s) WHEN 2 THEN [{two}] ELSE [{three}] END) AS h FROM {p}its WHERE len(s) > 1),
+    {p}rules AS (SELECT * FROM (SELECT a.s AS ant, c.s AS con, x.f / x.n::DOUBLE AS support, x.f / a.f::DOUBLE AS confidence,
+    (x.f / a.f::DOUBLE) / (c.f / x.n::DOUBLE) AS lift FROM {p}splits x JOIN {p}its a ON a.s = x.h.a JOIN {p}its c ON c.s = x.h.c) WHERE {cond})"""
 
 
 OUT = "array_to_string(ant, ',') AS antecedents, array_to_string(con, ',') AS consequents, round(support, 6) AS support, " \
@@ -101,12 +106,12 @@ def _(t):
     return flat(B.rules_from(brand_sets(t), "lift", 1.2))
 
 
-_CODE = itemset_sql("stock_code", "TRUE", 0.00017, 2, top_n=200) + ", " + rule_sql(cond="confidence >= 0.05")
+_CODE = itemset_sql("stock_code", "TRUE", None, 2, top_n=200, min_count=2) + ", " + rule_sql(cond="confidence >= 0.05")
 
 
 def code_rules(t):
     bk = materialize(B.baskets(B.basket_pairs(t.sales("invoice_no", "stock_code"), "stock_code"), 200))
-    return B.rules_from(materialize(B.frequent_itemsets(bk, 0.00017, 2)), threshold=0.05)
+    return B.rules_from(materialize(B.frequent_itemsets(bk, max_len=2, min_count=2)), threshold=0.05)
 
 
 @query("ar5_code_rules", "sales", """SELECT ant[1] AS code, con[1] AS other, p.p_name AS description, q.p_name AS other_description, round(lift, 6) AS lift
@@ -234,17 +239,18 @@ def _(t):
 
 @query("wn14_rank_by_lift", "sales", f"SELECT product_id, consequent_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY lift DESC, consequent_id) AS INTEGER) AS rank FROM ({_PR})", _CODE)
 def _(t):
-    return C.top_per_group(B.product_rules(code_rules(t)), ["product_id"], [F.desc("lift"), F.asc("consequent_id")], 1000000).select(
-        "product_id", "consequent_id", "rank")
+    # a product is in at most as many rules as there are top items, so its ranking stays small
+    w = Window.partitionBy("product_id").orderBy(F.desc("lift"), "consequent_id")
+    return B.product_rules(code_rules(t)).select("product_id", "consequent_id", F.row_number().over(w).alias("rank"))
 
 
-_NAMED = itemset_sql("description", "TRUE", 0.0045, 2) + ", " + rule_sql() + """,
+_NAMED = itemset_sql("description", "TRUE", None, 2, top_n=200, min_count=2) + ", " + rule_sql() + """,
     r AS (SELECT array_to_string(ant, ',') || '>' || array_to_string(con, ',') AS rule_id, substring(array_to_string(con, ', '), 1, 200) AS consequent FROM rules)"""
 
 
 def name_rules(t):
     """Rules mined on product names, as stored text."""
-    r = B.mine_rules(t.sales("invoice_no", "description"), "description", 200, 0.0045, 2)
+    r = B.mine_rules(t.sales("invoice_no", "description"), "description", 200, max_len=2, min_count=2)
     return r.select(F.concat(F.array_join("antecedents", ","), F.lit(">"), F.array_join("consequents", ",")).alias("rule_id"),
                     X.rule_text("consequents").alias("consequent"))
 

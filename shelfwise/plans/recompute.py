@@ -41,11 +41,12 @@ def metric_rows(spark, model, values: dict) -> DataFrame:
         "created_at", F.current_timestamp())
 
 
-def recompute(lines: DataFrame, folder, cut_date, item="brand", horizon=12, force=False) -> dict:
+def recompute(lines: DataFrame, folder, cut_date, item="brand", horizon=12, force=False, min_cluster=50) -> dict:
     """Run all stages over cleaned invoice lines and return the result tables by name.
 
     ``lines`` needs customer_id, invoice_no, stock_code, quantity, unit_price,
-    line_cents, invoice_date and the ``item`` column.
+    line_cents, invoice_date and the ``item`` column. ``min_cluster``: customers that
+    a first-fit cluster needs so as not to count as outliers.
     """
     spark = lines.sparkSession
 
@@ -58,7 +59,7 @@ def recompute(lines: DataFrame, folder, cut_date, item="brand", horizon=12, forc
 
     scaled = FT.minmax_scale(materialize(FT.cluster_features(profile)), S.CLUSTER_FEATURES, log=True)
     cols = [f"u_{c}" for c in S.CLUSTER_FEATURES]
-    labels = stage("cluster_labels", lambda: KC.segment_customers(scaled.select("customer_id", *cols), cols)[0])
+    labels = stage("cluster_labels", lambda: KC.segment_customers(scaled.select("customer_id", *cols), cols, min_size=min_cluster)[0])
     tagged = materialize(profile.join(labels, "customer_id"))
     profiles = stage("cluster_profiles", lambda: SG.label_profiles(SG.cluster_profiles(tagged), tagged))
     segments = stage("rfm_analysis", lambda: SG.write_segments(rfm.drop("segment"), labels, profiles))

@@ -27,7 +27,7 @@ def skewed():
 @pytest.mark.parametrize("splits", [8, 100])
 def test_split_quantiles(spark, skewed, per_key, splits):
     ps = [0.0, 0.2, 0.25, 0.5, 0.9, 1.0]
-    q = QT.exact_quantiles(spark.createDataFrame(skewed), "v", ps, keys=["k"], method="split", splits=splits, edges_per_key=per_key)
+    q = QT.exact_quantiles(spark.createDataFrame(skewed), "v", ps, keys=["k"], splits=splits, edges_per_key=per_key)
     got = {r["k"]: r["q"] for r in q.collect()}
     for k, g in skewed.groupby("k"):
         np.testing.assert_allclose(got[k], np.quantile(g.v, ps), rtol=1e-12)
@@ -36,18 +36,16 @@ def test_split_quantiles(spark, skewed, per_key, splits):
 def test_split_quantiles_global_and_columns(spark, skewed):
     df = spark.createDataFrame(skewed)
     want = np.quantile(skewed.v, [0.1, 0.5])
-    for m in ("merge", "split"):
-        np.testing.assert_allclose(QT.exact_quantiles(df, "v", [0.1, 0.5], method=m).first()["q"], want, rtol=1e-12)
-        row = QT.column_quantiles(df, ["v", "day"], [0.1, 0.5], method=m).first()
-        np.testing.assert_allclose(row["v"], want, rtol=1e-12)
-        np.testing.assert_allclose(row["day"], np.quantile(skewed.day, [0.1, 0.5]), rtol=1e-12)
+    np.testing.assert_allclose(QT.exact_quantiles(df, "v", [0.1, 0.5]).first()["q"], want, rtol=1e-12)
+    row = QT.column_quantiles(df, ["v", "day"], [0.1, 0.5]).first()
+    np.testing.assert_allclose(row["v"], want, rtol=1e-12)
+    np.testing.assert_allclose(row["day"], np.quantile(skewed.day, [0.1, 0.5]), rtol=1e-12)
 
 
 def test_qcut_matches_pandas(spark, skewed):
-    for m in ("merge", "split"):
-        got = QT.qcut(spark.createDataFrame(skewed), {"b": "v"}, 5, method=m).toPandas().sort_values("id")
-        want = pd.qcut(skewed.v, 5, labels=False, duplicates="drop")
-        assert (got.b.to_numpy() == want.to_numpy()).all()
+    got = QT.qcut(spark.createDataFrame(skewed), {"b": "v"}, 5).toPandas().sort_values("id")
+    want = pd.qcut(skewed.v, 5, labels=False, duplicates="drop")
+    assert (got.b.to_numpy() == want.to_numpy()).all()
 
 
 def test_split_running_sum_and_neighbor(spark, skewed):
@@ -93,10 +91,10 @@ def test_purchase_gaps_and_trends(spark, visits):
         assert half[c]["relative_spend_trend"] == pytest.approx(min(b.line_cents.sum() / max(a.line_cents.sum(), 1), 5))
 
 
-def test_profile_same_on_split_path(spark, visits):
+def test_profile_same_on_other_partitions(spark, visits):
     df = spark.createDataFrame(visits)
-    a = FT.profile_features(df, method="merge").toPandas().sort_values("customer_id").reset_index(drop=True)
-    b = FT.profile_features(df.repartition(7), method="split").toPandas().sort_values("customer_id").reset_index(drop=True)
+    a = FT.profile_features(df).toPandas().sort_values("customer_id").reset_index(drop=True)
+    b = FT.profile_features(df.repartition(7)).toPandas().sort_values("customer_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-9)
     one = visits[visits.customer_id == 1]
     row = a[a.customer_id == 1].iloc[0]
@@ -114,8 +112,7 @@ def test_fences_run_in_turn(spark, visits):
     for c in ("quantity", "unit_price"):
         a, b = want[c].quantile([0.25, 0.75])
         want = want[(want[c] >= a - 3 * (b - a)) & (want[c] <= b + 3 * (b - a))]
-    for m in ("merge", "split"):
-        assert CL.iqr_fences(spark.createDataFrame(df), method=m).count() == len(want)
+    assert CL.iqr_fences(spark.createDataFrame(df)).count() == len(want)
 
 
 def numpy_psi(base, cur, bins=10):
@@ -130,11 +127,10 @@ def test_psi(spark, skewed):
     cur = rng.normal(25, 12, 3000)
     base = spark.createDataFrame(skewed[["v"]]).withColumn("c", F.lit(3.0))
     now = spark.createDataFrame(pd.DataFrame({"v": cur})).withColumn("c", F.lit(3.0))
-    for m in ("merge", "split"):
-        same = {r["feature"]: r["psi"] for r in DR.psi_long(DR.unpivot(base, ["v", "c"]), DR.unpivot(base, ["v", "c"]), method=m).collect()}
-        assert same == {"v": 0.0, "c": 0.0}
-        got = {r["feature"]: r["psi"] for r in DR.psi_long(DR.unpivot(base, ["v", "c"]), DR.unpivot(now, ["v", "c"]), method=m).collect()}
-        assert got["v"] == pytest.approx(numpy_psi(skewed.v, cur)) and got["c"] == 0.0
+    same = {r["feature"]: r["psi"] for r in DR.psi_long(DR.unpivot(base, ["v", "c"]), DR.unpivot(base, ["v", "c"])).collect()}
+    assert same == {"v": 0.0, "c": 0.0}
+    got = {r["feature"]: r["psi"] for r in DR.psi_long(DR.unpivot(base, ["v", "c"]), DR.unpivot(now, ["v", "c"])).collect()}
+    assert got["v"] == pytest.approx(numpy_psi(skewed.v, cur)) and got["c"] == 0.0
     assert [r[0] for r in spark.createDataFrame([(0.1,), (0.11,), (0.25,), (0.26,)], "p double").select(DR.status_of(F.col("p"))).collect()] == [
         "stable", "warning", "warning", "drifted"]
 
