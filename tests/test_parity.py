@@ -31,4 +31,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("key", ["ar4_rules", "ar4_rules_by_lift", "ar5_code_rules", "jn4_recommendations", "jn13_match_rule_products",
                                  "jn13_match_contained", "wn14_rank_by_lift", "so1_union_rules"])
 def test_rules_are_not_empty(folder, key):
-    assert duck(folder).sql(f"SELECT count(*) FROM ({ORACLES[key]})").fetchone()[0] > 0
+    assert duck(folder).sql(f"SELECT count(*) FROM ({ORACLES[key]})").fetchall()[0][0] > 0
