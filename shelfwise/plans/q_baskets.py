@@ -244,13 +244,13 @@ def _(t):
     return B.product_rules(code_rules(t)).select("product_id", "consequent_id", F.row_number().over(w).alias("rank"))
 
 
-_NAMED = itemset_sql("description", "TRUE", None, 2, top_n=200, min_count=2) + ", " + rule_sql() + """,
+_NAMED = itemset_sql("description", "TRUE", None, 2, top_n=200, min_count=2) + ", " + rule_sql(cond="confidence >= 0.05") + """,
     r AS (SELECT array_to_string(ant, ',') || '>' || array_to_string(con, ',') AS rule_id, substring(array_to_string(con, ', '), 1, 200) AS consequent FROM rules)"""
 
 
 def name_rules(t):
     """Rules mined on product names, as stored text."""
-    r = B.mine_rules(t.sales("invoice_no", "description"), "description", 200, max_len=2, min_count=2)
+    r = B.mine_rules(t.sales("invoice_no", "description"), "description", 200, max_len=2, threshold=0.05, min_count=2)
     return r.select(F.concat(F.array_join("antecedents", ","), F.lit(">"), F.array_join("consequents", ",")).alias("rule_id"),
                     X.rule_text("consequents").alias("consequent"))
 
