@@ -1,7 +1,8 @@
 """Near copies by a parity-sketch join on word shingles, and the groups their links make.
 
 A document is the set of its shingles (64-bit hashes of runs of words; a pair of sets would need more than a hundred million
-shingles for a likely wrong match). Equal sets are merged into classes first. For a size band with largest size m, two
+shingles for a likely wrong match), and a node is a distinct set, named by a 64-bit hash of it, so that copies send their keys
+once a task and count once in the search. For a size band with largest size m, two
 linked sets differ in at most D = 2 m (1 - t) / (1 + t) shingles. A sketch of S > D segments of 64 bits takes each shingle to one bit by
 its hash and toggles it, so the Hamming distance of two sketches never exceeds the symmetric difference, and linked sets
 agree on at least S - D whole segments: the join is on (band, segment, value). Sets go to their own band and to those
@@ -10,14 +11,18 @@ above in which they can be the smaller partner.
 Segments of few bits are shared by chance. As S exceeds D + 1 by a margin, a set with more than D segments of at least ``rich`` bits has,
 for each partner, such a segment among those they agree on, so it sends only these; any other set sends all.
 
+A caller who bears a small chance of a miss (``miss``, for a pair at the very threshold) gets by with less: differences fall on
+segments by hashes, so fewer and fuller segments do, rich ones alone are sent, and a linked pair shares at least ``need`` keys, by
+Chernoff's bound. Pairs of short runs that share less than half of that are dropped, as are the places in longer runs of
+sets that have less than half of it there. Sizes for which no such bound holds are searched as above.
+
 Rows that share a key come sorted past one task each, in a stream: runs of up to ``SMALL`` sets become pairs there, and
-only longer runs are kept as groups. Pairs are pruned by their sketches and the rest verified on whole sets. Groups of
-longer runs are compared in square blocks of bounded size on their sketches; of what could be links only a spanning
+only longer runs are kept as groups. Pairs are pruned by a short sketch of fixed length and by their sketches, and the rest verified on whole sets. Groups of
+longer runs are compared in square blocks of bounded size on their short sketches; of what could be links only a spanning
 forest goes on to be verified, and rounds follow until each pair of a group is known to be apart or joined by verified
 links. So all links count for the groups, and no group's pairs are written out.
 
-Documents without words or text stand alone, as do those without an id; texts that share an
-id share its links.
+Documents without words or text stand alone, as do those without an id; texts that share an id are grouped each by its own.
 No rows give no rows. Columns other than doc_id and text do not take part.
 """
 
@@ -35,7 +40,9 @@ from .text import batch, mix, shingle_hashes, text_column, word_hasher
 
 BAND = 1.3
 SMALL = 16
-BLOCK = 512
+BLOCK = 4096
+FOLD = 512  # bits of the short sketch
+WIDE = 4  # bits a shingle, at least, of the wide one
 
 
 def _schema(**kinds):
@@ -52,12 +59,18 @@ def shingle_set(text, hasher, words):
     return np.unique(shingle_hashes(hasher((text or b"").lower().split()), words))
 
 
+def _at_least(k, rate):
+    """Chance of at least k events at a Poisson rate."""
+    return 1 - math.exp(-rate) * sum(rate ** i / math.factorial(i) for i in range(k))
+
+
 class Bands:
     """Size bands and their sketches for links of at least ``percent`` per cent."""
 
-    def __init__(self, percent):
-        self.percent = percent
+    def __init__(self, percent, miss=0.0):
+        self.percent, self.miss = percent, miss
         self.plan = lru_cache(None)(self._plan)
+        self.need = lru_cache(None)(self._need)
 
     def most_apart(self, a, b):
         """Largest symmetric difference of two linked sets of sizes a and b."""
@@ -80,23 +93,46 @@ class Bands:
         return range(self.of(n), self.of(max(n, 100 * n // self.percent)) + 1)
 
     def _plan(self, band):
-        """D, number of segments and least bits of a rich segment of a band."""
+        """D, number of segments, least bits of a rich segment, and how many rich ones a set has at least to send only these (0: it
+        always does, since then a linked pair shares a rich one but for the chance ``miss``)."""
         low, high = self.least(band), self.least(band + 1) - 1
         apart = self.most_apart(high, high)
         if apart == 0:
-            return 0, 0, 0
+            return 0, 0, 0, 0
+        if self.miss:
+            for rich in (4, 3, 2):
+                for segments in range(max(2, apart // 2), 2 * apart):
+                    if (1 - self._chance(low, apart, segments, rich)) ** segments <= self.miss:
+                        return apart, segments, rich, 0
         for rich in (4, 3, 2):
             for spare in range(1, apart // 3 + 2):
                 segments = apart + 1 + spare
-                rate = low / segments
-                poor = segments * math.exp(-rate) * sum(rate ** k / math.factorial(k) for k in range(rich))
+                poor = segments * (1 - _at_least(rich, low / segments))
                 if poor + 2 * math.sqrt(poor) <= spare:
-                    return apart, segments, rich
-        return apart, apart + 2, 1
+                    return apart, segments, rich, apart + 1
+        return apart, apart + 2, 1, apart + 1
+
+    def _chance(self, low, apart, segments, rich):
+        """That a segment of a linked pair is rich and free of all differences; what they share is at least the least size's share."""
+        return (1 - 1 / segments) ** apart * _at_least(rich, self.percent * low / 100 / segments)
+
+    def _need(self, band):
+        """Keys that a linked pair of a band shares but for the chance ``miss``, by Chernoff's bound; hits of differences on
+        segments hold each other back, so that the bound for independent ones holds."""
+        apart, segments, rich, least = self.plan(band)
+        if not segments or least:
+            return 1
+        chance, shared = self._chance(self.least(band), apart, segments, rich), 0
+        while True:
+            x = shared / segments
+            far = (x * math.log(x / chance) if x else 0) + (1 - x) * math.log((1 - x) / (1 - chance))
+            if x >= chance or math.exp(-segments * far) > self.miss:
+                return max(1, shared)
+            shared += 1
 
     def sketch(self, shingles, band):
         """Segments of a set's sketch, 64 bits each."""
-        _, segments, _ = self.plan(band)
+        segments = self.plan(band)[1]
         if not segments:  # sets of such sizes link only when equal
             return np.empty(0, "<u8")
         place = mix(shingles ^ np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(64 * segments)
@@ -107,56 +143,88 @@ class Bands:
         """Join keys of a set: a hash of band, segment and value for each segment sent."""
         out = []
         for band in self.bands(len(shingles)):
-            apart, segments, rich = self.plan(band)
+            _, segments, rich, least = self.plan(band)
             if segments:
                 s = self.sketch(shingles, band)
                 where = np.flatnonzero(np.bitwise_count(s) >= rich)
-                if len(where) <= apart:
+                if len(where) < least:
                     where = np.arange(segments)
                 with np.errstate(over="ignore"):
                     out.append(mix(mix(s[where] + np.uint64(band << 32)) + where.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _node(shingles):
+    """The name of a set: a hash of its sorted shingles."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def _sets(batches, words):
+    """Per slice of a batch: its part and the parts' sets."""
+    hasher = word_hasher()
+    for b in batches:
+        for i in range(0, b.num_rows, 512):
+            part = b.slice(i, 512)
+            yield part, [shingle_set(t, hasher, words) for t in part.column("text").to_pylist()]
+
+
+def _fold(shingles, size=FOLD):
+    """A parity sketch of a power of two of bits, for sets of any size; the halves of a longer one add up to it."""
+    bits = np.bincount((mix(shingles) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _wide(shingles):
+    return _fold(shingles, max(FOLD, 1 << (WIDE * len(shingles) - 1).bit_length()) if len(shingles) else FOLD)
+
+
+def _shorter(folds, words):
+    """Folds, one a row, cut to some 64-bit words by adding up their parts."""
+    return np.bitwise_xor.reduce(folds.reshape(len(folds), -1, words), axis=1)
+
+
 def _signatures(df, words):
-    """Per row: doc_id, size of the set and a 128-bit hash of it."""
-    schema = _schema(doc_id=LongType, n_shingles=LongType, d1=LongType, d2=LongType)
+    """Per row: doc_id, size of the set, its node and its short sketch."""
+    schema = _schema(doc_id=LongType, n_shingles=LongType, node=LongType, fold=BinaryType, wide=BinaryType)
 
     def run(batches):
-        hasher, out = word_hasher(), _arrow(schema)
-        for b in batches:
-            sets = [shingle_set(t, hasher, words) for t in b.column("text").to_pylist()]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            yield batch(out, doc_id=b.column("doc_id"), n_shingles=[len(s) for s in sets], d1=digest[:, 0], d2=digest[:, 1])
-    return text_column(df, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema)
+        out = _arrow(schema)
+        for part, sets in _sets(batches, words):
+            yield batch(out, doc_id=part.column("doc_id"), n_shingles=[len(s) for s in sets], node=[_node(s) for s in sets],
+                        fold=[_fold(s) for s in sets], wide=[_wide(s) for s in sets])
+    return df.mapInArrow(run, schema)
 
 
-def _keys(docs, words, percent):
-    """Rows (key, node, size) of the classes' documents."""
+def _keys(docs, words, percent, miss=0.0):
+    """Rows (key, node, size) of the distinct sets of each task's slices."""
     schema = _schema(key=LongType, node=LongType, size=IntegerType)
 
     def run(batches):
-        hasher, out, bands = word_hasher(), _arrow(schema), Bands(percent)
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                sets = [shingle_set(t, hasher, words) for t in part.column("text").to_pylist()]
-                keys = [bands.keys(s) if len(s) else np.empty(0, np.uint64) for s in sets]
-                sent = [len(k) for k in keys]
-                yield batch(out, key=np.concatenate(keys).view(np.int64), node=np.repeat(part.column("node").to_numpy(zero_copy_only=False), sent),
-                            size=np.repeat(np.array([len(s) for s in sets], np.int32), sent))
-    return text_column(docs, "node").mapInArrow(run, schema)
-
-
-def _runs(keys, percent):
-    """Runs of equal keys: pairs (a < b, key null) of short ones that sizes allow, members (b null) of longer ones."""
-    schema = _schema(key=LongType, a=LongType, na=IntegerType, b=LongType, nb=IntegerType)
+        out, bands = _arrow(schema), Bands(percent, miss)
+        for _, sets in _sets(batches, words):
+            once = {_node(s): s for s in sets if len(s)}
+            keys = [bands.keys(s) for s in once.values()]
+            sent = [len(k) for k in keys]
+            if sum(sent):
+                yield batch(out, key=np.concatenate(keys).view(np.int64), node=np.repeat(np.array(list(once)), sent),
+                            size=np.repeat(np.array([len(s) for s in once.values()], np.int32), sent))
+    return docs.mapInArrow(run, schema)
+
+
+def _runs(keys, percent, miss=0.0):
+    """Runs of equal keys: pairs (a < b, key null) of short ones that sizes allow, with the keys shared so far, and members (b
+    null) of longer ones; ``need`` is what they have to share in all."""
+    schema = _schema(key=LongType, a=LongType, na=IntegerType, b=LongType, nb=IntegerType, shared=IntegerType, need=IntegerType)
 
     def run(batches):
-        out = _arrow(schema)
+        out, bands = _arrow(schema), Bands(percent, miss)
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         long_key = None
 
+        def needs(sizes, least):
+            each, at = np.unique(sizes, return_inverse=True)
+            return np.array([min(map(bands.need, bands.bands(int(n)))) if least else bands.need(bands.of(int(n))) for n in each], np.int32)[at]
+
         def results(key, node, size):
             nonlocal long_key
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -178,18 +246,25 @@ def _runs(keys, percent):
                     c.append(v)
             if cols[1]:
                 a, na, b, nb = (np.concatenate(c) for c in cols[1:])
-                _, once = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(once), pa.int64()), *map(pa.array, (a[once], na[once], b[once], nb[once]))], schema=out)
+                order = np.lexsort((b, a))
+                a, na, b, nb = a[order], na[order], b[order], nb[order]
+                once = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                shared = np.diff(np.r_[once, len(a)]).astype(np.int32)
+                a, na, b, nb = a[once], na[once], b[once], nb[once]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(once), pa.int64()), *map(pa.array, (a, na, b, nb, shared, needs(np.maximum(na, nb), False)))], schema=out)
             m = np.flatnonzero(is_long)
             if len(m):
                 yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(node[m]), pa.array(size[m]), pa.nulls(len(m), pa.int64()),
-                                                  pa.nulls(len(m), pa.int32())], schema=out)
+                                                  pa.nulls(len(m), pa.int32()), pa.nulls(len(m), pa.int32()), pa.array(needs(size[m], True))], schema=out)
                 long_key = key[m[-1]]
         for b in batches:
             got = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "node", "size"))]
-            key = got[0]
+            key, node, _ = got
             if not len(key):
                 continue
+            once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies sent by several tasks
+            got = [g[once] for g in got]
+            key = got[0]
             last = int(np.searchsorted(key, key[-1], "left"))  # the run at the end may go on
             if len(key) - last > SMALL:
                 yield from results(*got)
@@ -202,26 +277,16 @@ def _runs(keys, percent):
     return parts.mapInArrow(run, schema)
 
 
-def _sketches(docs, words, percent):
-    """Per class document: node, size and its sketches of all its bands, one after the other."""
-    schema = _schema(node=LongType, size=IntegerType, sketch=BinaryType)
-
-    def run(batches):
-        hasher, out, bands = word_hasher(), _arrow(schema), Bands(percent)
-        for b in batches:
-            sets = [shingle_set(t, hasher, words) for t in b.column("text").to_pylist()]
-            yield batch(out, node=b.column("node"), size=[len(s) for s in sets], sketch=[b"".join(bands.sketch(s, k).tobytes() for k in bands.bands(len(s))) for s in sets])
-    return text_column(docs, "node").mapInArrow(run, schema)
-
-
-def _sets(docs, words):
-    schema = _schema(node=LongType, shingles=BinaryType)
+def _described(docs, words, percent):
+    """Per node: its size, its sketches of all its bands, one after the other, and its shingles."""
+    schema = _schema(node=LongType, size=IntegerType, sketch=BinaryType, shingles=BinaryType)
 
     def run(batches):
-        hasher, out = word_hasher(), _arrow(schema)
-        for b in batches:
-            yield batch(out, node=b.column("node"), shingles=[shingle_set(t, hasher, words).tobytes() for t in b.column("text").to_pylist()])
-    return text_column(docs, "node").mapInArrow(run, schema)
+        out, bands = _arrow(schema), Bands(percent)
+        for _, sets in _sets(batches, words):
+            yield batch(out, node=[_node(s) for s in sets], size=[len(s) for s in sets], shingles=[s.tobytes() for s in sets],
+                        sketch=[b"".join(bands.sketch(s, k).tobytes() for k in bands.bands(len(s))) if len(s) else b"" for s in sets])
+    return docs.mapInArrow(run, schema)
 
 
 def _part(bands, sketch, size, band):
@@ -230,30 +295,35 @@ def _part(bands, sketch, size, band):
     return np.frombuffer(sketch, "<u8", bands.plan(band)[1], at)
 
 
-def _near(pairs, sketches, percent):
-    """Pairs whose sketches leave the link open."""
-    schema = _schema(a=LongType, b=LongType)
-    one = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+def _close(pairs, sketches, percent, column, distance):
+    """Pairs whose sketches leave the link open: ``distance`` of the two bounds the symmetric difference from below."""
+    schema = _schema(a=LongType, na=IntegerType, b=LongType, nb=IntegerType)
+    one = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col(column).alias("sa"))
+    two = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col(column).alias("sb"))
 
     def run(batches):
         out, bands = _arrow(schema), Bands(percent)
         for batch_ in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(batch_.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
-                band = bands.of(max(na, nb))
-                apart = int(np.bitwise_count(_part(bands, sa, na, band) ^ _part(bands, sb, nb, band)).sum())
-                keep.append(apart <= bands.most_apart(na, nb))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch_.column(c).filter(mask) for c in ("a", "b")], schema=out)
-    return pairs.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema)
+            rows = zip(*(batch_.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")))
+            mask = pa.array([distance(bands, na, nb, sa, sb) <= bands.most_apart(na, nb) for na, nb, sa, sb in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch_.column(c).filter(mask) for c in ("a", "na", "b", "nb")], schema=out)
+    return pairs.join(one, ["a", "na"]).join(two, ["b", "nb"]).select("a", "na", "b", "nb", "sa", "sb").mapInArrow(run, schema)
 
 
-def _verified(pairs, docs, words, percent):
+def _of_folds(bands, na, nb, sa, sb):
+    return (int.from_bytes(sa, "little") ^ int.from_bytes(sb, "little")).bit_count()
+
+
+def _of_sketches(bands, na, nb, sa, sb):
+    band = bands.of(max(na, nb))
+    return int(np.bitwise_count(_part(bands, sa, na, band) ^ _part(bands, sb, nb, band)).sum())
+
+
+def _verified(pairs, described, percent):
     """Pairs with whether they link, from their whole sets. A written table."""
     schema = _schema(a=LongType, b=LongType, link=IntegerType)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(_sets(docs.join(ends, "node", "left_semi"), words))
+    ends = _ends(pairs)
+    sets = materialize(described.select("node", "shingles").join(ends, "node", "left_semi"))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
@@ -269,6 +339,10 @@ def _verified(pairs, docs, words, percent):
     return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, schema))
 
 
+def _ends(pairs):
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def components(edges):
     """Smallest reachable node of each node that has an edge, by large-star and small-star rounds.
 
@@ -289,9 +363,20 @@ def components(edges):
         edges, before = step, sums
 
 
-def _forest(members, sketches, labels, failed, percent):
+def _joined(labels, links):
+    """Labels after more links, which hang whole components on one another."""
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("component").alias("c" + end))
+        links = links.join(of, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    moved = materialize(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(kept.unionByName(moved))
+
+
+def _forest(members, folds, labels, failed, percent):
     """For members (key, node, size) of long runs: a spanning forest, per pair of blocks of a run, of the pairs of different
-    components that sketches leave open, without those that failed."""
+    components that short sketches leave open, without those that failed."""
     schema = _schema(a=LongType, b=LongType)
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
@@ -300,96 +385,100 @@ def _forest(members, sketches, labels, failed, percent):
     open_ = open_.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "component")
-    bad = failed.groupBy("a").agg(F.collect_set("b").alias("bad")) if failed is not None else None
-    dealt = dealt.join(sketches, ["node", "size"])
-    dealt = dealt.join(bad.withColumnRenamed("a", "node"), "node", "left") if bad is not None else dealt.withColumn("bad", F.lit(None).cast("array<long>"))
+    dealt = dealt.join(folds.drop("fold"), ["node", "size"])
+    bad = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("bad"))
+    dealt = dealt.join(bad, "node", "left")
 
     def run(key, table):
-        bands = Bands(percent)
         _, i, j = (k.as_py() for k in key)
-        node, size, own = (table.column(c).to_numpy() for c in ("node", "size", "own"))
-        root = {}
+        order = np.argsort(table.column("size").to_numpy(), kind="stable")
+        node, size, own, comp = (table.column(c).to_numpy()[order] for c in ("node", "size", "own", "component"))
+        size = size.astype(np.int64)
+        raw = [np.frombuffer(f, "<u8") for f in table.column("wide").to_pylist()]
+        raw = [raw[x] for x in order.tolist()]
+        width = np.array([len(f) for f in raw])
+        folds = {w: np.stack([_shorter(f[None, :], w)[0] for f in raw if len(f) >= w]) for w in np.unique(width).tolist()}  # widths rise with sizes
+        skip = {int(n): set(b) for n, b in zip(table.column("node").to_pylist(), table.column("bad").to_pylist()) if b}
+        root, found = {}, []
 
         def find(x):
             while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
             return x
-        comp = table.column("component").to_pylist()
-        skip = [set(x or ()) for x in table.column("bad").to_pylist()]
-        raw = table.column("sketch").to_pylist()
-        found = []
-        for band in sorted({bands.of(int(s)) for s in size}):
-            least, top = bands.least(band), bands.least(band + 1)
-            here = np.flatnonzero((size < top) & (100 * size.astype(np.int64) >= percent * least) & np.array([band in bands.bands(int(s)) for s in size]))
-            if not bands.plan(band)[1] or not len(here):
-                continue
-            s = np.stack([_part(bands, raw[x], int(size[x]), band) for x in here])
-            for at, x in enumerate(here):
-                if size[x] < least or (i != j and own[x] != i and own[x] != j):
-                    continue
-                apart = np.bitwise_count(s ^ s[at]).sum(axis=1, dtype=np.int64)
-                total = size[here].astype(np.int64) + int(size[x])
-                ok = (apart <= total * (100 - percent) // (100 + percent)) & (size[here] <= size[x]) & (node[here] != node[x])
-                if i != j:
-                    ok &= own[here] != own[x]
-                for y in here[ok]:
-                    a, b = sorted((int(x), int(y)), key=lambda v: node[v])
-                    if node[b] in skip[a]:
-                        continue
-                    p, q = find(comp[a]), find(comp[b])
-                    if p != q:
-                        root[p] = q
-                        found.append((int(node[a]), int(node[b])))
+        for x in range(1, len(node)):  # each with the smaller ones that its size allows
+            first = int(np.searchsorted(size, -(-percent * size[x] // 100), "left"))
+            w = int(width[first])
+            fold = folds[w][first - int(np.searchsorted(width, w)):]
+            apart = np.bitwise_count(fold[:x - first] ^ fold[x - first]).sum(axis=1, dtype=np.int64)
+            ok = (apart <= (size[first:x] + size[x]) * (100 - percent) // (100 + percent)) & (node[first:x] != node[x])
+            if i != j:
+                ok &= own[first:x] != own[x]
+            for y in (first + np.flatnonzero(ok)).tolist():
+                a, b = sorted((int(node[x]), int(node[y])))
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q and b not in skip.get(a, ()):
+                    root[p] = q
+                    found.append((a, b))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
     return dealt.groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
 
 
-def groups(df, words=3, percent=90):
-    """Per row: doc_id, n_shingles, node (smallest id with an equal set) and component_id (smallest id reachable by links)."""
-    sig = materialize(_signatures(df, words))
-    named = sig.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node")))
-    copies = named.join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("copy")).distinct()
-    copies = materialize(copies.join(classes.select(F.col("node").alias("copy")), "copy", "left_anti"))
-    docs = text_column(df.where("doc_id is not null and text is not null"), F.col("doc_id").cast("long").alias("node"))
-    docs = docs.join(copies, docs["node"] == copies["copy"], "left_anti")  # a short table of ids; Spark broadcasts it where its size allows
-    runs = materialize(_runs(_keys(docs, words, percent), percent))
-    pairs = runs.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = materialize(pairs)
-    members = runs.where("b is null").select("key", F.col("a").alias("node"), F.col("na").alias("size"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    some = docs.join(materialize(ends), "node", "left_semi")
-    sketches = materialize(_sketches(some, words, percent))
-    checked = _verified(materialize(_near(pairs, sketches, percent)), docs, words, percent)
+def groups(df, words=3, percent=90, miss=0.0):
+    """Per row: doc_id, n_shingles and component_id (smallest id reachable by links)."""
+    docs = text_column(df, F.col("doc_id").cast("long").alias("doc_id"))
+    sig = materialize(_signatures(docs, words))
+    named = docs.where("doc_id is not null and text is not null")
+    runs = materialize(_runs(_keys(named, words, percent, miss), percent, miss))
+    pairs = runs.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.first("need").alias("need"))
+    pairs = pairs.where("2 * shared >= need").select("a", "na", "b", "nb")
+    folds = materialize(sig.select("node", F.col("n_shingles").cast("int").alias("size"), "fold", "wide").dropDuplicates(["node", "size"]))
+    pairs = materialize(_close(pairs, folds.drop("wide"), percent, "fold", _of_folds))
+    members = runs.where("b is null").select("key", F.col("a").alias("node"), F.col("na").alias("size"), "need").distinct()
+    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need")).where("2 * places > need - need % 2")
+    members = materialize(members.drop("need").join(often.select("node"), "node", "left_semi"))
+
+    def fetch(ends, *hint):
+        """Sets and sketches of some nodes: the text of one document of each."""
+        ends = materialize(ends)
+        some = sig.where("doc_id is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        some = materialize(some)
+        found = _described(named.join(some.hint(*hint) if hint else some, "doc_id", "left_semi"), words, percent)
+        return materialize(found.join(ends, "node", "left_semi").dropDuplicates(["node", "size"]))
+
+    # a sorted join whatever the size, so that the plan is the same at all
+    described = fetch(_ends(pairs), "merge")
+    pairs = materialize(_close(pairs, described.select("node", "size", "sketch"), percent, "sketch", _of_sketches))
+    checked = _verified(pairs, described, percent)
     labels = materialize(components(checked.where("link = 1")))
-    failed = None
+    failed = checked.where("link = 0")
     while True:
-        more = materialize(_forest(members, sketches, labels, failed, percent))
+        more = materialize(_forest(members, folds, labels, failed, percent))
         if more.isEmpty():
             break
-        new = _verified(more, docs, words, percent)
-        checked = checked.unionByName(new)
-        failed = materialize(checked.where("link = 0"))
-        labels = materialize(components(checked.where("link = 1")))
-    out = sig.join(classes, ["n_shingles", "d1", "d2"], "left").join(labels, "node", "left")
+        new = _verified(more, fetch(_ends(more)), percent)
+        failed = materialize(failed.unionByName(new.where("link = 0")))
+        labels = _joined(labels, new.where("link = 1"))
+    out = materialize(sig.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("root")))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    node = F.when(alone, F.col("doc_id")).otherwise(F.col("node"))
-    return out.select("doc_id", "n_shingles", node.alias("node"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
+    least = out.where(~alone).groupBy("root").agg(F.min("doc_id").alias("least"))
+    return out.join(least, "root", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def linked_documents(df, words=3, percent=90):
     """Per document: doc_id, n_shingles, component_id."""
-    return groups(df, words, percent).select("doc_id", "n_shingles", "component_id")
+    return groups(df, words, percent)
 
 
-def one_of_each(df, words=5, percent=80):
+def one_of_each(df, words=5, percent=80, miss=1e-9):
     """The rows of ``df`` without all but the smallest id of each group of linked documents; of rows that share an id, the one
     of smallest text. Rows without an id, and documents without words, stay."""
-    found = materialize(groups(df, words, percent))
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    found = materialize(groups(df, words, percent, miss))
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
+    ids = materialize(ids.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")))
+    gone = ids.where("not stays").select(F.col("id").alias("gone"))
     kept = df.join(gone, F.col("doc_id").cast("long") == gone["gone"], "left_anti")  # ids alone; Spark broadcasts them where their size allows
-    often = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("often")).count().where("count > 1").select("often"))
+    often = materialize(ids.where("n > 1 and stays").select(F.col("id").alias("often")))
     if often.isEmpty():
         return kept
     same = F.col("doc_id").cast("long") == often["often"]
