@@ -8,7 +8,8 @@ addresses, card numbers that pass the Luhn check pass it again, names keep the g
 So all mentions of an entity get one surrogate, in any form and in any document.
 
 Distinct entities must get distinct surrogates, and none may be an entity of the corpus: clashes are looked for over
-all entities, all but the smallest of a clash move on to their next attempt, and rounds follow until none is left. Only these
+all entities, all but the smallest of a clash move on to their next attempt, and rounds follow until none is left. The room that
+a surrogate is drawn from grows with the attempts, so that the rounds end however many entities share a narrow form. Only these
 exceptions travel to the documents: as a broadcast table up to ``MOST_SENT`` rows, and beyond that by a join.
 
 Null texts stay null and empty ones empty; texts without entities are returned as they were. Repeated rows are replaced
@@ -27,6 +28,8 @@ from ..session import materialize
 from .text import Memo, free_name
 
 MOST_SENT = 50_000
+#: Attempts in one room; then addresses take octets of any width and other ranges, and the other kinds one more character each time.
+WIDEN = 4
 
 _TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Г-жа")}
 _GIVEN = {
@@ -126,20 +129,23 @@ def _luhn(digits):
 def surrogate(key, kind, entity, attempt=0):
     """The canonical surrogate of a canonical entity."""
     draw = _Draw(key, kind, entity, attempt)
+    more = attempt // WIDEN
     if kind == "email":
         local, _, domain = entity.partition("@")
         name, _, top = domain.rpartition(".")
-        return _scramble(draw, local) + "@" + _scramble(_Draw(key, "domain", domain), name) + "." + top
+        return _scramble(draw, local + "x" * more) + "@" + _scramble(_Draw(key, "domain", domain), name) + "." + top
     if kind == "ip":
         parts = entity.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
         new = parts[:keep]
-        for p in parts[keep:]:
-            low, high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}[len(p)]
+        if keep and more > 1:  # another private range, and at last the reserved one, whose addresses are nobody's
+            new = ["10"] if more == 2 and parts[0] != "10" else [str(240 + draw.below(15))]
+        for p in parts[len(new):]:
+            low, high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}[len(p)] if not more else (1, 254)
             new.append(str(low + draw.below(high - low + 1)))
         return ".".join(new)
     if kind == "secret":
-        return _scramble(draw, entity, hexadecimal=re.fullmatch("[0-9A-Fa-f]{16,}", entity) is not None)
+        return _scramble(draw, entity + entity[-1] * more, hexadecimal=re.fullmatch("[0-9A-Fa-f]{16,}", entity) is not None)
     if kind.startswith("name"):
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in entity) else "latin"
         given, family = _GIVEN[kind[-1], script], _FAMILY[script]
@@ -148,8 +154,8 @@ def surrogate(key, kind, entity, attempt=0):
         return " ".join([*words, "-".join(last)]).lower()
     if kind == "phone" and "." in entity:
         code, _, number = entity.partition(".")
-        return code + "." + _scramble(draw, number)
-    digits = _scramble(draw, entity)
+        return code + "." + _scramble(draw, number + "0" * more)
+    digits = _scramble(draw, entity + "0" * more * (kind == "phone"))
     if kind == "card" and _luhn(entity):
         digits = next(digits[:-1] + str(d) for d in range(10) if _luhn(digits[:-1] + str(d)))
     return digits
@@ -159,7 +165,7 @@ def lay(form, kind, new):
     """A canonical surrogate in the form of a mention: its separators and its case."""
     if kind in ("card", "ssn", "phone"):
         left = filter(str.isdigit, new)
-        return "".join(next(left) if c.isdigit() else c for c in form)
+        return "".join(next(left) if c.isdigit() else c for c in form) + "".join(left)  # longer after many attempts
     if kind.startswith("name"):
         if form.isupper() and len(form) > 1:
             return new.upper()

@@ -301,3 +301,18 @@ def test_surrogates_stay_distinct(spark, sent):
         seen[n] = w[1]
         seen["f " + names[-1 - i]] = w[7]
     assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(names)
+
+
+def test_surrogates_of_narrow_forms(spark):
+    """All entities of a form whose own room is full: rounds end, and surrogates are distinct and none is an entity."""
+    ips = [f"192.168.{a}.{b}" for a in range(10) for b in range(10)] + [f"10.{a}.{b}.{c}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10)]
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    words = ips + mails
+    df = spark.createDataFrame([(i, f"at {w} now") for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"].split()[1] for r in surrogates.anonymize(df, b"k").collect()}
+    assert len(set(got.values())) == len(words) and not set(got.values()) & set(words)
+    assert all(got[i].split(".")[0] in ("10", "192") and len(got[i].split(".")) == 4 for i in range(100))
+    wide = [surrogates.surrogate(b"k", "ip", "192.168.7.7", a) for a in range(40)]
+    assert len(set(wide)) == 40 and all(int(x) < 256 for w in wide for x in w.split("."))
+    phone = surrogates.surrogate(b"k", "phone", "+123.4567", 4)
+    assert surrogates.lay("+123 45 67", "phone", phone) == "+123 %s %s%s" % (phone[5:7], phone[7:9], phone[9:]) and len(phone) == 10
