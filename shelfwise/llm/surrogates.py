@@ -1,6 +1,7 @@
 """Replaces personal data with keyed, type-consistent surrogates.
 
-Found are e-mail addresses, IPv4 addresses, phone numbers, card and account numbers (13 to 19 digits), social security
+Found are e-mail addresses, IPv4 addresses, phone numbers (with a country's code, an area code in brackets, or in a national form
+with separators: 3-3-4 digits, also after a 1, or 9 to 12 digits after a leading 0; dates are left), card and account numbers (13 to 19 digits), social security
 numbers, secrets (values after token, secret, password or key words; long hexadecimal strings) and names after a title.
 A surrogate follows from a keyed hash of the type, the canonical entity (lower case, or digits without separators) and
 an attempt number, and is laid into the form that it replaces: case, digits and separators stay where they are, addresses stay
@@ -44,12 +45,15 @@ _FAMILY = {
 }
 _DIGITS = re.compile(r"""
     (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))
-  | (?P<card>(?<![\d.+-])(?<![A-Za-z]\d)\d(?:[ -]?\d){12,18}(?![\d-]))
+  | (?P<national>(?<!\w)(?<!\d[.,:/-])(?:1[ .-]?\(\d{3}\)[ .-]?|(?:1[ .-])?\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.:/-]\d))
+  | (?P<card>(?<![\d.+-])(?<![A-Za-z]\d)(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))\d(?:[ -]?\d){12,18}(?![\d-]))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d))
+  | (?P<trunk>(?<!\w)(?<!\d[.,:/-])(?!\d\d?(?P<sep>[./ -])\d\d?(?P=sep)(?:19|20)\d\d(?!\d))
+      (?=0\d{1,4}[ ./-]\d)0(?:(?:[ ./-](?=\d\d))?\d){8,11}(?!\d|[.:/-]\d))
   | (?P<hex>(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*\d)(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))
 """, re.X)
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-][\w.+%-]*@\w[\w-]*(?:\.\w[\w-]*)+")
+_EMAIL = re.compile(r"(?<![\w.+%-])\.*(?P<email>[\w+%-][\w.+%-]*@\w[\w-]*(?:\.\w[\w-]*)+)")
 _SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9_\-/+.]{8,}[A-Za-z0-9_\-/+])""")
 _KEYS = re.compile(r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z_-]{20,})")
 _NAME = re.compile(r"\b(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\b\.? (?P<name>[^\W\d_]+(?:-[^\W\d_]+)?(?: [^\W\d_]+)?)")
@@ -61,7 +65,7 @@ def find(text):
     """(start, end, kind, canonical entity) of the entities of a text, in order and apart from one another."""
     found = []
     if "@" in text:
-        found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        found += [(*m.span("email"), "email", m["email"].lower()) for m in _EMAIL.finditer(text)]
     low = text.lower() if "=" in text or ":" in text else ""
     if any(w in low for w in ("token", "secret", "passw", "key")):
         found += [(*m.span("secret"), "secret", m["secret"]) for m in _SECRET.finditer(text)]
@@ -72,6 +76,8 @@ def find(text):
             code = re.match(r"\+(\d+)[^\d]", m[0]) if kind == "phone" else None
             if code:  # the country's code is kept
                 value = f"+{code[1]}." + value[len(code[1]):]
+            if kind in ("national", "trunk"):
+                kind, value = "phone", "+1." + value[1:] if value[0] == "1" and len(value) == 11 else value
             if kind != "phone" or len(value) >= 9:
                 found.append((*m.span(), "secret" if kind == "hex" else kind, value))
         found += [(*m.span(), "secret", m[0]) for m in _KEYS.finditer(text)]

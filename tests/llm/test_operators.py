@@ -316,3 +316,22 @@ def test_surrogates_of_narrow_forms(spark):
     assert len(set(wide)) == 40 and all(int(x) < 256 for w in wide for x in w.split("."))
     phone = surrogates.surrogate(b"k", "phone", "+123.4567", 4)
     assert surrogates.lay("+123 45 67", "phone", phone) == "+123 %s %s%s" % (phone[5:7], phone[7:9], phone[9:]) and len(phone) == 10
+
+
+@pytest.mark.parametrize("text,kind,form", [
+    (f"{before}{form}{after}", kind, form) for before, after in (("call ", " or"), ("Tel.:", "."), ("(", ")"), ("", ""), ("on 2020-01-02 ", ", then"))
+    for kind, form in [("phone", x) for x in ("212-555-0199", "1-800-555-0199", "1 (800) 555-0199", "212 555 0199", "555.123.4567", "0171 5557713", "0171/5557713",
+                                              "030-12345678", "020 7946 0958", "06 12 34 56 78", "06.12.34.56.78", "+1 (743) 555-3824", "(212) 555-0199")] + [("email", "bob@x.com")]
+] + [("see ...bob@x.com", "email", "bob@x.com"), ("212-555-0199 0171 5557713", "phone", "0171 5557713")])
+def test_forms_found(text, kind, form):
+    assert (kind, form) in [(k, text[a:b]) for a, b, k, _ in surrogates.find(text)]
+    new, n = surrogates.replace(text, b"k", {})
+    assert form not in new and n == len(surrogates.find(text)) and [c for c in new if not c.isalnum()] == [c for c in text if not c.isalnum()]
+
+
+def test_numbers_that_are_no_phones():
+    for clean in ("01.02.2020", "01-02-2020 10.15", "2020-01-02", "2020-01-02 10:15:30", "02/03/2020 12", "1.2.3", "v 10.12.2024", "1.234.567.890", "12 345 678 90",
+                  "0.1234567890", "2020.123.4567.1", "00:01:02.003", "007", "a212-555-0199", "1-212-555-01990", "212-555-0199-3", "100-200-300"):
+        assert surrogates.find(clean) == [], clean
+    ids = {f[3] for t in ("1-212-555-0199", "+1 212 555 0199", "1 (212) 555-0199") for f in surrogates.find(t)}
+    assert ids == {"+1.2125550199"}
