@@ -35,8 +35,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
-    return swap_packing.pack_documents(docs, WORDS, end_id=0, capacity=2048)
+    """Pieces of all documents, packed into sequences of at most 2048 tokens, by ranges of the mixture, which is the order of the
+    files and of the rows in them."""
+    return swap_packing.pack_documents(docs, WORDS, end_id=0, capacity=2048, ordered=True)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("personal_data", personal_data), ("mix_sources", mix_sources), ("pack", pack)]

@@ -5,37 +5,49 @@ best fit decreasing. Then bins below the capacity take part in a local search: m
 for one and of two for one between bins, each of which raises the sum of squared fills, until bins are empty; it ends
 when no bin can be emptied or the bins are as few as the total length allows.
 
+Groups are dealt by hash, or (``ordered``) by ranges of the order that the documents have in their files, by names of files and
+rows in them: groups and, in a group, sequences by the place of their longest piece are then numbered in that order.
+
 A document is its ids and an end id; only one longer than the capacity is cut, and its last piece may be shorter.
 Null and empty texts hold the end id alone. Repeated rows are packed as often as they come, with their null or repeated
 ids; no rows give no pieces. Columns other than doc_id and text do not take part.
 """
 
-from itertools import combinations
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..session import materialize
 from .text import batch, crc_of, text_column, word_tokenizer
 
 
-def pieces(df, tokenizer, end_id, capacity, with_ids=True):
-    """Per piece: row (a number of its own), doc_id, piece, start, length, ids_crc32 and, if asked, ids."""
+#: Pieces that stand side by side in a file and are counted as one to find their places.
+RUN = 1_000
+_PLACE = (("file", StringType), ("run_row", LongType), ("run_piece", IntegerType), ("in_run", IntegerType))
+
+
+def pieces(df, tokenizer, end_id, capacity, with_ids=True, placed=False):
+    """Per piece: row (a number of its own), doc_id, piece, start, length, ids_crc32 and, if asked, ids; ``placed``: of a frame
+    read from files also the file, the first row and piece of a run of pieces in it, and the number in that run."""
     kinds = (("row", LongType), ("doc_id", LongType), ("piece", IntegerType), ("start", LongType), ("length", LongType), ("ids_crc32", LongType))
-    schema = StructType([StructField(c, t()) for c, t in kinds] + [StructField("ids", BinaryType())] * with_ids)
+    schema = StructType([StructField(c, t()) for c, t in kinds + _PLACE * placed] + [StructField("ids", BinaryType())] * with_ids)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         tok, out = word_tokenizer(tokenizer), to_arrow_schema(schema)
         row = TaskContext.get().partitionId() << 40
+        run_of = (None, 0, 0, RUN)
         for b in batches:
             got = {f.name: [] for f in out}
             texts = (t or "" for t in b.column("text").cast(pa.string()).to_pylist())
-            for d, ids in zip(b.column("doc_id").to_pylist(), tok.each(texts)):
+            places = zip(*(b.column(c).to_pylist() for c in ("file", "at"))) if placed else repeat(None)
+            for d, ids, at in zip(b.column("doc_id").to_pylist(), tok.each(texts), places):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start:start + capacity]
@@ -43,9 +55,27 @@ def pieces(df, tokenizer, end_id, capacity, with_ids=True):
                         got[c].append(v)
                     if with_ids:
                         got["ids"].append(cut.tobytes())
+                    if placed:
+                        file, first, first_piece, n = run_of
+                        run_of = (file, first, first_piece, n + 1) if file == at[0] and n + 1 < RUN else (*at, k, 0)
+                        for (c, _), v in zip(_PLACE, run_of):
+                            got[c].append(v)
                     row += 1
             yield batch(out, **got)
-    return text_column(df, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema)
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")] * placed
+    return text_column(df, F.col("doc_id").cast("long").alias("doc_id"), *where).mapInArrow(run, schema)
+
+
+def in_order(table):
+    """Replaces the place columns of a written table of pieces by ``pack_place``, the number in the order of files and rows."""
+    key = ["file", "run_row", "run_piece"]
+    runs = materialize(table.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    files = sorted((r["file"], r["n"]) for r in runs.groupBy("file").agg(F.sum("n").alias("n")).collect())  # a row a file
+    starts = [0, *accumulate(n for _, n in files)]
+    first = table.sparkSession.createDataFrame([(f, i) for (f, _), i in zip(files, starts)], "file string, before long")
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("run_row", "run_piece"))  # a row a run
+    base = runs.withColumn("base", upto - F.col("n")).join(first, "file").select(*key, (F.col("base") + F.col("before")).alias("base"))
+    return table.join(base, key).withColumn("pack_place", F.col("base") + F.col("in_run")).drop(*(c for c, _ in _PLACE), "base")
 
 
 def best_fit(sizes, capacity):
@@ -166,28 +196,39 @@ def pack_lengths(sizes, capacity, patience=20):
     return full + _Search(rest, sizes, capacity).run(patience)
 
 
-def pack(table, capacity, group=20_000, patience=20):
-    """Adds sequence_id and offset to a table of pieces with columns row and length (read twice, so a written one)."""
-    n = max(1, -(-table.count() // group))
+def pack(table, capacity, group=20_000, patience=20, ordered=False):
+    """Adds sequence_id and offset to a table of pieces with columns row and length, and if ``ordered`` the place columns
+    (read twice, so a written one)."""
+    total = table.count()
+    n = max(1, -(-total // group))
+    if ordered:
+        table = in_order(table)
     schema = StructType([*table.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(key, rows):
+        if ordered:
+            rows = rows.sort_values("pack_place", ignore_index=True)
         sizes = rows["length"].to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for k, b in enumerate(pack_lengths(sizes, capacity, patience)):
+        bins = pack_lengths(sizes, capacity, patience)
+        if ordered:
+            bins.sort(key=lambda b: max((sizes[i], -i) for i in b)[1], reverse=True)
+        for k, b in enumerate(bins):
             sequence[b] = key[0] * (1 << 32) + k
             offset[b] = np.concatenate([[0], np.cumsum(sizes[b])[:-1]])
         rows = rows.drop(columns="pack_group")
         rows["sequence_id"], rows["offset"] = pd.Series(sequence, rows.index), pd.Series(offset, rows.index)
         return rows
-    dealt = table.withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(n)))
-    return dealt.repartition(n, "pack_group").groupBy("pack_group").applyInPandas(run, schema)
+    number = F.floor(F.col("pack_place") * n / max(1, total)).cast("long") if ordered else F.pmod(F.xxhash64("row"), F.lit(n))
+    dealt = table.withColumn("pack_group", number)
+    return dealt.repartition(n, "pack_group").groupBy("pack_group").applyInPandas(run, schema).drop("pack_place")
 
 
-def pack_documents(df, tokenizer, end_id=0, capacity=2048, group=20_000):
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    table = materialize(pieces(df, tokenizer, end_id, capacity, with_ids=False))
-    return pack(table, capacity, group).drop("row")
+def pack_documents(df, tokenizer, end_id=0, capacity=2048, group=20_000, ordered=False):
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``ordered``: ``df`` as read from files whose
+    order the sequences shall follow."""
+    table = materialize(pieces(df, tokenizer, end_id, capacity, with_ids=False, placed=ordered))
+    return pack(table, capacity, group, ordered=ordered).drop("row")
 
 
 def sequences(table):

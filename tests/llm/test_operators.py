@@ -9,6 +9,7 @@ import pytest
 import brute
 from shelfwise.llm import license_windows, neighbour_vote, parity_join, patched_blocks, pfair, prefix_counts, queries, robust_outliers, stable_tree, surrogates, swap_packing
 from shelfwise.llm.text import WordTokenizer
+from shelfwise.session import materialize
 
 PIECES, WORDS = queries.PIECES, queries.WORDS
 
@@ -335,3 +336,20 @@ def test_numbers_that_are_no_phones():
         assert surrogates.find(clean) == [], clean
     ids = {f[3] for t in ("1-212-555-0199", "+1 212 555 0199", "1 (212) 555-0199") for f in surrogates.find(t)}
     assert ids == {"+1.2125550199"}
+
+
+def test_sequences_follow_the_mixture(spark):
+    """Two sources of one size and weights of 1 and 3: three quarters of b until b runs out after two thirds, then a alone."""
+    rng = random.Random(4)
+    rows = [(2 * i + k, " ".join(["word"] * n), s) for i in range(1500) for n in (rng.randrange(20, 700),) for k, s in enumerate("ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = materialize(pfair.mix(df, {"a": 1, "b": 3}, block_chars=2_000, ordered=True).select(*df.columns))
+    got = swap_packing.pack_documents(mixed, WORDS, 0, 2048, group=250, ordered=True).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"]) for r in got) == sorted((d, 0, 0) for d, _, _ in rows)
+    assert max(sum(r["length"] for r in got if r["sequence_id"] == s) for s in {r["sequence_id"] for r in got}) <= 2048
+    ids = sorted({r["sequence_id"] for r in got})
+    share = []
+    for part in np.array_split(ids, 12):
+        inside = [r for r in got if part[0] <= r["sequence_id"] <= part[-1]]
+        share.append(sum(r["length"] for r in inside if r["doc_id"] % 2) / sum(r["length"] for r in inside))
+    assert all(abs(x - 0.75) < 0.08 for x in share[:7]) and all(x < 0.05 for x in share[9:]), share
