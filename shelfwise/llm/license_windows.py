@@ -1,6 +1,7 @@
 """Finds license notices by MinHash bands over overlapping windows and verifies them by exact shingle containment.
 
-Words are lower-cased runs of characters other than white space without the marks around them; a notice of n shingles of ``k`` words (a shorter one is one
+Words are lower-cased runs of characters other than white space without the marks around them, and words of marks alone (as at the starts
+of comment lines) are left out; a notice of n shingles of ``k`` words (a shorter one is one
 shingle of its own width) is looked for in windows of 2n shingles that overlap by half, so that some window holds any n in a row.
 A window that contains the share ``least`` of a notice has Jaccard similarity of at least least / (3 - least) with it, and the number of
 bands follows from that, so that it meets the notice in a band with probability ``sure``. For the windows met, the notice's distinct
@@ -31,7 +32,7 @@ NOTICES = {
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "no-rights": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
 }
-_AROUND = " .,;:!?\"'()[]{}<>*#$%&|-_".encode()
+_AROUND = " .,;:!?\"'()[]{}<>*#$%&|-_/=".encode()
 
 
 def bands_for(similarity, sure):
@@ -44,10 +45,12 @@ class Scanner:
         import xxhash
         self.least, self.sizes = least, {}
         self.words = Memo(lambda w: xxhash.xxh64_intdigest(w.strip(_AROUND).lower()), 300_000)
+        self.none = np.uint64(xxhash.xxh64_intdigest(b""))
         bands = bands_for(least / (3 - least), sure)
         self.seeds = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for name, text in sorted(notices.items()):
             h = self.hashes(text.encode().split())
+            h = h[h != self.none]
             width = min(k, len(h))
             shingles = np.unique(shingle_hashes(h, width))
             self.sizes.setdefault((width, len(h) - width + 1), []).append((name, shingles, self.mins(shingles[None, :])[0]))
@@ -64,6 +67,8 @@ class Scanner:
         words = text.split()
         out, by_width = [], {}
         h = self.hashes(words)
+        at = np.flatnonzero(h != self.none)
+        h = h[at]
         for (width, n), notices in self.sizes.items():
             if len(h) < width:
                 continue
@@ -85,7 +90,8 @@ class Scanner:
                     held = len(np.intersect1d(window, shingles)) / len(shingles)
                     if held > best[0]:
                         inside = np.flatnonzero(np.isin(window, shingles))
-                        best = (held, int(cuts[w] + inside[0]), int(inside[-1] - inside[0]) + width)
+                        first, last = at[cuts[w] + inside[0]], at[cuts[w] + inside[-1] + width - 1]
+                        best = (held, int(first), int(last - first) + 1)
                 if best[0] >= self.least:
                     out.append((name, *best))
         return out

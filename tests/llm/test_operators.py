@@ -353,3 +353,15 @@ def test_sequences_follow_the_mixture(spark):
         inside = [r for r in got if part[0] <= r["sequence_id"] <= part[-1]]
         share.append(sum(r["length"] for r in inside if r["doc_id"] % 2) / sum(r["length"] for r in inside))
     assert all(abs(x - 0.75) < 0.08 for x in share[:7]) and all(x < 0.05 for x in share[9:]), share
+
+
+@pytest.mark.parametrize("mark", ["*", "#", "//", "--", "/* =="])
+def test_license_in_comments(mark):
+    import textwrap
+    scanner = license_windows.Scanner(license_windows.NOTICES)
+    for name, notice in license_windows.NOTICES.items():
+        text = f"{mark}\nint x = 1;\n" + textwrap.fill(notice, 75, initial_indent=f" {mark} ", subsequent_indent=f" {mark} ", break_on_hyphens=False) + f"\n {mark}\nint y;\n"
+        (held, first, count), = [f[1:] for f in scanner.scan(text.encode()) if f[0] == name]
+        a, b = license_windows.word_span(text, first, count)
+        strip = lambda t: [w for w in (x.strip(license_windows._AROUND.decode()).lower() for x in t.split()) if w]
+        assert held == 1.0 and strip(text[a:b]) == strip(notice), name
