@@ -365,3 +365,22 @@ def test_license_in_comments(mark):
         a, b = license_windows.word_span(text, first, count)
         strip = lambda t: [w for w in (x.strip(license_windows._AROUND.decode()).lower() for x in t.split()) if w]
         assert held == 1.0 and strip(text[a:b]) == strip(notice), name
+
+
+def test_whole_licenses_and_short_forms():
+    scanner = license_windows.Scanner(license_windows.NOTICES)
+    found = lambda t: {f[0] for f in scanner.scan(t.encode())}
+    noise = " ".join(f"w{i}" for i in range(60))
+    for name in license_windows.WHOLE:
+        parts = {n: t for n, t in license_windows.NOTICES.items() if n.startswith(name + "#")}
+        assert set(parts) <= found(noise + " " + " ".join(parts.values()) + " " + noise)
+        last = max(parts)  # any part of it alone, too
+        assert last in found(f"{noise} {parts[last]} {noise}")
+    assert found(f"{noise}\nAll rights reserved.\n{noise}") == {"no-rights-statement"}
+    assert found("/* SPDX-License-Identifier: GPL-2.0-only */") == {"spdx-gpl-2.0-only"}
+    notice = "you can redistribute it under the terms of the license; either version %d of the License, or (at your option) any later version."
+    assert [found(notice % v) for v in (2, 3)] == [{"gpl-2-or-later"}, {"gpl-3-or-later"}]
+    for short, name in (("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0-statement"), ("subject to the GNU General Public License, version 2.", "gpl-2-version"),
+                        ("This work is licensed under the ISC License", "isc-license")):
+        assert found(short) == {name}
+    assert found(noise) == set()
