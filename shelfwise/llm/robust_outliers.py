@@ -1,7 +1,7 @@
 """Rule statistics of texts and robust multivariate outliers, with DataFrame operations only.
 
 Base statistics: words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage
-return. n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``), n_dup_lines (lines with a word that
+return. n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``), n_lines (with a word), n_dup_lines (lines with a word that
 equal an earlier one) and n_repeat_words (words in 3-word windows that the text holds twice or more, by 64-bit hashes of
 the windows; the windows of one text are at most some ten thousand, so that a wrong match is out of the question).
 
@@ -24,9 +24,12 @@ from ..session import materialize
 STATS = ["word_length", "symbols", "dup_lines", "repeats"]
 #: Medians of the chi-square distribution with 1 to 6 degrees of freedom.
 CHI2_MEDIAN = [0.454936, 1.386294, 2.365974, 3.356694, 4.351460, 5.348121]
+#: Quantiles of 0.999 of the same distributions.
+CHI2_FAR = [10.827566, 13.815511, 16.266236, 18.466827, 20.515006, 22.457744]
 #: Least spread of each transformed statistic, added to its spread: shares of repeats or symbols are zero in most texts,
-#: and a first small one is no sign of a bad text.
-FLOORS = [0.05, 0.07, 0.12, 0.12]
+#: and a first small one is no sign of a bad text. With the cut of four statistics each of them rejects alone well within its
+#: range: from 0.42 of the lines (of 1) and from 0.27 of the words in repeats (of 0.5, where the base rules end).
+FLOORS = [0.05, 0.07, 0.15, 0.12]
 
 
 def base_statistics(df, *others):
@@ -42,14 +45,14 @@ def base_statistics(df, *others):
                  lines.alias("l"), F.transform(starts, lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1))).alias("h"))
     # windows that another one equals, by place: sorted by hash they stand side by side
     pairs = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    d = d.select(*others, "n_words", "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+    d = d.select(*others, "n_words", "word_chars", "n_symbols", F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
                  F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs).alias("p"))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     twice = F.filter("p", lambda x, i: same(x, F.get("p", i - 1)) | same(x, F.get("p", i + 1)))
-    d = d.select(*others, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
+    d = d.select(*others, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     # a window covers three words, but for those that the next one covers, too
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return d.select(*others, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select(*others, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed():
@@ -57,10 +60,11 @@ def base_failed():
 
 
 def transformed():
-    """Transformed statistics: logarithm of the mean word length, square roots of shares of symbols, repeated lines and words."""
+    """Transformed statistics: logarithm of the mean word length, square roots of the shares of symbols in words, of repeated
+    lines in lines and of repeated words in words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("word_length"), F.sqrt(F.col("n_symbols") / n).alias("symbols"),
-            F.sqrt(F.col("n_dup_lines") / n).alias("dup_lines"), F.sqrt(F.col("n_repeat_words") / n).alias("repeats")]
+            F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_lines"), F.sqrt(F.col("n_repeat_words") / n).alias("repeats")]
 
 
 def _with_factor(d, floors):
@@ -139,9 +143,9 @@ def estimate(rows, stats=STATS, floors=FLOORS, core=0.75, steps=6):
     return materialize(params.join(median, "grp").select("grp", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)), scale.alias("scale")))
 
 
-def judge(df, core=0.75, steps=6, cut=60.0, min_rows=200):
+def judge(df, core=0.75, steps=6, cut=CHI2_FAR[len(STATS) - 1], min_rows=200):
     """Per document: doc_id, the base statistics, base_failed, distance (robust, squared; null where the base rules fail)
-    and kept. ``cut`` is far beyond the normal distribution's tail, since shares of repeats are skewed in clean text."""
+    and kept. ``cut`` is the distance that one in a thousand texts is beyond if they are normal."""
     stats = base_statistics(df, "doc_id", F.coalesce("lang", F.lit("\x00")).alias("lang"), F.coalesce("source", F.lit("\x00")).alias("source"))
     table = materialize(stats.withColumn("base_failed", base_failed()).select("*", *transformed()))
     passed = table.where(~F.col("base_failed"))

@@ -384,3 +384,22 @@ def test_whole_licenses_and_short_forms():
                         ("This work is licensed under the ISC License", "isc-license")):
         assert found(short) == {name}
     assert found(noise) == set()
+
+
+def test_op2_verdicts(spark):
+    """At the values in use: repeated lines alone and repeated phrases alone are rejected, within the base rules; plain texts are kept."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    clean = ["\n".join(some(rng.randrange(15, 40)) for _ in range(rng.randrange(4, 12))) for _ in range(400)]
+    clean += ["\n".join([some(30), line, some(40), some(30), line, some(50), some(20), some(30)]) for line in (some(5) for _ in range(20))]  # one repeated line
+    short = [[some(2) for _ in range(40)] * 3 for _ in range(10)]  # lines of two words hold no window of three
+    lines = ["\n".join(rng.sample(x, len(x)) + [some(60)]) for x in short]
+    lines += ["\n".join([line] * 6 + [some(45)]) for line in (some(5) for _ in range(10))]
+    phrases = [" ".join(f"{phrase} {some(7)}" for _ in range(12)) for phrase in (some(5) for _ in range(10))]
+    texts = clean + lines + phrases
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in robust_outliers.judge(df).collect()}
+    planted = [got[i] for i in range(len(clean), len(texts)) if not got[i]["base_failed"]]
+    assert len(planted) == 30 and not any(r["kept"] for r in planted)
+    assert sum(got[i]["kept"] for i in range(400)) >= 396 and all(got[i]["kept"] for i in range(400, 420))
