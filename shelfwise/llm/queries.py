@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import license_windows, neighbour_vote, parity_join, patched_blocks, pfair, prefix_counts, robust_outliers, stable_tree, surrogates, swap_packing
+from . import (letter_signatures, license_windows, neighbour_vote, one_permutation, parity_join, patched_blocks, pfair, prefix_counts, robust_outliers, segment_bounds, stable_tree,
+               surrogates, swap_packing)
 from .text import documents
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +51,20 @@ def op10_license_windows(spark, sf_dir):
     return license_windows.find_notices(documents(spark, sf_dir))
 
 
+def op11_letter_signatures(spark, sf_dir):
+    return letter_signatures.variants(documents(spark, sf_dir))
+
+
+def op12_segment_bounds(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return segment_bounds.mine(rows.withColumn("label", label), "id % 50 = 0")
+
+
+def op13_one_permutation(spark, sf_dir):
+    return one_permutation.groups(documents(spark, sf_dir), words=3, percent=85)
+
+
 QUERIES = {f.__name__: f for f in (op1_neighbour_vote, op2_robust_outliers, op3_parity_join, op4_surrogates, op5_prefix_counts, op6_pfair_mix,
-                                   op7_patched_blocks, op8_stable_tree, op9_swap_packing, op10_license_windows)}
+                                   op7_patched_blocks, op8_stable_tree, op9_swap_packing, op10_license_windows, op11_letter_signatures, op12_segment_bounds, op13_one_permutation)}
 ORACLES = {"op6_pfair_mix": pfair.ORACLE}
