@@ -244,7 +244,7 @@ def _runs(keys, percent, miss=0.0):
                 i, j = i[fits], j[fits]
                 for c, v in zip(cols, (None, node[i], size[i], node[j], size[j])):
                     c.append(v)
-            if cols[1]:
+            if any(map(len, cols[1])):
                 a, na, b, nb = (np.concatenate(c) for c in cols[1:])
                 order = np.lexsort((b, a))
                 a, na, b, nb = a[order], na[order], b[order], nb[order]
