@@ -1,6 +1,9 @@
 """Market-basket mining: baskets, frequent itemsets, rules and their uses."""
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +41,84 @@ def baskets(pairs: DataFrame, top_n=200) -> DataFrame:
     return kept.groupBy("basket").agg(F.array_sort(F.collect_set("_i")).alias("items"))
 
 
-def frequent_itemsets(bk: DataFrame, min_support=None, max_len=3, min_count=None) -> DataFrame:
-    """Itemsets up to ``max_len`` with their count and the number of baskets, by a share of the baskets or by a count of them."""
-    if min_count is not None:
-        min_support = (min_count - 0.5) / max(bk.count(), 1)
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(bk)
-    n = bk.agg(F.count("*"))
-    return model.freqItemsets.where(F.size("items") <= max_len).select(
-        F.array_sort("items").alias("items"), "freq").withColumn("n", n.scalar())
+def itemset_index(bk: DataFrame) -> DataFrame:
+    """The baskets turned round: per block of baskets its items and, for each, the bitmap of the block's baskets that hold it.
+
+    A bitmap has 32,768 places, and a row at most one per item of the list that ``baskets`` was given. A written table.
+    """
+    numbered = bk.select(F.monotonically_increasing_id().alias("no"), "items")  # before the items are taken apart
+    lines = numbered.select("no", F.explode("items").alias("item"))
+    bits = lines.groupBy(F.bitmap_bucket_number("no").alias("block"), "item").agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits"))
+    return materialize(bits.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("item", "bits"))).alias("held")))
+
+
+def _candidates(sets, k):
+    """Sorted tuples of k items whose parts of k - 1 items are all among the sorted tuples ``sets``."""
+    have, by_prefix = set(sets), {}
+    for s in sorted(have):
+        by_prefix.setdefault(s[:-1], []).append(s[-1])
+    out = []
+    for prefix, ends in by_prefix.items():
+        for i, a in enumerate(ends):
+            rest = [b for b in ends[i + 1:] if all((*prefix[:d], *prefix[d + 1:], a, b) in have for d in range(k - 2))]
+            if rest:
+                out.append(((*prefix, a), rest))
+    return out
+
+
+def _counted(index: DataFrame, candidates) -> DataFrame:
+    """Baskets that hold each candidate: (items, freq). Bitmaps are joined by AND block by block; a task sends its sums once."""
+    schema = "items array<string>, freq long"
+
+    def run(batches):
+        sums = [np.zeros(len(ends), np.int64) for _, ends in candidates]
+        for b in batches:
+            for held in b.column("held"):
+                bits = {h["item"]: np.frombuffer(h["bits"], np.uint64) for h in held.as_py()}
+                for (prefix, ends), total in zip(candidates, sums):
+                    if all(i in bits for i in prefix):
+                        here = [j for j, e in enumerate(ends) if e in bits]
+                        if here:
+                            common = np.bitwise_and.reduce([bits[i] for i in prefix])
+                            total[here] += np.bitwise_count(np.stack([bits[ends[j]] for j in here]) & common).sum(axis=1, dtype=np.int64)
+        found = [([*p, e], int(n)) for (p, ends), total in zip(candidates, sums) for e, n in zip(ends, total) if n]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.int64())], ["items", "freq"])
+    return index.mapInArrow(run, schema).groupBy("items").agg(F.sum("freq").alias("freq"))
+
+
+def frequent_itemsets(bk: DataFrame, min_support=None, max_len=3, min_count=None, index=None) -> DataFrame:
+    """Itemsets up to ``max_len`` with their count and the number of baskets, by a share of the baskets or by a count of them.
+
+    Level by level over the item bitmaps: a candidate's parts are all frequent, and nothing longer than ``max_len`` is looked
+    at. The sets of all levels but the last make the next candidates and pass through the driver; with the item list of
+    ``baskets`` they are at most (top_n choose max_len - 1). ``index`` is an ``itemset_index`` to use again.
+    """
+    spark, n = bk.sparkSession, bk.count()
+    least = max(1, min_count if min_count is not None else math.ceil(min_support * n))
+    index = itemset_index(bk) if index is None else index
+    one = index.select(F.explode("held").alias("h")).groupBy(F.col("h.item").alias("item")).agg(F.sum(F.bitmap_count("h.bits")).alias("freq"))
+    level = [((r["item"],), r["freq"]) for r in one.where(F.col("freq") >= least).toLocalIterator()] if max_len > 0 else []
+    found, last = list(level), None
+    for k in range(2, max_len + 1):
+        candidates = _candidates([s for s, _ in level], k)
+        if not candidates:
+            break
+        counted = _counted(index, candidates).where(F.col("freq") >= least)
+        if k == max_len:
+            last = counted
+        else:
+            level = [(tuple(r["items"]), r["freq"]) for r in counted.toLocalIterator()]
+            found += level
+    sets = spark.createDataFrame([(list(s), f) for s, f in found], "items array<string>, freq long")
+    return (sets if last is None else sets.unionByName(last)).withColumn("n", F.lit(n).cast("long"))
 
 
 def itemsets_with_ladder(bk: DataFrame, min_support, max_len=3, floor=0.005, enough=10):
     """Lower the support until there are ``enough`` itemsets; returns them and the support used."""
+    index = itemset_index(bk)
     for ms in (min_support, min_support / 2, min_support / 4, floor):
-        sets = materialize(frequent_itemsets(bk, ms, max_len))
+        sets = materialize(frequent_itemsets(bk, ms, max_len, index=index))
         if sets.count() >= enough:
             break
     return sets, ms
@@ -113,15 +180,19 @@ def with_fallback(item_rules: DataFrame, category_rules: DataFrame, minimum=5) -
     return (category_rules if use_category else item_rules).withColumn("level", F.lit("category" if use_category else "item"))
 
 
-def cluster_rules(lines: DataFrame, labels: DataFrame, item, category=None, top_n=100, max_len=3, min_lines=1000, skip=(999,)) -> DataFrame:
-    """Rules per cluster with a support that adapts to its size; the loop is over clusters, whose number is small."""
+def cluster_rules(lines: DataFrame, labels: DataFrame, item, category=None, top_n=100, max_len=3, min_lines=1000, skip=(999,), by_basket=False) -> DataFrame:
+    """Rules per cluster with a support that adapts to its size; the loop is over clusters, whose number is small.
+
+    The support follows the cluster's lines, or, with ``by_basket``, the mean size of its baskets over their number (0.01 at least).
+    """
     joined = materialize(lines.join(labels, "customer_id"))
     sizes = joined.groupBy("cluster").count().where(~F.col("cluster").isin(*skip)).where(F.col("count") >= min_lines)
     out = None
     for row in sizes.orderBy("cluster").toLocalIterator():
         part = joined.where(F.col("cluster") == row["cluster"])
-        ms = max(0.015, min(0.03, 300 / row["count"]))
-        r = mine_rules(part, item, top_n, ms, max_len)
+        bk = materialize(baskets(basket_pairs(part, item), top_n))
+        ms = max(0.01, adaptive_support(bk).first()["min_support"]) if by_basket else max(0.015, min(0.03, 300 / row["count"]))
+        r = rules_from(materialize(frequent_itemsets(bk, ms, max_len)))
         if category:
             r = with_fallback(r, mine_rules(part, category, 1000, 0.03, max_len))
         r = r.withColumn("cluster", F.lit(row["cluster"])).withColumn("min_support", F.lit(ms))

@@ -18,11 +18,11 @@ def itemset_sql(item, where, min_support, max_len, p="", top_n=None, src="sales"
     k3 = f"""UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM {p}b a JOIN {p}b b ON a.k = b.k AND a.item < b.item
         JOIN {p}b c ON a.k = c.k AND b.item < c.item GROUP BY a.item, b.item, c.item""" if max_len > 2 else ""
     return f"""{p}a AS (SELECT DISTINCT invoice_no AS k, CAST({item} AS VARCHAR) AS item FROM {src} WHERE {where}),
-    {p}b AS (SELECT * FROM {p}a WHERE TRUE {top}),
+    {p}b AS MATERIALIZED (SELECT * FROM {p}a WHERE TRUE {top}),
     {p}n AS (SELECT count(DISTINCT k) AS n, {min_count or f"ceil(count(DISTINCT k) * {min_support})"} AS mc FROM {p}a),
     {p}cand AS (SELECT [item] AS s, count(*) AS f FROM {p}b GROUP BY item UNION ALL
     SELECT [a.item, b.item], count(*) FROM {p}b a JOIN {p}b b ON a.k = b.k AND a.item < b.item GROUP BY a.item, b.item {k3}),
-    {p}its AS (SELECT s, f, n FROM {p}cand, {p}n WHERE f >= mc)"""
+    {p}its AS MATERIALIZED (SELECT s, f, n FROM {p}cand, {p}n WHERE f >= mc)"""
 
 
 def rule_sql(p="", cond="confidence >= 0.1"):
@@ -131,9 +131,13 @@ def _(t):
     return flat(r, "season")
 
 
-def _cluster_sql():
+_LINES_MS = "greatest(0.015, least(0.03, 300.0 / count(*)))"
+_BASKET_MS = "greatest(0.01, count(DISTINCT (invoice_no, brand)) / count(DISTINCT invoice_no)::DOUBLE / count(DISTINCT invoice_no))"
+
+
+def _cluster_sql(support=_LINES_MS):
     parts = [CLUSTER_SQL, "sc AS (SELECT s.*, cluster FROM sales s JOIN cl USING (customer_id))",
-             "cz AS (SELECT cluster, greatest(0.015, least(0.03, 300.0 / count(*)))::DOUBLE AS ms FROM sc GROUP BY 1 HAVING count(*) >= 1000)"]
+             f"cz AS (SELECT cluster, {support}::DOUBLE AS ms FROM sc GROUP BY 1 HAVING count(*) >= 1000)"]
     for c in (0, 1, 2):
         parts += [itemset_sql("brand", f"cluster = {c}", f"(SELECT ms FROM cz WHERE cluster = {c})", 2, f"c{c}", 100, "sc"), rule_sql(f"c{c}")]
     return ", ".join(parts)
@@ -143,8 +147,8 @@ _CLR = _cluster_sql()
 _CLU = " UNION ALL ".join(f"SELECT {c} AS cluster, {OUT} FROM c{c}rules" for c in (0, 1, 2))
 
 
-def clustered(t, category=None):
-    return B.cluster_rules(brand_lines(t, "customer_id", *([category] if category else [])), cluster_labels(t), "brand", category, max_len=2)
+def clustered(t, category=None, **kw):
+    return B.cluster_rules(brand_lines(t, "customer_id", *([category] if category else [])), cluster_labels(t), "brand", category, max_len=2, **kw)
 
 
 @query("ar7_cluster_rules", "sales rfm", _CLU, _CLR)
@@ -152,6 +156,19 @@ def _(t):
     return flat(clustered(t), "cluster")
 
 
+@query("ar7_basket_support", "sales rfm", _CLU, _cluster_sql(_BASKET_MS))
+def _(t):
+    return flat(clustered(t, by_basket=True), "cluster")
+
+
+@query("ar2_itemsets_of_four", "sales", """SELECT array_to_string(s, ',') AS items, f AS freq FROM its UNION ALL
+    SELECT array_to_string([a.item, b.item, c.item, d.item], ','), count(*) FROM b a JOIN b b ON a.k = b.k AND a.item < b.item
+    JOIN b c ON a.k = c.k AND b.item < c.item JOIN b d ON a.k = d.k AND c.item < d.item
+    GROUP BY a.item, b.item, c.item, d.item HAVING count(*) >= (SELECT mc FROM n)""", itemset_sql("brand", "TRUE", None, 3, min_count=4))
+def _(t):
+    return B.frequent_itemsets(brand_baskets(t), max_len=4, min_count=4).select(F.array_join("items", ",").alias("items"), "freq")
+
+
 @query("ar8_category_fallback", "sales", f"SELECT 'category' AS level, {OUT} FROM rules", itemset_sql("category", "TRUE", 0.03, 2) + ", " + rule_sql())
 def _(t):
     s = t.sales("invoice_no", "brand", "category")
