@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 FAN = 16
 
 
@@ -23,31 +25,39 @@ def _with_edge_index(df: DataFrame, value, table, out) -> DataFrame:
     return d.withColumn(out, F.when(F.col("_run") == 0, 0).otherwise((F.col("_run") - 1) * FAN + inside)).drop("_run")
 
 
-def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=256, edges_per_key=False):
-    """Linear-interpolated quantiles of ``value`` per ``keys`` as array ``q``.
+def _null_safe(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on keys of which a null equals a null, as in a grouping."""
+    named = right.withColumnsRenamed({k: f"_r_{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same).drop(*[f"_r_{i}" for i in range(len(keys))])
+
 
-    Every group is cut into value ranges, the distinct values per range are
-    counted on many tasks, and only the ranges that hold a wanted rank are read,
-    so no task sees a whole group. The plan is lazy and the same at every size.
+def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=64, edges_per_key=False, weight=None):
+    """Linear-interpolated quantiles of ``value`` per ``keys`` as array ``q``; null keys are a group of their own.
+
+    The input is read once, for a written table of distinct values and how often they come (``weight``: a column with the
+    number of times a row counts). Ranks come from that table alone: groups are cut into value ranges, and only the ranges
+    that hold a wanted rank are sorted, so no task sees a whole group. The cuts only balance the work; ranks are exact
+    whatever they are.
     """
     keys = list(keys)
     v = F.col(value).cast("double") if isinstance(value, str) else value.cast("double")
-    rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v) AND abs(_v) < double('infinity')")
+    n = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, v.alias("_v"), n.cast("long").alias("_n")).where("_v IS NOT NULL AND NOT isnan(_v) AND abs(_v) < double('infinity')")
     if not keys:
         rows = rows.withColumn("_k", F.lit(0))
     ks = keys or ["_k"]
+    counts = materialize(rows.groupBy(*ks, "_v").agg(F.sum("_n").alias("_n")))
     cuts = [i / splits for i in range(1, splits)]
     if edges_per_key:
-        edges = rows.groupBy(*ks).agg(F.percentile_approx("_v", cuts, 10000).alias("_e")).withColumn("_e", _edge_table(F.col("_e")))
-        cut = rows.join(edges, ks)
+        edges = counts.groupBy(*ks).agg(F.percentile_approx("_v", cuts, 1000).alias("_e")).withColumn("_e", _edge_table(F.col("_e")))
+        cut = _null_safe(counts, edges, ks)
     else:
-        edges = rows.agg(F.percentile_approx("_v", cuts, 10000).alias("_e")).select(_edge_table(F.col("_e")))
-        cut = rows.withColumn("_e", edges.scalar())
-    counts = _with_edge_index(cut, "_v", "_e", "_b").groupBy(*ks, "_b", "_v").agg(
-        F.count("*").alias("_n"))
+        cut = counts.withColumn("_e", counts.agg(F.percentile_approx("_v", cuts, 1000).alias("_e")).select(_edge_table(F.col("_e"))).scalar())
+    cut = materialize(_with_edge_index(cut, "_v", "_e", "_b").select(*ks, "_b", "_v", "_n"))
     per_key = Window.partitionBy(*ks)
     ranges = (
-        counts.groupBy(*ks, "_b").agg(F.sum("_n").alias("_bn"))
+        cut.groupBy(*ks, "_b").agg(F.sum("_n").alias("_bn"))
         .withColumn("_end", F.sum("_bn").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_bn").over(per_key))
         .withColumn("_start", F.col("_end") - F.col("_bn"))
@@ -63,7 +73,7 @@ def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=256, edges_per_
     wanted = ranges.where(reduce(lambda a, b: a | b, [held(r) for p in probs for r in ranks(p)[1:]]))
     within = Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counts.join(wanted.select(*ks, "_b", F.col("_start").alias("_s"), "_total"), ks + ["_b"])
+        _null_safe(cut, wanted.select(*ks, "_b", F.col("_start").alias("_s"), "_total"), [*ks, "_b"])
         .withColumn("_end", F.col("_s") + F.sum("_n").over(within))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
@@ -72,9 +82,11 @@ def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=256, edges_per_
         _, lo, hi = ranks(p)
         picks += [F.max(F.when(held(lo), F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(held(hi), F.col("_v"))).alias(f"_hi{i}")]
     got = placed.groupBy(*ks).agg(F.max("_total").alias("_total"), *picks)
-    out = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (ranks(p)[0] - ranks(p)[1])
-           for i, p in enumerate(probs)]
-    return got.select(*keys, F.array(*out).alias("q"))
+
+    def between(i, p):
+        part = ranks(p)[0] - ranks(p)[1]
+        return F.when(part == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part)
+    return got.select(*keys, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"))
 
 
 def quantile_scalar(df: DataFrame, value, probs, **kw) -> Column:

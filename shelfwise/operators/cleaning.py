@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import attach_quantiles, exact_quantiles
+from ..session import materialize
 
 KEY_FIELDS = ("customer_id", "invoice_no", "stock_code", "description")
 
@@ -28,26 +29,27 @@ def with_line_total(df: DataFrame) -> DataFrame:
         "invoice_day", F.to_date("invoice_date"))
 
 
-def iqr_fence(df: DataFrame, col, k=3.0) -> DataFrame:
-    """Keep rows within k inter-quartile ranges of the quartiles.
+def iqr_fences(df: DataFrame, cols=("quantity", "unit_price"), k=3.0) -> DataFrame:
+    """Keep rows within k inter-quartile ranges of the quartiles, column by column: each column's quartiles come from the rows
+    that the fences before kept.
 
-    The two quartiles are read first, so the fence is a plain filter that
-    reaches the scan and the next fence does not repeat this one's work.
+    All quartiles come from one written table of the columns' distinct values and their counts, so the rows are read once for
+    it and once for the filter. A column without values keeps all rows.
     """
-    row = exact_quantiles(df, col, [0.25, 0.75]).first()
-    if row is None or row["q"] is None:
-        return df
-    lo, hi = row["q"]
-    return df.where(F.col(col).between(lo - k * (hi - lo), hi + k * (hi - lo)))
-
-
-def iqr_fences(df: DataFrame, cols=("quantity", "unit_price"), k=3.0) -> DataFrame:
-    """Fences in turn: each column's quartiles come from the rows that the previous fence kept."""
+    counts = materialize(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
     for c in cols:
-        df = iqr_fence(df, c, k)
+        q = exact_quantiles(counts, c, [0.25, 0.75], weight="_n").select("q").scalar()
+        lo, hi = F.get(q, F.lit(0)), F.get(q, F.lit(1))
+        inside = q.isNull() | F.col(c).between(lo - k * (hi - lo), hi + k * (hi - lo))
+        df, counts = df.where(inside), counts.where(inside)
     return df
 
 
+def iqr_fence(df: DataFrame, col, k=3.0) -> DataFrame:
+    """Keep rows within k inter-quartile ranges of the quartiles."""
+    return iqr_fences(df, [col], k)
+
+
 def normalize_description(df: DataFrame, col="description") -> DataFrame:
     return df.withColumn(col, F.upper(F.trim(F.col(col)))).where(F.col(col) != "")
 
@@ -61,10 +63,9 @@ def fill_features(df: DataFrame, cols) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols) -> DataFrame:
-    for c in cols:
-        med = exact_quantiles(df, c, [0.5]).select(F.get("q", F.lit(0))).scalar()
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), med))
-    return df
+    """Nulls become the column's median; the medians of all columns come from one reading of the rows."""
+    med = attach_quantiles(df, list(cols), [0.5])
+    return med.withColumns({c: F.coalesce(F.col(c).cast("double"), F.get(F.col(f"_q.{c}"), F.lit(0))) for c in cols}).drop("_q")
 
 
 def temporal_split(df: DataFrame, cut_date, ts="invoice_date"):

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions.quantiles import exact_quantiles
+from ..session import materialize
 
 
 def product_dimension(lines: DataFrame) -> DataFrame:
     """One row per stock code: first description, category, median price in cents."""
-    first = lines.groupBy("stock_code").agg(F.min("description").alias("description"))
-    med = exact_quantiles(lines, "unit_price", [0.5], keys=["stock_code"])
+    prices = materialize(lines.groupBy("stock_code", "unit_price").agg(F.min("description").alias("description"), F.count(F.lit(1)).alias("_n")))
+    first = prices.groupBy("stock_code").agg(F.min("description").alias("description"))
+    med = exact_quantiles(prices, "unit_price", [0.5], keys=["stock_code"], weight="_n")
     return first.join(med, "stock_code").select(
         "stock_code", "description", X.category_name(X.categorize(F.col("description"))).alias("category_name"),
         X.short_name(F.col("description")).alias("short_name"), F.get("q", F.lit(0)).alias("median_price"))

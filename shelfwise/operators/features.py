@@ -33,8 +33,10 @@ def _attach(base: DataFrame, key, *others, how="left") -> DataFrame:
     return base
 
 
-def profile_features(lines: DataFrame) -> DataFrame:
-    """The 22 profile columns per customer, plus churn label and probability group."""
+def profile_features(lines: DataFrame, columns=None) -> DataFrame:
+    """The 22 profile columns per customer and the churn label, or just some ``columns`` of them; the price quartiles, which take
+    jobs of their own, are built only when asked for."""
+    columns = list(columns or [*PROFILE_COLUMNS, "churn_label"])
     day, hour = F.to_date("invoice_date"), F.hour("invoice_date")
     today = lines.agg(F.max(day)).scalar()
     agg = lines.groupBy("customer_id").agg(
@@ -44,12 +46,15 @@ def profile_features(lines: DataFrame) -> DataFrame:
         F.min(day).alias("first_purchase"), F.max(day).alias("last_purchase"),
         F.avg(hour).alias("avg_purchase_hour"), F.stddev_samp(hour).alias("hour_std"),
         _share(F.weekday("invoice_date") >= 5).alias("weekend_ratio"), _share(hour < 6).alias("is_night"))
-    q = exact_quantiles(lines, "unit_price", [0.25, 0.75], keys=["customer_id"]).select(
-        "customer_id", F.get("q", F.lit(0)).alias("price_p25"), F.get("q", F.lit(1)).alias("price_p75"))
+    quartiles = {"price_p25": 0, "price_p75": 1}
+    q = []
+    if quartiles.keys() & set(columns):
+        q.append(exact_quantiles(lines, "unit_price", [0.25, 0.75], keys=["customer_id"]).select(
+            "customer_id", *[F.get("q", F.lit(i)).alias(c) for c, i in quartiles.items()]))
     counts = _distinct_counts(lines.withColumn("_d", day), "customer_id", total_orders="invoice_no",
                               unique_products="stock_code", _days="_d")
     span = F.datediff("last_purchase", "first_purchase")
-    df = _attach(agg, "customer_id", q, *counts).withColumns({
+    df = _attach(agg, "customer_id", *q, *counts).withColumns({
         "purchase_span_days": span, "recency_days": F.datediff(today, "last_purchase"),
         "avg_items_per_order": F.col("total_items") / F.col("total_orders"),
         "avg_spend_per_order": F.col("total_spent") / F.col("total_orders"),
@@ -58,8 +63,8 @@ def profile_features(lines: DataFrame) -> DataFrame:
         # the mean gap between consecutive distinct days is the span over the gaps
         "avg_purchase_interval": F.coalesce(F.try_divide(span, F.col("_days") - 1), F.lit(0.0)),
         "avg_purchase_hour": F.coalesce("avg_purchase_hour", F.lit(12.0))})
-    df = df.select("customer_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in PROFILE_COLUMNS])
-    return df.withColumn("churn_label", (F.col("recency_days") > 90).cast("int"))
+    df = df.withColumn("churn_label", (F.col("recency_days") > 90).cast("int"))
+    return df.select("customer_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
 
 
 def churn_prob_group(features: DataFrame) -> DataFrame:
@@ -301,12 +306,17 @@ def leakage_scan(df: DataFrame, cols, label="is_churn") -> DataFrame:
     return long.withColumn("verdict", F.when(F.col("abs_r") > 0.9, "drop").when(F.col("abs_r") > 0.7, "warn").otherwise("keep"))
 
 
+#: What the clustering columns are made from.
+CLUSTER_INPUTS = ["recency_days", "total_orders", "total_spent", "avg_items_per_order", "purchase_span_days", "unique_products", "weekend_ratio", "avg_spend_per_order"]
+
+
 def cluster_features(profile: DataFrame) -> DataFrame:
     """The 11 clustering columns with the RFM values they describe."""
     cols = ["recency_days", "total_orders", "total_spent"]
-    med = exact_quantiles(profile, "avg_items_per_order", [0.5]).select(F.get("q", F.lit(0))).scalar()
     velocity = F.col("total_orders") / F.greatest("purchase_span_days", F.lit(1))
-    binned = attach_quantiles(profile, cols, [i / 5 for i in range(6)]).withColumn("_med", med)
+    binned = attach_quantiles(profile, [*cols, "avg_items_per_order"], [0.5, *[i / 5 for i in range(6)]])
+    binned = binned.withColumns({"_med": F.get(F.col("_q.avg_items_per_order"), F.lit(0)),
+                                 "_q": F.struct(*[F.slice(F.col(f"_q.{c}"), 2, 6).alias(c) for c in cols])})
     r, f, m = [bin_by_edges(F.col(c), F.col(f"_q.{c}")) for c in cols]
     return binned.select(
         "customer_id", (6 - r).alias("r_quintile"), (f + 1).alias("f_quintile"), (m + 1).alias("m_quintile"),

@@ -77,7 +77,7 @@ _PS = _prof_sides()
 
 def profiles(t):
     a, b = sides(t, *LINE_COLS)
-    return materialize(FT.profile_features(a)), materialize(FT.profile_features(b))
+    return materialize(FT.profile_features(a, S.CLUSTER_MONITOR)), materialize(FT.profile_features(b, S.CLUSTER_MONITOR))
 
 
 _PS4 = " UNION ALL ".join(psi_sql(f, "profx", "profy") for f in S.CLUSTER_MONITOR)

@@ -41,12 +41,12 @@ PROF = """p0 AS (SELECT customer_id, sum(quantity) AS total_items, CAST(sum(line
     CASE WHEN nd > 1 THEN (lp - fp) / (nd - 1)::DOUBLE ELSE 0.0 END AS avg_purchase_interval FROM p0)"""
 
 
-def profile(t):
-    return FT.profile_features(lines(t))
+def profile(t, *columns):
+    return FT.profile_features(lines(t), columns)
 
 
 def _fp(key, spec):
-    query(key, "sales", f"SELECT {rsql(spec)} FROM prof", PROF)(lambda t: rounded(profile(t), spec))
+    query(key, "sales", f"SELECT {rsql(spec)} FROM prof", PROF)(lambda t: rounded(profile(t, *[c for c in spec if c != "customer_id"]), spec))
 
 
 _fp("fp1_volume", {"customer_id": None, "total_items": 2, "total_spent": 2, "total_orders": None, "unique_products": None})
@@ -63,7 +63,7 @@ _PROB = """CASE WHEN recency_days <= q[1] THEN 0.1::DOUBLE WHEN recency_days <=
 @query("fp6_churn_label", "sales", f"""SELECT customer_id, CAST(recency_days > 90 AS INTEGER) AS churn_label, {_PROB} FROM prof,
     (SELECT quantile_cont(recency_days, [0.2, 0.4, 0.6, 0.8]) AS q FROM prof)""", PROF)
 def _(t):
-    return FT.churn_prob_group(profile(t)).select("customer_id", "churn_label", "churn_prob_group")
+    return FT.churn_prob_group(profile(t, "recency_days", "churn_label")).select("customer_id", "churn_label", "churn_prob_group")
 
 
 _ZS = ", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 5) AS z_{c}"
@@ -148,7 +148,7 @@ QUINT = f"""ed AS (SELECT {_edges('recency_days', 5, 'prof')} AS er, {_edges('to
 
 
 def cluster_frame(t):
-    return FT.cluster_features(materialize(profile(t)))
+    return FT.cluster_features(materialize(profile(t, *FT.CLUSTER_INPUTS)))
 
 
 @query("wn10_quintiles", "sales", "SELECT customer_id, r_quintile, f_quintile, m_quintile FROM km", PROF + ", " + QUINT)
@@ -160,13 +160,13 @@ def _(t):
     {_bin('total_spent', 'e4')} AS b, {_bin('purchase_span_days', 'e5')} AS tenure_bin FROM prof,
     (SELECT {_edges('total_spent', 4, 'prof')} AS e4, {_edges('purchase_span_days', 5, 'prof')} AS e5))""", PROF)
 def _(t):
-    p = qcut(qcut(materialize(profile(t)), {"b": "total_spent"}, 4), {"tenure_bin": "purchase_span_days"}, 5)
+    p = qcut(qcut(materialize(profile(t, "total_spent", "purchase_span_days")), {"b": "total_spent"}, 4), {"tenure_bin": "purchase_span_days"}, 5)
     return p.select("customer_id", F.get(F.array(*[F.lit(x) for x in ("Low", "Mid", "High", "Premium")]), F.col("b")).alias("tier"), "tenure_bin")
 
 
 @query("wn12_prob_group", "sales", f"SELECT customer_id, {_PROB} FROM prof, (SELECT quantile_cont(recency_days, [0.2, 0.4, 0.6, 0.8]) AS q FROM prof)", PROF)
 def _(t):
-    return FT.churn_prob_group(profile(t)).select("customer_id", "churn_prob_group")
+    return FT.churn_prob_group(profile(t, "recency_days")).select("customer_id", "churn_prob_group")
 
 
 @query("wn13_peak_month", "sales", f"SELECT {rsql(_WN13)} FROM peak", GAPS)
