@@ -91,3 +91,62 @@ def earliest_deadline(weights, blocks):
             left[s] -= 1
             t += 1
     return out
+
+
+def deleted_letter_words(docs, shortest=5, least=3):
+    """{word: n} with one run in 97 short of a letter."""
+    import re
+    n = {}
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1:]
+            n[run] = n.get(run, 0) + 1
+    return {w: c for w, c in n.items() if len(w) >= shortest and c >= least}
+
+
+def one_edit_apart(words):
+    """{word: near words} by deleting each letter: near words are equal after a deletion in one or at one place of both."""
+    by, near = {}, {w: set() for w in words}
+    for w in words:
+        for k in range(len(w)):
+            by.setdefault((k, w[:k] + w[k + 1:]), set()).add(w)
+    for w in words:
+        for k in range(len(w)):
+            short = w[:k] + w[k + 1:]
+            near[w] |= by[k, short] - {w}
+            if short in near:
+                near[w].add(short)
+                near[short].add(w)
+    return near
+
+
+def variants(docs):
+    n = deleted_letter_words(docs)
+    near, form = one_edit_apart(n), {}
+    for w in n:
+        best = min(near[w], key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out)
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3):
+    """``rows`` (id, label, integer vector); labels as they count."""
+    out = []
+    for a, la, za in rows:
+        if a % every:
+            continue
+        s = sorted((-int(za @ z), i, l) for i, l, z in rows)
+        for sp, p in [(-x, i) for x, i, l in s if l == la and i != a][:positives]:
+            fit = [(-x, i) for x, i, l in s if l != la and 50 * sp <= -100 * x <= 95 * sp][:negatives]
+            out += [(a, p, r, i, sp, x) for r, (x, i) in enumerate(fit, 1)]
+    return sorted(out)

@@ -403,3 +403,10 @@ def test_op2_verdicts(spark):
     planted = [got[i] for i in range(len(clean), len(texts)) if not got[i]["base_failed"]]
     assert len(planted) == 30 and not any(r["kept"] for r in planted)
     assert sum(got[i]["kept"] for i in range(400)) >= 396 and all(got[i]["kept"] for i in range(400, 420))
+
+
+def test_op3_where_no_pair_of_short_runs_fits(spark):
+    """The first text's words begin the second; they share keys, but their sizes keep them apart."""
+    words = [f"w{i}" for i in range(125)]
+    df = spark.createDataFrame([(1, " ".join(words[:112])), (2, " ".join(words))], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in parity_join.linked_documents(df, words=3, percent=90).collect()} == {(1, 1), (2, 2)}
