@@ -17,8 +17,8 @@ Chernoff's bound. Pairs of short runs that share less than half of that are drop
 sets that have less than half of it there. Sizes for which no such bound holds are searched as above.
 
 Rows that share a key come sorted past one task each, in a stream: runs of up to ``SMALL`` sets become pairs there, and
-only longer runs are kept as groups. Pairs are pruned by a short sketch of fixed length and by their sketches, and the rest verified on whole sets. Groups of
-longer runs are compared in square blocks of bounded size on their short sketches; of what could be links only a spanning
+only longer runs are kept as groups. Of a longer run, each member makes a pair with the least one. Pairs are pruned by a short sketch of fixed length and by
+their sketches, and the rest verified on whole sets. Longer runs that these links leave apart are compared in square blocks of bounded size on their short sketches; of what could be links only a spanning
 forest goes on to be verified, and rounds follow until each pair of a group is known to be apart or joined by verified
 links. So all links count for the groups, and no group's pairs are written out.
 
@@ -184,13 +184,13 @@ def _shorter(folds, words):
 
 
 def _signatures(df, words):
-    """Per row: doc_id, size of the set, its node and its short sketch."""
-    schema = _schema(doc_id=LongType, n_shingles=LongType, node=LongType, fold=BinaryType, wide=BinaryType)
+    """Per row: doc_id, a hash of the text, size of the set, its node and its short sketch."""
+    schema = _schema(doc_id=LongType, text_hash=LongType, n_shingles=LongType, node=LongType, fold=BinaryType, wide=BinaryType)
 
     def run(batches):
         out = _arrow(schema)
         for part, sets in _sets(batches, words):
-            yield batch(out, doc_id=part.column("doc_id"), n_shingles=[len(s) for s in sets], node=[_node(s) for s in sets],
+            yield batch(out, doc_id=part.column("doc_id"), text_hash=part.column("text_hash"), n_shingles=[len(s) for s in sets], node=[_node(s) for s in sets],
                         fold=[_fold(s) for s in sets], wide=[_wide(s) for s in sets])
     return df.mapInArrow(run, schema)
 
@@ -212,21 +212,21 @@ def _keys(docs, words, percent, miss=0.0):
 
 
 def _runs(keys, percent, miss=0.0):
-    """Runs of equal keys: pairs (a < b, key null) of short ones that sizes allow, with the keys shared so far, and members (b
-    null) of longer ones; ``need`` is what they have to share in all."""
+    """Runs of equal keys: pairs (a < b, key null) of short ones that sizes allow, with the keys shared so far, and members b of
+    longer ones, with the least node a of the run (shared null); ``need`` is what they have to share in all."""
     schema = _schema(key=LongType, a=LongType, na=IntegerType, b=LongType, nb=IntegerType, shared=IntegerType, need=IntegerType)
 
     def run(batches):
         out, bands = _arrow(schema), Bands(percent, miss)
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-        long_key = None
+        long_key = centre = None
 
         def needs(sizes, least):
             each, at = np.unique(sizes, return_inverse=True)
             return np.array([min(map(bands.need, bands.bands(int(n)))) if least else bands.need(bands.of(int(n))) for n in each], np.int32)[at]
 
         def results(key, node, size):
-            nonlocal long_key
+            nonlocal long_key, centre
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             length = np.diff(np.r_[start, len(key)])
             of = np.repeat(np.arange(len(start)), length)
@@ -254,9 +254,12 @@ def _runs(keys, percent, miss=0.0):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(once), pa.int64()), *map(pa.array, (a, na, b, nb, shared, needs(np.maximum(na, nb), False)))], schema=out)
             m = np.flatnonzero(is_long)
             if len(m):
-                yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(node[m]), pa.array(size[m]), pa.nulls(len(m), pa.int64()),
-                                                  pa.nulls(len(m), pa.int32()), pa.nulls(len(m), pa.int32()), pa.array(needs(size[m], True))], schema=out)
-                long_key = key[m[-1]]
+                first, first_size = node[start[of[m]]], size[start[of[m]]]
+                if long_key is not None:
+                    first[key[m] == long_key], first_size[key[m] == long_key] = centre
+                yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(first), pa.array(first_size), pa.array(node[m]), pa.array(size[m]),
+                                                  pa.nulls(len(m), pa.int32()), pa.array(needs(size[m], True))], schema=out)
+                long_key, centre = key[m[-1]], (first[-1], first_size[-1])
         for b in batches:
             got = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "node", "size"))]
             key, node, _ = got
@@ -424,19 +427,35 @@ def _forest(members, folds, labels, failed, percent):
     return dealt.groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
 
 
+def _open_members(long_runs, stars, labels):
+    """Members (key, node, size) of the longer runs in which not all are of one component with the least node. Most runs close
+    with the links of their stars, and none of their rows goes on."""
+    open_ = stars.select("a", "b")
+    for end in ("a", "b"):
+        open_ = open_.join(labels.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    keys = long_runs.select("key", "a", "b").join(open_.where("ca <> cb").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    members = materialize(long_runs.select("key", F.col("b").alias("node"), F.col("nb").alias("size"), "need").join(keys, "key", "left_semi").distinct())
+    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need")).where("2 * places > need - need % 2")
+    return materialize(members.drop("need").join(often.select("node"), "node", "left_semi"))
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def groups(df, words=3, percent=90, miss=0.0):
-    """Per row: doc_id, n_shingles and component_id (smallest id reachable by links)."""
-    docs = text_column(df, F.col("doc_id").cast("long").alias("doc_id"))
+    """Per row: doc_id, text_hash, n_shingles, component_id (smallest id reachable by links) and root, the name of its group."""
+    docs = text_column(df, F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"))
     sig = materialize(_signatures(docs, words))
     named = docs.where("doc_id is not null and text is not null")
     runs = materialize(_runs(_keys(named, words, percent, miss), percent, miss))
-    pairs = runs.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.first("need").alias("need"))
+    pairs = runs.where("shared is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.first("need").alias("need"))
     pairs = pairs.where("2 * shared >= need").select("a", "na", "b", "nb")
     folds = materialize(sig.select("node", F.col("n_shingles").cast("int").alias("size"), "fold", "wide").dropDuplicates(["node", "size"]))
-    pairs = materialize(_close(pairs, folds.drop("wide"), percent, "fold", _of_folds))
-    members = runs.where("b is null").select("key", F.col("a").alias("node"), F.col("na").alias("size"), "need").distinct()
-    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need")).where("2 * places > need - need % 2")
-    members = materialize(members.drop("need").join(often.select("node"), "node", "left_semi"))
+    long_runs = runs.where("shared is null")
+    stars = materialize(long_runs.where("a <> b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")))
+    fits = stars.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
+    pairs = materialize(_close(pairs.unionByName(fits).distinct(), folds.drop("wide"), percent, "fold", _of_folds))
 
     def fetch(ends, *hint):
         """Sets and sketches of some nodes: the text of one document of each."""
@@ -452,6 +471,7 @@ def groups(df, words=3, percent=90, miss=0.0):
     checked = _verified(pairs, described, percent)
     labels = materialize(components(checked.where("link = 1")))
     failed = checked.where("link = 0")
+    members = _open_members(long_runs, stars, labels)
     while True:
         more = materialize(_forest(members, folds, labels, failed, percent))
         if more.isEmpty():
@@ -459,30 +479,37 @@ def groups(df, words=3, percent=90, miss=0.0):
         new = _verified(more, fetch(_ends(more)), percent)
         failed = materialize(failed.unionByName(new.where("link = 0")))
         labels = _joined(labels, new.where("link = 1"))
-    out = materialize(sig.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("root")))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    least = out.where(~alone).groupBy("root").agg(F.min("doc_id").alias("least"))
-    return out.join(least, "root", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # ids are settled per node, and only for nodes with copies or links, so that copies meet in one join
+    nodes = sig.where(~alone).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    linked = labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct()
+    placed = materialize(nodes.join(linked, "node", "left").where("copies > 1 or component is not null"))
+    whole = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("group"))
+    named = placed.join(whole, "component", "left").select("node", F.coalesce("group", "least").alias("group"), F.coalesce("component", "node").alias("root"))
+    out = sig.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("group", "doc_id")).alias("component_id"),
+                      F.when(~alone, F.coalesce("root", "node")).alias("root"))
 
 
 def linked_documents(df, words=3, percent=90):
     """Per document: doc_id, n_shingles, component_id."""
-    return groups(df, words, percent)
+    return groups(df, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(df, words=5, percent=80, miss=1e-9):
-    """The rows of ``df`` without all but the smallest id of each group of linked documents; of rows that share an id, the one
-    of smallest text. Rows without an id, and documents without words, stay."""
-    found = materialize(groups(df, words, percent, miss))
-    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
-    ids = materialize(ids.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")))
-    gone = ids.where("not stays").select(F.col("id").alias("gone"))
-    kept = df.join(gone, F.col("doc_id").cast("long") == gone["gone"], "left_anti")  # ids alone; Spark broadcasts them where their size allows
-    often = materialize(ids.where("n > 1 and stays").select(F.col("id").alias("often")))
+    """The rows of ``df`` without all but one of each group of linked documents, that of smallest id; where a group's smallest id
+    comes with several texts, one of them, and of rows that agree in id and text, one. Texts that do not link stay, whatever their ids, as
+    do rows without an id and documents without words (of those that agree in id and text, one)."""
+    found = materialize(groups(df, words, percent, miss).where("doc_id is not null").select("doc_id", "text_hash", "root"))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = found.join(first, "root").where(F.struct("doc_id", "text_hash") != F.col("first")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
+    own, text = F.col("doc_id").cast("long"), _text_hash()
+    kept = df.join(gone, (own == gone["gone"]) & (text == gone["gone_text"]), "left_anti")  # ids alone; Spark broadcasts them where their size allows
+    often = found.groupBy(F.col("doc_id").alias("often"), F.col("text_hash").alias("often_text")).count().where("count > 1").select("often", "often_text")
+    often = materialize(often)
     if often.isEmpty():
         return kept
-    same = F.col("doc_id").cast("long") == often["often"]
-    single = kept.join(often, same, "left_anti")
+    same = (own == often["often"]) & (text == often["often_text"])
     several = kept.join(often, same, "left_semi")
-    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*df.columns), F.struct(F.col("text").isNull(), "text")).alias("row"))
-    return single.unionByName(first.select("row.*"))
+    once = several.groupBy(own, text).agg(F.first(F.struct(*df.columns)).alias("row"))
+    return kept.join(often, same, "left_anti").unionByName(once.select("row.*"))

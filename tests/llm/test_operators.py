@@ -410,3 +410,40 @@ def test_op3_where_no_pair_of_short_runs_fits(spark):
     words = [f"w{i}" for i in range(125)]
     df = spark.createDataFrame([(1, " ".join(words[:112])), (2, " ".join(words))], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in parity_join.linked_documents(df, words=3, percent=90).collect()} == {(1, 1), (2, 2)}
+
+
+def near_copies(seed):
+    """Groups of one to eighty near copies of texts of many lengths, and texts around a common passage."""
+    rng, rows = random.Random(seed), []
+    for size in [1] * 30 + [2] * 12 + [6] * 5 + [80]:
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.choice([12, 40, 150, 400]))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(10**5)}"
+            rows.append(" ".join(w))
+    passage = [f"p{i}" for i in range(60)]
+    rows += [" ".join(passage + [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(0, 25))]) for _ in range(60)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("miss", [0, 1e-9])
+@pytest.mark.parametrize("small", [3, 16])
+def test_groups_in_short_and_long_runs(spark, monkeypatch, miss, small):
+    monkeypatch.setattr(parity_join, "SMALL", small)
+    monkeypatch.setattr(parity_join, "BLOCK", 25)
+    rows = near_copies(small)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(rows, 5, 80)
+    assert {r["doc_id"]: r["component_id"] for r in parity_join.groups(df, 5, 80, miss).collect()} == want
+    assert sorted(r["doc_id"] for r in parity_join.one_of_each(df, 5, 80, miss).collect()) == sorted(d for d, c in want.items() if c == d)
+
+
+def test_one_of_each_decides_by_row(spark):
+    """Texts that share an id and do not link all stay; the original stays where a copy shares its id with something else."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, one, 0), (1, two, 1), (2, one, 2), (3, three, 3), (3, three, 4), (4, two + " more", 5), (None, one, 6), (5, None, 7), (5, "", 8), (6, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    got = sorted(r["root"] for r in parity_join.one_of_each(df).collect())
+    assert got in ([0, 1, 3, 6, 7, 8, 9], [0, 1, 4, 6, 7, 8, 9])
