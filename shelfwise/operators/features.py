@@ -98,9 +98,14 @@ def minmax_scale(df: DataFrame, cols, prefix="u_", log=False) -> DataFrame:
 # ------------------------------------------------------------------ purchase times
 
 
+def _names(key):
+    """Key columns: one name or a list of them."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def _monthly_times(lines: DataFrame, key):
     """Distinct purchase times with their month; months are the slices a hot customer is cut into."""
-    return lines.select(key, F.col("invoice_date").alias("ts")).distinct().withColumn("m", F.trunc("ts", "month"))
+    return lines.select(*key, F.col("invoice_date").alias("ts")).distinct().withColumn("m", F.trunc("ts", "month"))
 
 
 def purchase_gaps(lines: DataFrame, key="customer_id") -> DataFrame:
@@ -109,18 +114,19 @@ def purchase_gaps(lines: DataFrame, key="customer_id") -> DataFrame:
     Gaps inside a month come from a window per (customer, month); gaps between
     months from one row per month. Moments then add up per customer.
     """
+    key = _names(key)
     times = _monthly_times(lines, key)
-    inside = Window.partitionBy(key, "m").orderBy("ts")
+    inside = Window.partitionBy(*key, "m").orderBy("ts")
     t = times.withColumn("g", X.whole_days(F.col("ts"), F.lag("ts").over(inside)))
-    by_month = t.groupBy(key, "m").agg(
+    by_month = t.groupBy(*key, "m").agg(
         F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.sum("g").alias("s1"),
         F.sum(F.col("g").cast("long") * F.col("g")).alias("s2"), F.max_by("g", "ts").alias("last_inside"))
-    months = Window.partitionBy(key).orderBy("m")
+    months = Window.partitionBy(*key).orderBy("m")
     x = X.whole_days(F.col("lo"), F.lag("hi").over(months))
     c = by_month.withColumn("x", x).withColumn("s1", F.coalesce("s1", F.lit(0)) + F.coalesce("x", F.lit(0))).withColumn(
         "s2", F.coalesce("s2", F.lit(0)) + F.coalesce(F.col("x").cast("long") * F.col("x"), F.lit(0))).withColumn(
         "last_gap", F.when(F.col("n") > 1, F.col("last_inside")).otherwise(F.col("x")))
-    g = c.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
+    g = c.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
                            F.max_by("last_gap", "m").alias("last_gap"))
     gaps = F.col("n") - 1
     mean = F.col("s1") / gaps
@@ -130,7 +136,7 @@ def purchase_gaps(lines: DataFrame, key="customer_id") -> DataFrame:
     def enough(c):
         return F.when(F.col("n") > 2, c).otherwise(0.0)
     return g.select(
-        key, F.col("n").alias("n_times"), enough(mean).alias("interval_mean"), enough(std).alias("interval_std"),
+        *key, F.col("n").alias("n_times"), enough(mean).alias("interval_mean"), enough(std).alias("interval_std"),
         enough(std / F.greatest(mean, F.lit(1.0))).alias("interval_cv"),
         enough(F.least(F.col("last_gap") / F.greatest(prior, F.lit(1.0)), F.lit(10.0))).alias("last_interval_ratio"))
 
@@ -138,33 +144,35 @@ def purchase_gaps(lines: DataFrame, key="customer_id") -> DataFrame:
 def _midpoints(lines: DataFrame, key):
     """The (n/2)-th distinct time of customers with three or more, found in the month that holds it."""
     times = _monthly_times(lines, key)
-    per_month = times.groupBy(key, "m").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
+    per_month = times.groupBy(*key, "m").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*key)
     pos = per_month.withColumn("end", F.sum("n").over(w.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "total", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n")).withColumn(
         "mid", F.floor(F.col("total") / 2)).where("total >= 3 AND mid >= start AND mid < end")
-    rank = F.row_number().over(Window.partitionBy(key, "m").orderBy("ts"))
-    return times.join(pos.select(key, "m", "mid", "start"), [key, "m"]).withColumn("r", rank).where(
-        "r - 1 = mid - start").select(key, F.col("ts").alias("mid_ts"))
+    rank = F.row_number().over(Window.partitionBy(*key, "m").orderBy("ts"))
+    return times.join(pos.select(*key, "m", "mid", "start"), [*key, "m"]).withColumn("r", rank).where(
+        "r - 1 = mid - start").select(*key, F.col("ts").alias("mid_ts"))
 
 
 def half_trends(lines: DataFrame, key="customer_id") -> DataFrame:
     """Orders and spend of the second half over the first, split at the middle purchase time, at most 5."""
-    per_visit = lines.groupBy(key, "invoice_no", "invoice_date").agg(F.sum("line_cents").alias("c"))
+    key = _names(key)
+    per_visit = lines.groupBy(*key, "invoice_no", "invoice_date").agg(F.sum("line_cents").alias("c"))
     j = per_visit.join(_midpoints(lines, key), key).withColumn("late", F.col("invoice_date") >= F.col("mid_ts"))
-    spend = j.groupBy(key, "late").agg(F.sum("c").alias("c"))
-    orders = j.select(key, "late", "invoice_no").distinct().groupBy(key, "late").agg(F.count("*").alias("o"))
-    s = orders.join(spend, [key, "late"]).groupBy(key).agg(
+    spend = j.groupBy(*key, "late").agg(F.sum("c").alias("c"))
+    orders = j.select(*key, "late", "invoice_no").distinct().groupBy(*key, "late").agg(F.count("*").alias("o"))
+    s = orders.join(spend, [*key, "late"]).groupBy(*key).agg(
         *[F.sum(F.when(F.col("late") == late, F.col(v))).alias(f"{v}{int(late)}") for v in ("o", "c") for late in (False, True)])
     return s.select(
-        key, F.least(F.col("o1") / F.greatest("o0", F.lit(1)), F.lit(5.0)).alias("relative_freq_trend"),
+        *key, F.least(F.col("o1") / F.greatest("o0", F.lit(1)), F.lit(5.0)).alias("relative_freq_trend"),
         F.least((F.col("c1") / 100) / F.greatest(F.col("c0") / 100, F.lit(0.01)), F.lit(5.0)).alias("relative_spend_trend"))
 
 
 def peak_month(lines: DataFrame, key="customer_id") -> DataFrame:
     """Month of the year with the highest spend (earliest on ties) and its share of the total."""
-    m = lines.groupBy(key, F.month("invoice_date").alias("mon")).agg(F.sum("line_cents").alias("c"))
-    return m.groupBy(key).agg(
+    key = _names(key)
+    m = lines.groupBy(*key, F.month("invoice_date").alias("mon")).agg(F.sum("line_cents").alias("c"))
+    return m.groupBy(*key).agg(
         F.max_by("mon", F.struct(F.col("c"), -F.col("mon"))).alias("spend_peak_month"),
         (F.max("c") / 100 / F.greatest(F.sum("c") / 100, F.lit(1.0))).alias("spend_peak_ratio"))
 
@@ -195,8 +203,9 @@ def churn_feature_columns(exclude=CHURN_EXCLUDE, extra=()):
     return [c for c in [*ALL_FEATURES, *extra] if c not in exclude]
 
 
-def churn_base(lines: DataFrame, cut_date) -> DataFrame:
-    """Volume, price, timing and window features up to the cut, one row per customer."""
+def churn_base(lines: DataFrame, cut_date, columns=None) -> DataFrame:
+    """Volume, price, timing and window features up to the cut, one row per customer. The lower price quartile, which takes jobs
+    of its own, is left out if ``columns`` are given and neither it nor what is made from it is among them."""
     ref = F.date_add(F.lit(cut_date).cast("date"), 1).cast("timestamp")
     lines = lines.where(F.col("invoice_date") <= F.lit(cut_date).cast("timestamp"))
     hour, mon = F.hour("invoice_date"), F.month("invoice_date")
@@ -212,18 +221,23 @@ def churn_base(lines: DataFrame, cut_date) -> DataFrame:
         F.coalesce(F.stddev_samp(hour), F.lit(0.0)).alias("hour_std"), _share((hour >= 22) | (hour <= 5)).alias("is_night"),
         _share(hour.between(9, 17)).alias("is_weekday"), F.size(F.collect_set(mon)).alias("active_months"),
         *[F.coalesce(F.sum(F.when(F.col(f"_{n}"), F.col("line_cents"))), F.lit(0)).alias(f"_spend_{n}") for n in starts])
-    q = exact_quantiles(lines, "unit_price", [0.25], keys=["customer_id"]).select(
-        "customer_id", F.get("q", F.lit(0)).alias("price_p25"))
+    q = []
+    if columns is None or {"price_p25", "price_range"} & set(columns):
+        q.append(exact_quantiles(lines, "unit_price", [0.25], keys=["customer_id"]).select("customer_id", F.get("q", F.lit(0)).alias("price_p25")))
     # one row per order answers the order counts of every window
     visits = lines.groupBy("customer_id", "invoice_no").agg(*[F.max(f"_{n}").alias(f"_{n}") for n in starts])
     orders = visits.groupBy("customer_id").agg(
         F.count("*").alias("total_orders"), *[F.count(F.when(F.col(f"_{n}"), 1)).alias(f"orders_{n}") for n in starts])
     products = lines.select("customer_id", "stock_code").distinct().groupBy("customer_id").agg(
         F.count("*").alias("unique_products"))
-    df = _attach(agg, "customer_id", orders, products, q)
+    return base_ratios(_attach(agg, "customer_id", orders, products, *q), ref, starts)
+
+
+def base_ratios(df: DataFrame, ref, windows) -> DataFrame:
+    """Spans, rates and trends from the sums and counts of a customer; ``ref`` is the day after the cut."""
     days = {"purchase_span_days": X.whole_days(F.col("last_purchase"), F.col("first_purchase")),
             "recency_days": X.whole_days(ref, F.col("last_purchase")), "tenure_days": X.whole_days(ref, F.col("first_purchase"))}
-    df = df.withColumns(days).withColumns({f"spend_{n}": F.col(f"_spend_{n}") / 100 for n in starts})
+    df = df.withColumns(days).withColumns({f"spend_{n}": F.col(f"_spend_{n}") / 100 for n in windows})
     span = F.greatest("purchase_span_days", F.lit(1))
     return df.withColumns({
         "price_cv": F.col("price_std") / F.greatest("avg_item_price", F.lit(0.01)),
@@ -235,11 +249,12 @@ def churn_base(lines: DataFrame, cut_date) -> DataFrame:
         "order_frequency": F.col("total_orders") / span * 30,
         **{f"purchase_trend_{w}d": F.col(f"orders_late_{w}d") / F.greatest(F.col(f"orders_early_{w}d"), F.lit(0.5)) for w in (30, 60)},
         **{f"spend_trend_{w}d": F.col(f"spend_late_{w}d") / F.greatest(F.col(f"spend_early_{w}d"), F.lit(0.5)) for w in (30, 60)},
-    }).drop(*[f"_spend_{n}" for n in starts])
+    }).drop(*[f"_spend_{n}" for n in windows])
 
 
-def derive_churn(df: DataFrame, cut_date) -> DataFrame:
-    """Ratios, engagement and risk components from the base and time features."""
+def derive_churn(df: DataFrame, cut_date, keys=(), columns=None) -> DataFrame:
+    """Ratios, engagement and risk components from the base and time features; ``keys`` name what holds several cuts apart. The
+    bulk-buyer mark, which takes a quantile of all customers, is left out if ``columns`` are given without it."""
     ref = F.date_add(F.lit(cut_date).cast("date"), 1)
     c = F.col
     span = F.greatest("purchase_span_days", F.lit(1))
@@ -254,15 +269,18 @@ def derive_churn(df: DataFrame, cut_date) -> DataFrame:
         "spend_depth": c("avg_spend_per_order") / F.greatest("avg_item_price", F.lit(0.01)),
         "activity_rate": c("active_months") / months, "engagement_consistency": c("active_months") / months,
         "product_diversity": c("unique_products") / c("total_orders"),
-        "spending_cv": c("price_std") / F.greatest("avg_item_price", F.lit(0.01)), "price_range": c("price_p25") * 2,
+        "spending_cv": c("price_std") / F.greatest("avg_item_price", F.lit(0.01)), **({"price_range": c("price_p25") * 2} if "price_p25" in df.columns else {}),
         "recency_score": F.least(F.lit(100.0), c("recency_days") / 365 * 100),
     })
-    p90 = exact_quantiles(df, "avg_items_per_order", [0.9]).select(F.get("q", F.lit(0))).scalar()
+    if columns is None or "is_bulk_buyer" in columns:
+        p90 = exact_quantiles(df, "avg_items_per_order", [0.9], keys=keys).select(*keys, F.get("q", F.lit(0)).alias("_p90"))
+        df = df.join(F.broadcast(p90), list(keys)) if keys else df.withColumn("_p90", p90.scalar())  # a row a cut
+        df = df.withColumn("is_bulk_buyer", (c("avg_items_per_order") > c("_p90")).cast("int")).drop("_p90")
     idle = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros("last_purchase")) / F.lit(86_400_000_000)
     overdue = F.greatest(F.floor(idle - c("avg_purchase_interval")), F.lit(0)).cast("int")
     df = df.withColumns({
         "recent_density_ratio": c("purchase_trend_30d") * c("purchase_density"),
-        "is_bulk_buyer": (c("avg_items_per_order") > p90).cast("int"), "days_overdue": overdue,
+        "days_overdue": overdue,
         "expected_next_purchase": F.date_add(F.to_date("last_purchase"), F.floor("avg_purchase_interval").cast("int")),
         "low_engagement_score": (1 - c("engagement_consistency")) * 50,
     })
@@ -271,20 +289,39 @@ def derive_churn(df: DataFrame, cut_date) -> DataFrame:
     return df.withColumns({"loyalty_index": 100 - c("churn_risk_score"), "is_at_risk": (c("churn_risk_score") > 60).cast("int")})
 
 
-def churn_features(lines: DataFrame, cut_date, label_end=None) -> DataFrame:
-    """All churn features at one cut date with the label from the days after it."""
+#: Churn features that come from the purchase times alone, by the function that makes them, and from the label window.
+TIME_FEATURES = {purchase_gaps: {"n_times", "interval_mean", "interval_std", "interval_cv", "last_interval_ratio"},
+                 half_trends: {"relative_freq_trend", "relative_spend_trend"}, peak_month: {"spend_peak_month", "spend_peak_ratio"}}
+LABELS = {"first_label_purchase", "is_churn"}
+
+
+def churn_features(lines: DataFrame, cut_date, label_end=None, columns=None) -> DataFrame:
+    """All churn features at one cut date with the label from the days after it, or what some ``columns`` need and no more."""
     train = lines.where(F.col("invoice_date") <= F.lit(cut_date).cast("timestamp"))
-    later = lines.where(F.col("invoice_date") >= F.date_add(F.lit(cut_date).cast("date"), 1))
-    if label_end:
-        later = later.where(F.col("invoice_date") <= F.lit(label_end).cast("timestamp"))
-    df = _attach(churn_base(lines, cut_date), "customer_id", purchase_gaps(train), half_trends(train), peak_month(train))
-    df = df.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in (
-        "relative_freq_trend", "relative_spend_trend")})
-    df = derive_churn(df, cut_date)
-    seen = later.groupBy("customer_id").agg(F.to_date(F.min("invoice_date")).alias("first_label_purchase"))
-    return df.join(seen, "customer_id", "left").withColumns({
-        "is_churn": F.col("first_label_purchase").isNull().cast("int"),
-        "prediction_tier": F.when(F.col("total_orders") <= 1, "Cold-Start").otherwise("Established")})
+    want = None if columns is None else set(columns)
+    times = [f for f, names in TIME_FEATURES.items() if want is None or names & want]
+    simple = set.union(*TIME_FEATURES.values(), LABELS, {"customer_id", "last_purchase"})
+    whole = want is None or bool(want - simple)
+    base = churn_base(lines, cut_date, columns) if whole else train.groupBy("customer_id").agg(F.max("invoice_date").alias("last_purchase"))
+    df = _attach(base, "customer_id", *[f(train) for f in times])
+    df = df.withColumns({k: F.coalesce(F.col(k), F.lit(0.0)) for k in sorted(TIME_FEATURES[half_trends]) if half_trends in times})
+    if whole:
+        df = derive_churn(df, cut_date, columns=columns)
+    if want is None or want & (LABELS | {"prediction_tier"}):
+        later = lines.where(F.col("invoice_date") >= F.date_add(F.lit(cut_date).cast("date"), 1))
+        if label_end:
+            later = later.where(F.col("invoice_date") <= F.lit(label_end).cast("timestamp"))
+        seen = later.groupBy("customer_id").agg(F.to_date(F.min("invoice_date")).alias("first_label_purchase"))
+        df = labelled(df.join(seen, "customer_id", "left"))
+    return df
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """The churn label from the first purchase after the cut, and the prediction tier where the orders are counted."""
+    df = df.withColumn("is_churn", F.col("first_label_purchase").isNull().cast("int"))
+    if "total_orders" not in df.columns:
+        return df
+    return df.withColumn("prediction_tier", F.when(F.col("total_orders") <= 1, "Cold-Start").otherwise("Established"))
 
 
 def next_purchase(df: DataFrame, cut_date) -> DataFrame:

@@ -5,6 +5,8 @@ them, so many series run side by side. A series is an aggregate with one row per
 day, week or month, so its windows are short whatever the size of the lines.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,17 +161,54 @@ def tournament_best(results: DataFrame) -> DataFrame:
     return per.withColumn("best_overall", F.col("smape") == results.agg(F.min("smape")).scalar())
 
 
+#: Step between two origins and rows to forecast from each.
+STEPS = {"daily": (7, 30), "weekly": (2, 4), "monthly": (1, 2)}
+
+
+def _origins(n, grain, max_folds):
+    """Sizes of the growing training window: from a third of the ``n`` rows in fixed steps, as long as the horizon fits."""
+    step, horizon = STEPS[grain]
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_folds - 1)), lambda f: F.floor(n / 3) + f * step), lambda o: o < n - horizon)
+
+
+def _line(n, sx, sy, sxx, sxy):
+    """Slope and intercept of the least-squares line from its sums; a level line where there is no spread."""
+    n, sx, sy, sxx, sxy = (F.col(c) for c in (n, sx, sy, sxx, sxy))
+    slope = F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
+    return slope, (sy - slope * sx) / n
+
+
+def _days(date="date"):
+    return F.datediff(date, F.lit("2000-01-01").cast("date")).cast("double")
+
+
+def linear_at_origins(df: DataFrame, grain, max_folds=10, keys=(), y="revenue") -> DataFrame:
+    """The line refitted at every origin of ``rolling_origin`` and its forecast over the horizon: fold, date, y, slope, icept, yhat.
+
+    The sums of the normal equations run along the series once; an origin's fit is read off at its row, so training rows
+    are not repeated per fold.
+    """
+    horizon, before = STEPS[grain][1], _w(keys).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    x, v = F.col("_x"), F.col(y).cast("double")
+    d = df.select(*keys, "date", y).withColumns({"_x": _days(), "row_idx": F.row_number().over(_w(keys).orderBy("date")) - 1, "_n": F.count("*").over(_w(keys))})
+    d = d.withColumns({"_s0": F.count("*").over(before), "_sx": F.sum(x).over(before), "_sy": F.sum(v).over(before),
+                       "_sxx": F.sum(x * x).over(before), "_sxy": F.sum(x * v).over(before), "_o": _origins(F.col("_n"), grain, max_folds)})
+    slope, icept = _line("_s0", "_sx", "_sy", "_sxx", "_sxy")
+    fits = d.where(F.array_contains("_o", F.col("row_idx").cast("long"))).select(*keys, F.col("row_idx").alias("fold"), slope.alias("slope"), icept.alias("icept"))
+    ahead = F.filter("_o", lambda o: (o <= F.col("row_idx")) & (F.col("row_idx") < o + horizon))
+    test = d.select(*keys, "date", y, "_x", F.explode(ahead.cast("array<int>")).alias("fold"))
+    return test.join(fits, [*keys, "fold"]).withColumn("yhat", F.col("icept") + F.col("slope") * x).drop("_x")
+
+
 def rolling_origin(df: DataFrame, grain, max_folds=10, keys=()) -> DataFrame:
     """Folds of a growing training window: start at n/3, fixed step and horizon, at most ``max_folds``.
 
     Each row is repeated once per fold it belongs to; a fold id then acts as one more series key.
     """
-    step, horizon = {"daily": (7, 30), "weekly": (2, 4), "monthly": (1, 2)}[grain]
+    horizon = STEPS[grain][1]
     i = F.row_number().over(_w(keys).orderBy("date")) - 1
     d = df.withColumns({"row_idx": i, "_n": F.count("*").over(_w(keys))})
-    folds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_folds - 1)), lambda f: F.floor(F.col("_n") / 3) + f * step),
-                     lambda o: o < F.col("_n") - horizon)
-    d = d.withColumn("train_n", F.explode(folds)).where(F.col("row_idx") < F.col("train_n") + horizon)
+    d = d.withColumn("train_n", F.explode(_origins(F.col("_n"), grain, max_folds))).where(F.col("row_idx") < F.col("train_n") + horizon)
     return d.withColumn("fold", F.col("train_n").cast("int")).withColumn("train_n", F.col("train_n").cast("int")).withColumn(
         "is_test", F.col("row_idx") >= F.col("train_n")).drop("_n")
 
@@ -262,6 +301,42 @@ def bootstrap_interval(train: DataFrame, test: DataFrame, rounds=100, seed=42, y
                     F.col(y).between(lo, hi).alias("covered"), (hi - lo).alias("width"))
 
 
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, 2, ...
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
+
+def refits(df: DataFrame, season_key, rounds=100, seed=42, y="revenue"):
+    """Trend and season refitted on ``rounds`` bootstrap samples of the training rows: (lines, seasons).
+
+    A row counts in a sample as often as a Poisson draw from the md5 of (round, row, seed) says. The sums of the weighted normal
+    equations per round and season key are one aggregate; lines (round, slope, icept) come from their totals, and seasons
+    (round, key, effect), the mean distance from the line, from the same sums.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "round", "row_idx", F.lit(seed))), 1, 8), 16, 10).cast("double") / 2 ** 32
+    draws = df.where("NOT is_test").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_u", u)
+    w, x, v = sum((F.col("_u") >= c).cast("int") for c in POISSON), _days(), F.col(y).cast("double")
+    sums = draws.withColumns({"_w": w.cast("double"), "_x": x}).where("_w > 0").groupBy("round", season_key).agg(
+        F.sum("_w").alias("_s0"), F.sum(F.col("_w") * F.col("_x")).alias("_sx"), F.sum(F.col("_w") * v).alias("_sy"),
+        F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("_sxx"), F.sum(F.col("_w") * F.col("_x") * v).alias("_sxy"))
+    total = ("_s0", "_sx", "_sy", "_sxx", "_sxy")
+    slope, icept = _line(*total)
+    lines = sums.groupBy("round").agg(*[F.sum(c).alias(c) for c in total]).select("round", slope.alias("slope"), icept.alias("icept"))
+    effect = (F.col("_sy") - F.col("icept") * F.col("_s0") - F.col("slope") * F.col("_sx")) / F.col("_s0")
+    return lines, sums.join(lines, "round").select("round", season_key, effect.alias("effect"))
+
+
+def refit_interval(df: DataFrame, season_key, rounds=100, seed=42, y="revenue") -> DataFrame:
+    """95 % band per test row from the forecasts of ``refits``, none below 0: mean, band, whether it covers the actual, width. A
+    season key that a sample lacks has no effect in it."""
+    lines, seasons = refits(df, season_key, rounds, seed, y)
+    test = df.where("is_test").select("date", y, season_key).withColumns({"_x": _days(), "round": F.explode(F.sequence(F.lit(1), F.lit(rounds)))})
+    p = test.join(lines, "round").join(seasons, ["round", season_key], "left").withColumn(
+        "_p", F.greatest(F.col("icept") + F.col("slope") * F.col("_x") + F.coalesce("effect", F.lit(0.0)), F.lit(0.0)))
+    g = p.groupBy("date", y).agg(F.avg("_p").alias("pred_mean"), F.stddev_pop("_p").alias("s"))
+    lo, hi = F.greatest(F.col("pred_mean") - 1.96 * F.col("s"), F.lit(0.0)), F.col("pred_mean") + 1.96 * F.col("s")
+    return g.select("date", F.col(y).alias("actual"), "pred_mean", lo.alias("lower"), hi.alias("upper"), F.col(y).between(lo, hi).alias("covered"), (hi - lo).alias("width"))
+
+
 def business_checks(train: DataFrame, test: DataFrame, y="revenue", yhat="yhat") -> DataFrame:
     """Negative and extreme forecasts, recent trend direction, and the shift of the mean."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))

@@ -84,14 +84,21 @@ def dispersion_scores(df: DataFrame, cols, key="cluster") -> DataFrame:
     return g.select("davies_bouldin", (F.col("_b") * (F.col("_n") - F.col("_k")) / (F.col("_w") * (F.col("_k") - 1))).alias("calinski_harabasz"))
 
 
-def adjusted_rand(pairs: DataFrame, a="a", b="b", weight=None) -> DataFrame:
-    """Adjusted Rand index of two labelings from their contingency counts."""
+def adjusted_rand(pairs: DataFrame, a="a", b="b", weight=None, keys=()) -> DataFrame:
+    """Adjusted Rand index of two labelings from their contingency counts, for each group of ``keys``."""
+    keys = list(keys)
+
     def c2(n):
         return F.col(n) * (F.col(n) - 1) / 2
-    t = pairs.groupBy(a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    ra = t.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(c2("n"))).scalar()
-    rb = t.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(c2("n"))).scalar()
-    g = t.agg(F.sum(c2("n")).alias("s"), F.sum("n").alias("n")).withColumns({"ra": ra, "rb": rb})
+
+    def pairs_in(t, *by):
+        g = t.groupBy(*keys, *by).agg(F.sum("n").alias("n")) if by else t
+        return g.groupBy(*keys).agg(F.sum(c2("n")).alias("_p"))
+    t = pairs.groupBy(*keys, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    g = t.groupBy(*keys).agg(F.sum(c2("n")).alias("s"), F.sum("n").alias("n"))
+    for name, by in (("ra", a), ("rb", b)):
+        side = pairs_in(t, by).withColumnRenamed("_p", name)
+        g = g.join(side, keys) if keys else g.withColumn(name, side.scalar())
     exp = F.col("ra") * F.col("rb") / (F.col("n") * (F.col("n") - 1) / 2)
     top = (F.col("ra") + F.col("rb")) / 2
-    return g.select(F.coalesce(F.try_divide(F.col("s") - exp, top - exp), F.lit(1.0)).alias("ari"))
+    return g.select(*keys, F.coalesce(F.try_divide(F.col("s") - exp, top - exp), F.lit(1.0)).alias("ari"))

@@ -97,7 +97,7 @@ def churn_sides(t):
     """Churn features of each side at its own cut, with the recency stand-in as the score."""
     out = []
     for part, cut in zip(sides(t, *LINE_COLS), ("1998-06-30", "2001-08-01")):
-        b = FT.churn_base(part, cut).withColumn("product_diversity", F.col("unique_products") / F.col("total_orders"))
+        b = FT.churn_base(part, cut, S.CHURN_MONITOR).withColumn("product_diversity", F.col("unique_products") / F.col("total_orders"))
         out.append(materialize(b.select("customer_id", *S.CHURN_MONITOR, F.least(F.lit(1.0), F.col("recency_days") / 365).alias("churn_probability"))))
     return out
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import qcut
+from ..operators import asof as AT
 from ..operators import features as FT
 from ..operators import segments as SG
 from ..session import materialize
@@ -215,21 +216,21 @@ FC = GAPS + f""",
     CASE WHEN total_orders <= 1 THEN 'Cold-Start' ELSE 'Established' END AS prediction_tier FROM b5 LEFT JOIN lab USING (customer_id))"""
 
 
-def churn_frame(t):
-    return FT.churn_features(lines(t), CUT_DATE)
+def churn_frame(t, columns=None):
+    return FT.churn_features(lines(t), CUT_DATE, columns=columns)
 
 
 def _fc(key, spec, frame, src="fc"):
     spec = {"customer_id": None, **spec}
-    query(key, "sales", f"SELECT {rsql(spec)} FROM {src}", FC)(lambda t: rounded(frame(t), spec))
+    query(key, "sales", f"SELECT {rsql(spec)} FROM {src}", FC)(lambda t: rounded(frame(t, list(spec)), spec))
 
 
-def base_frame(t):
-    return FT.churn_base(lines(t), CUT_DATE)
+def base_frame(t, columns=None):
+    return FT.churn_base(lines(t), CUT_DATE, columns)
 
 
-def derived_frame(t):
-    return FT.derive_churn(base_frame(t), CUT_DATE)
+def derived_frame(t, columns=None):
+    return FT.derive_churn(base_frame(t, columns), CUT_DATE, columns=columns)
 
 
 _fc("fc1_volume_price", {"total_items": 2, "total_spent": 2, "avg_item_price": 6, "price_std": 6, "price_p25": 10, "price_cv": 6,
@@ -242,7 +243,7 @@ _fc("fc5_time_patterns", {"weekend_ratio": 6, "avg_purchase_hour": 6, "hour_std"
 _fc("fc6_window_trends", {"orders_early_30d": None, "orders_late_30d": None, "orders_early_60d": None, "orders_late_60d": None,
                           "spend_early_30d": 2, "spend_late_60d": 2, "purchase_trend_30d": 6, "purchase_trend_60d": 6,
                           "spend_trend_30d": 6, "spend_trend_60d": 6}, base_frame)
-_fc("fc7_intervals", {"interval_mean": 6, "interval_std": 5, "interval_cv": 6}, lambda t: FT.purchase_gaps(train(t)), "gap")
+_fc("fc7_intervals", {"interval_mean": 6, "interval_std": 5, "interval_cv": 6}, lambda t, _: FT.purchase_gaps(train(t)), "gap")
 _fc("fc8_density", {"purchase_density": 6, "recent_density_ratio": 6, "recency_vs_interval": 6, "recency_vs_lifespan": 6,
                     "purchase_consistency": 6, "diversity_x_freq": 6, "spend_depth": 6}, derived_frame)
 _fc("fc10_engagement", {"activity_rate": 6, "is_bulk_buyer": None, "product_diversity": 6}, derived_frame)
@@ -256,32 +257,46 @@ _fc("fc19_tier", {"prediction_tier": None}, churn_frame)
     round(coalesce(relative_spend_trend, 0), 6) AS relative_spend_trend, round(last_interval_ratio, 6) AS last_interval_ratio
     FROM gap LEFT JOIN half USING (customer_id)""", GAPS)
 def _(t):
-    return rounded(churn_frame(t), {"customer_id": None, "relative_freq_trend": 6, "relative_spend_trend": 6, "last_interval_ratio": 6})
+    spec = {"customer_id": None, "relative_freq_trend": 6, "relative_spend_trend": 6, "last_interval_ratio": 6}
+    return rounded(churn_frame(t, list(spec)), spec)
 
 
 @query("fc11_spending_profile", "sales", """SELECT customer_id, round(spending_cv, 6) AS spending_cv, round(price_range, 10) AS price_range,
     spend_peak_month, round(spend_peak_ratio, 6) AS spend_peak_ratio FROM fc JOIN peak USING (customer_id)""", FC)
 def _(t):
-    return rounded(churn_frame(t), {"customer_id": None, "spending_cv": 6, "price_range": 10, "spend_peak_month": None, "spend_peak_ratio": 6})
+    spec = {"customer_id": None, "spending_cv": 6, "price_range": 10, "spend_peak_month": None, "spend_peak_ratio": 6}
+    return rounded(churn_frame(t, list(spec)), spec)
+
+
+@query("fc20_three_cuts", "sales", " UNION ALL ".join(f"""SELECT DATE '{d}' AS cut, count(*) AS customers, CAST(sum(o) AS BIGINT) AS orders, CAST(sum(c) AS BIGINT) AS cents,
+    CAST(sum(p) AS BIGINT) AS products, round(avg(price_p25), 6) AS price_p25, CAST(sum(CASE WHEN fl IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS churned,
+    CAST(sum(CASE WHEN o <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS cold FROM (SELECT customer_id, count(DISTINCT invoice_no) AS o, sum(line_cents) AS c, count(DISTINCT stock_code) AS p,
+    quantile_cont(unit_price, 0.25) AS price_p25 FROM sales WHERE invoice_date <= TIMESTAMP '{d}' GROUP BY 1) LEFT JOIN (SELECT customer_id, min(invoice_date) AS fl FROM sales
+    WHERE invoice_date >= DATE '{d}' + 1 AND invoice_date <= TIMESTAMP '2001-06-30' GROUP BY 1) USING (customer_id)""" for d in ("2000-10-31", "2000-11-30", "2000-12-31")))
+def _(t):
+    f = AT.churn_features_at(lines(t), ["2000-10-31", "2000-11-30", "2000-12-31"], "2001-06-30")
+    return f.groupBy("cut").agg(F.count("*").alias("customers"), F.sum("total_orders").alias("orders"), F.sum(F.round(F.col("total_spent") * 100).cast("long")).alias("cents"),
+                                F.sum("unique_products").alias("products"), F.round(F.avg("price_p25"), 6).alias("price_p25"), F.sum(F.col("is_churn").cast("long")).alias("churned"),
+                                F.sum((F.col("prediction_tier") == "Cold-Start").cast("long")).alias("cold"))
 
 
 @query("fc14_cluster_onehot", "sales rfm", f"""SELECT fc.customer_id, coalesce(cluster, -1) AS cluster_id, CAST(coalesce(cluster, -1) = 0 AS INTEGER) AS cluster_0,
     CAST(coalesce(cluster, -1) = 1 AS INTEGER) AS cluster_1 FROM fc LEFT JOIN cl USING (customer_id)""", FC + ", " + CLUSTER_SQL)
 def _(t):
     from ..operators.dims import inject_clusters
-    return inject_clusters(base_frame(t).select("customer_id"), cluster_labels(t), [0, 1])
+    return inject_clusters(train(t).select("customer_id").distinct(), cluster_labels(t), [0, 1])
 
 
 @query("fc15_next_purchase", "sales", """SELECT customer_id, CAST(CASE WHEN fl - DATE '2001-02-01' <= 30 THEN 0 WHEN fl - DATE '2001-02-01' <= 90 THEN 1 ELSE 2 END
     AS INTEGER) AS purchase_window, CAST(least(coalesce(fl - DATE '2001-02-01', 180), 180) AS INTEGER) AS days_to_next FROM fc""", FC)
 def _(t):
-    return FT.next_purchase(churn_frame(t), CUT_DATE).select("customer_id", "purchase_window", "days_to_next")
+    return FT.next_purchase(churn_frame(t, ["last_purchase", "first_label_purchase"]), CUT_DATE).select("customer_id", "purchase_window", "days_to_next")
 
 
 @query("fc16_recency_extras", "sales", """SELECT customer_id, CAST(DATE '2001-02-01' - lp AS INTEGER) AS days_to_label_start, CAST(month(lp) AS INTEGER) AS last_purchase_month,
     CAST(DATE '2001-01-31' - lp AS INTEGER) AS recency_from_train_end FROM fc""", FC)
 def _(t):
-    return FT.next_purchase(churn_frame(t), CUT_DATE).select("customer_id", "days_to_label_start", "last_purchase_month", "recency_from_train_end")
+    return FT.next_purchase(churn_frame(t, ["last_purchase", "first_label_purchase"]), CUT_DATE).select("customer_id", "days_to_label_start", "last_purchase_month", "recency_from_train_end")
 
 
 @query("fc17_feature_lists", "sales", f"""SELECT customer_id, {len(FT.churn_feature_columns())} AS n_churn, {len(FT.churn_feature_columns(FT.CLV_EXCLUDE))} AS n_clv,

@@ -213,6 +213,35 @@ def _(t):
     return round_err(e, "fold").select("fold", "smape", "mae", "n")
 
 
+_OO = """oo AS (SELECT (SELECT count(*) FROM g) // 3 + k * 2 AS o FROM range(10) r(k) WHERE (SELECT count(*) FROM g) // 3 + k * 2 < (SELECT count(*) FROM g) - 4),
+    gx AS (SELECT *, date_diff('day', DATE '2000-01-01', date)::DOUBLE AS x FROM g),
+    of AS (SELECT o, regr_slope(revenue, x) AS b, regr_intercept(revenue, x) AS a FROM oo JOIN gx ON j < o GROUP BY o)"""
+
+
+@query("ts11_linear_origins", "sales", "SELECT CAST(o AS INTEGER) AS fold, date, round(b, 4) AS slope, round(a + b * x, 2) AS yhat FROM of JOIN gx ON j >= o AND j < o + 4",
+       series_sql("weekly") + ", " + held_sql("weekly") + ", " + _OO)
+def _(t):
+    r = FC.linear_at_origins(FC.build_features(series(t, "weekly"), "weekly"), "weekly")
+    return r.select("fold", "date", F.round("slope", 4).alias("slope"), F.round("yhat", 2).alias("yhat"))
+
+
+@query("ts11_linear_errors", "sales", f"""SELECT CAST(o AS INTEGER) AS fold, smape, mae, n FROM ({err_sql('fold', 'o,').replace(' FROM fold', ' FROM fold GROUP BY o')})""",
+       series_sql("weekly") + ", " + held_sql("weekly") + ", " + _OO + ", fold AS (SELECT o, revenue, a + b * x AS yhat FROM of JOIN gx ON j >= o AND j < o + 4)")
+def _(t):
+    r = FC.linear_at_origins(FC.build_features(series(t, "weekly"), "weekly"), "weekly")
+    return round_err(FC.errors(r, ["fold"]), "fold").select("fold", "smape", "mae", "n")
+
+
+@query("ts11_hybrid_origins", "sales", f"""SELECT CAST(o AS INTEGER) AS fold, smape, mae, n FROM ({err_sql('fold', 'o,').replace(' FROM fold', ' FROM fold GROUP BY o')})""",
+       series_sql("weekly") + ", " + held_sql("weekly") + ", " + _OO + """, res AS (SELECT o, week(date) AS wk, greatest(revenue - (a + b * x), 0) AS r FROM of JOIN gx ON j < o),
+    eff AS (SELECT o, wk, avg(r) AS s FROM res GROUP BY 1, 2), ov AS (SELECT o, avg(r) AS s0 FROM res GROUP BY 1),
+    fold AS (SELECT o, revenue, greatest(a + b * x + coalesce(s, s0), 0) AS yhat FROM of JOIN gx ON j >= o AND j < o + 4 JOIN ov USING (o) LEFT JOIN eff ON eff.o = of.o AND wk = week(date))""".replace("SELECT o, revenue, greatest", "SELECT of.o, revenue, greatest"))
+def _(t):
+    r = FC.rolling_origin(FC.build_features(series(t, "weekly"), "weekly"), "weekly")
+    e = FC.errors(FC.trend_seasonal(r, "week_of_year", keys=["fold"]), ["fold"])
+    return round_err(e, "fold").select("fold", "smape", "mae", "n")
+
+
 @query("ts12_segment_naive", "sales rfm", f"""SELECT cluster, {err_sql('z').replace('SELECT', '', 1).replace(' FROM z', '')} FROM (SELECT a.cluster, a.revenue, b.revenue AS yhat FROM sh a JOIN sh b ON a.cluster = b.cluster AND NOT b.is_test
     AND b.j = a.n - least(52, a.n) + (a.j - a.n) % least(52, a.n) WHERE a.is_test) GROUP BY 1""", CLUSTER_SQL + ", sc AS (SELECT s.*, cluster FROM sales s JOIN cl USING (customer_id)), " + series_sql("weekly", "s", "cluster", "sc") + """,
     sg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS m FROM s) WHERE i >= 12 AND m >= 20),
@@ -255,6 +284,29 @@ def _(t):
     return FC.bootstrap_interval(tr, te)
 
 
+_REFIT = _W + """, dr AS (SELECT *, date_diff('day', DATE '2000-01-01', date)::DOUBLE AS x, week(date) AS wk, CAST('0x' || substr(md5(b || ':' || j || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+    FROM h, range(1, 101) r(b) WHERE NOT is_test), dw AS (SELECT b, wk, x, revenue AS y, (""" + " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in FC.POISSON) + """)::DOUBLE AS w FROM dr),
+    sm AS (SELECT b, wk, sum(w) AS s0, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM dw WHERE w > 0 GROUP BY 1, 2),
+    tt AS (SELECT b, sum(s0) AS s0, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM sm GROUP BY 1),
+    ln AS (SELECT *, (sy - slope * sx) / s0 AS icept FROM (SELECT *, (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) AS slope FROM tt)),
+    ef AS (SELECT sm.b, wk, (sm.sy - icept * sm.s0 - slope * sm.sx) / sm.s0 AS e FROM sm JOIN ln USING (b)),
+    pr AS (SELECT date, revenue, greatest(icept + slope * date_diff('day', DATE '2000-01-01', date) + coalesce(e, 0), 0) AS p
+    FROM h JOIN ln ON TRUE LEFT JOIN ef ON ef.b = ln.b AND wk = week(date) WHERE is_test),
+    bd AS (SELECT date, revenue AS actual, avg(p) AS m, stddev_pop(p) AS s FROM pr GROUP BY 1, 2)"""
+
+
+@query("ts14_refit_lines", "sales", "SELECT CAST(b AS INTEGER) AS round, round(slope, 4) AS slope, round(icept, 1) AS icept FROM ln", _REFIT)
+def _(t):
+    return FC.refits(held(t), "week_of_year")[0].select("round", F.round("slope", 4).alias("slope"), F.round("icept", 1).alias("icept"))
+
+
+@query("ts14_refits", "sales", """SELECT date, actual, round(m, 2) AS pred_mean, round(greatest(m - 1.96::DOUBLE * s, 0), 2) AS lower, round(m + 1.96::DOUBLE * s, 2) AS upper,
+    actual BETWEEN greatest(m - 1.96::DOUBLE * s, 0) AND m + 1.96::DOUBLE * s AS covered, round(m + 1.96::DOUBLE * s - greatest(m - 1.96::DOUBLE * s, 0), 2) AS width FROM bd""", _REFIT)
+def _(t):
+    r = FC.refit_interval(held(t), "week_of_year")
+    return r.select("date", "actual", *[F.round(c, 2).alias(c) for c in ("pred_mean", "lower", "upper", "width")], "covered")
+
+
 @query("ts15_business_checks", "sales", """SELECT count(*) FILTER (WHERE yhat < 0) AS negative_predictions, count(*) FILTER (WHERE yhat > 2 * (SELECT max(revenue) FROM h WHERE NOT is_test)) AS extreme_predictions,
     (avg(revenue) FILTER (WHERE k <= 4) > avg(revenue) FILTER (WHERE k BETWEEN 5 AND 8)) = (avg(yhat) FILTER (WHERE k <= 4) > avg(yhat) FILTER (WHERE k BETWEEN 5 AND 8)) AS direction_match,
     round(abs(avg(revenue) - (SELECT avg(revenue) FROM h WHERE NOT is_test)) / (SELECT avg(revenue) FROM h WHERE NOT is_test) * 100, 6) AS shift_pct

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import asof as AT
 from ..operators import clustering as KC
 from ..operators import features as FT
 from ..operators import forecast as FC
+from ..operators import lloyd as LL
 from ..operators import models as M
 from ..operators import scoring as SC
 from ..functions.quantiles import qcut
@@ -60,6 +62,26 @@ def _(t):
     return KC.fit_kmeans(d, 4).transform(d).select("customer_id", "cluster")
 
 
+@query("km6_best_of_ten")
+def _(t):
+    p = materialize(LL.points(scaled(t)))
+    best = LL.best_starts(p, range(3, 8))
+    sil = LL.silhouettes(p, [c for c, _ in best.values()])
+    return rows(t, [(k, i, s) for (k, (_, i)), s in zip(best.items(), sil)], "k int, inertia double, silhouette double")
+
+
+@query("km7_best_of_ten")
+def _(t):
+    p = materialize(LL.points(scaled(t)))
+    return LL.labels(p, LL.best_starts(p, [4])[4][0])
+
+
+@query("km12_thirty_samples")
+def _(t):
+    p = materialize(LL.points(scaled(t)))
+    return LL.stability(p, LL.best_starts(p, [4])[4][0]).agg(F.count("*").alias("rounds"), F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"))
+
+
 @query("km8_bisecting")
 def _(t):
     lab, ok = KC.bisecting(scaled(t), 4)
@@ -175,7 +197,7 @@ def _(t):
 def _(t):
     li = lines(t)
     model = M.gbt(8).fit(M.with_class_weight(materialize(M.assemble(FT.churn_features(li, "2000-07-31", "2001-01-31"), COLS_C, "is_churn"))))
-    return M.out_of_time(li, model, COLS_C, ["2000-10-31", "2000-12-31"], "2001-06-30")
+    return M.out_of_time(li, model, COLS_C, ["2000-10-31", "2000-11-30", "2000-12-31"], "2001-06-30")
 
 
 CLV_COLS = FT.churn_feature_columns(FT.CLV_EXCLUDE)
@@ -210,11 +232,10 @@ def _(t):
 
 
 def _windows(t):
-    """Feature frames at an earlier cut for training and a later one for validation."""
-    li = lines(t)
-    early = materialize(FT.churn_features(li, "2000-07-31", "2000-12-31"))
-    late = materialize(FT.churn_features(li, CUT_DATE, "2001-06-30"))
-    return early, late
+    """Feature frames at an earlier cut for training and a later one for validation, from one reading of the lines."""
+    cuts = ["2000-07-31", CUT_DATE]
+    both = materialize(AT.churn_features_at(lines(t), cuts, ["2000-12-31", "2001-06-30"]))
+    return [both.where(F.col("cut") == F.lit(c).cast("date")) for c in cuts]
 
 
 @query("ml17_feature_selection")
