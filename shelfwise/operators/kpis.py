@@ -26,8 +26,8 @@ HEADLINE_METRICS = {
 }
 
 
-def dashboard(users, products, orders, churn, metrics) -> DataFrame:
-    """One KPI row; each table is aggregated once."""
+def dashboard(users, products, orders, churn, metrics, rfm=None) -> DataFrame:
+    """One KPI row; each table is aggregated once. With ``rfm`` it also lists the segments and their customers, by name."""
     o = orders.agg(
         F.count("*").alias("total_orders"),
         F.coalesce(F.sum(F.when(F.col("status").isin(*S.REVENUE_STATUSES), F.col("total_cents"))), F.lit(0)).alias("total_revenue"),
@@ -39,6 +39,9 @@ def dashboard(users, products, orders, churn, metrics) -> DataFrame:
         "total_users": users.agg(F.count("*")).scalar(),
         "total_products": products.where("is_active").agg(F.count("*")).scalar(),
         "churn_risk_count": churn.where("is_churn_risk").agg(F.count("*")).scalar(), "_m": picked.scalar()})
+    if rfm is not None:
+        n = rfm.groupBy("segment").agg(F.count("*").alias("count"))  # a row a segment
+        counted = counted.withColumn("rfm_segments", n.agg(F.sort_array(F.collect_list(F.struct("segment", "count")))).scalar())
     whole = ("clustering_k", "association_rules_count")
     return counted.withColumns({
         k: F.floor(f"_m.{k}").cast("long") if k in whole else F.col(f"_m.{k}") for k in HEADLINE_METRICS}).drop("_m")

@@ -82,16 +82,18 @@ def threshold_table(df: DataFrame, y="label", p="score", lo=5, hi=94, step=1) ->
     """Counts, precision, recall and F1 at every threshold (in hundredths).
 
     Scores are first counted per threshold step they reach, so the sweep sums a
-    short list instead of repeating the rows for every threshold.
+    short list instead of repeating the rows for every threshold. Thresholds that
+    no score reaches have a row, too, with a precision of 0; no rows give none.
     """
     band = F.least(F.floor(F.col(p) * 100 + 1e-9), F.lit(100)).cast("int")
     c = df.groupBy(band.alias("band")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    tot = c.agg(F.sum("pos")).scalar()
+    grid = c.agg(F.sum("pos").alias("tot")).where("tot IS NOT NULL").select("tot", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias("t"))
     reach = c.withColumn("t", F.explode(F.filter(F.sequence(F.lit(lo), F.lit(hi), F.lit(step)), lambda x: x <= F.col("band"))))
-    g = reach.groupBy("t").agg(F.sum("pos").alias("tp"), F.sum(F.col("n") - F.col("pos")).alias("fp")).withColumn("fn", tot - F.col("tp"))
+    g = grid.join(reach.groupBy("t").agg(F.sum("pos").alias("tp"), F.sum(F.col("n") - F.col("pos")).alias("fp")), "t", "left").na.fill(0, ["tp", "fp"])
+    g = g.withColumn("fn", F.col("tot") - F.col("tp"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return g.select((F.col("t") / 100).alias("threshold"), "tp", "fp", "fn", (tp / (tp + fp)).alias("precision"),
-                    F.coalesce(F.try_divide(tp.cast("double"), tp + fn), F.lit(0.0)).alias("recall"), (2 * tp / (2 * tp + fp + fn)).alias("f1"))
+    return g.select((F.col("t") / 100).alias("threshold"), "tp", "fp", "fn", F.coalesce(F.try_divide(tp.cast("double"), tp + fp), F.lit(0.0)).alias("precision"),
+                    F.coalesce(F.try_divide(tp.cast("double"), tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(2 * tp.cast("double"), 2 * tp + fp + fn), F.lit(0.0)).alias("f1"))
 
 
 def best_thresholds(table: DataFrame, min_recall=0.85, min_precision=0.35) -> DataFrame:

@@ -376,6 +376,14 @@ def _(t):
     return _dash(t)
 
 
+@query("ag1_dashboard_segments", "usr prod ord churn metrics rfm", f"""SELECT total_users, total_orders, paid_orders,
+    (SELECT string_agg(segment || '=' || n, ';' ORDER BY segment) FROM (SELECT segment, count(*) AS n FROM rfm GROUP BY 1)) AS segments FROM ({_DASH})""")
+def _(t):
+    d = K.dashboard(t.users, t.products, t.orders, t.churn, t.metrics, t.rfm)
+    text = F.array_join(F.transform("rfm_segments", lambda s: F.concat(s["segment"], F.lit("="), s["count"].cast("string"))), ";")
+    return d.select("total_users", "total_orders", "paid_orders", text.alias("segments"))
+
+
 @query("ag2_gauges", "usr prod ord churn metrics", f"""SELECT least(round(100.0::DOUBLE * paid_orders / total_orders, 1), 100.0) AS paid_rate,
     least(round(100.0::DOUBLE * churn_risk_count / total_users, 1), 100.0) AS churn_rate,
     round(total_revenue / 100.0::DOUBLE / total_users, 2) AS revenue_per_user FROM ({_DASH})""")

@@ -19,18 +19,14 @@ from ..operators import rfm as R
 from ..operators import scoring as SC
 from ..operators import segments as SG
 from ..session import materialize
-from ..sources import readers, sinks
+from ..sources import folders, sinks
 
 
 def _stage(spark, path, build, force):
-    """Write ``build()`` to ``path`` unless the table is there already; always read it back."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except readers.AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    sinks.full_refresh(build(), path)
+    """Write ``build()`` to ``path`` unless a finished table is there already; always read it back. What a failed run left
+    there is written anew."""
+    if force or not folders.finished(spark, path):
+        sinks.full_refresh(build(), path)
     return spark.read.parquet(path)
 
 
