@@ -17,7 +17,7 @@ Chernoff's bound. Pairs of short runs that share less than half of that are drop
 sets that have less than half of it there. Sizes for which no such bound holds are searched as above.
 
 Rows that share a key come sorted past one task each, in a stream: runs of up to ``SMALL`` sets become pairs there, and
-only longer runs are kept as groups. Of a longer run, each member makes a pair with the least one. Pairs are pruned by a short sketch of fixed length and by
+only longer runs are kept as groups. With ``miss``, each member of a longer run also makes a pair with the least one. Pairs are pruned by a short sketch of fixed length and by
 their sketches, and the rest verified on whole sets. Longer runs that these links leave apart are compared in square blocks of bounded size on their short sketches; of what could be links only a spanning
 forest goes on to be verified, and rounds follow until each pair of a group is known to be apart or joined by verified
 links. So all links count for the groups, and no group's pairs are written out.
@@ -427,14 +427,19 @@ def _forest(members, folds, labels, failed, percent):
     return dealt.groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
 
 
-def _open_members(long_runs, stars, labels):
-    """Members (key, node, size) of the longer runs in which not all are of one component with the least node. Most runs close
-    with the links of their stars, and none of their rows goes on."""
+def _open_runs(long_runs, stars, labels):
+    """The longer runs in which not all are of one component with the least node. Most runs close with the links of their stars, and
+    none of their rows goes on."""
     open_ = stars.select("a", "b")
     for end in ("a", "b"):
         open_ = open_.join(labels.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
     keys = long_runs.select("key", "a", "b").join(open_.where("ca <> cb").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-    members = materialize(long_runs.select("key", F.col("b").alias("node"), F.col("nb").alias("size"), "need").join(keys, "key", "left_semi").distinct())
+    return long_runs.join(keys, "key", "left_semi")
+
+
+def _members(runs):
+    """Members (key, node, size) of longer runs, without those that are in too few of them for a link."""
+    members = runs.select("key", F.col("b").alias("node"), F.col("nb").alias("size"), "need").distinct()
     often = members.groupBy("node").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need")).where("2 * places > need - need % 2")
     return materialize(members.drop("need").join(often.select("node"), "node", "left_semi"))
 
@@ -453,9 +458,11 @@ def groups(df, words=3, percent=90, miss=0.0):
     pairs = pairs.where("2 * shared >= need").select("a", "na", "b", "nb")
     folds = materialize(sig.select("node", F.col("n_shingles").cast("int").alias("size"), "fold", "wide").dropDuplicates(["node", "size"]))
     long_runs = runs.where("shared is null")
-    stars = materialize(long_runs.where("a <> b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")))
-    fits = stars.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    pairs = materialize(_close(pairs.unionByName(fits).distinct(), folds.drop("wide"), percent, "fold", _of_folds))
+    stars = materialize(long_runs.where("a <> b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))) if miss else None
+    if miss:  # with all segments sent, as without ``miss``, most stars would be of sets that are apart
+        fits = stars.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
+        pairs = pairs.unionByName(fits).distinct()
+    pairs = materialize(_close(pairs, folds.drop("wide"), percent, "fold", _of_folds))
 
     def fetch(ends, *hint):
         """Sets and sketches of some nodes: the text of one document of each."""
@@ -471,7 +478,7 @@ def groups(df, words=3, percent=90, miss=0.0):
     checked = _verified(pairs, described, percent)
     labels = materialize(components(checked.where("link = 1")))
     failed = checked.where("link = 0")
-    members = _open_members(long_runs, stars, labels)
+    members = _members(_open_runs(long_runs, stars, labels) if miss else long_runs)
     while True:
         more = materialize(_forest(members, folds, labels, failed, percent))
         if more.isEmpty():
