@@ -84,8 +84,8 @@ def exact_quantiles(df: DataFrame, value, probs, keys=(), splits=64, edges_per_k
     got = placed.groupBy(*ks).agg(F.max("_total").alias("_total"), *picks)
 
     def between(i, p):
-        part = ranks(p)[0] - ranks(p)[1]
-        return F.when(part == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part)
+        part, lo, hi = ranks(p)[0] - ranks(p)[1], F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when((part == 0) | (lo == hi), lo).otherwise(lo * (1 - part) + hi * part)  # equal values stay as they are, to the last bit
     return got.select(*keys, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"))
 
 

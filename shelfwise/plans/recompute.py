@@ -19,7 +19,7 @@ from ..operators import rfm as R
 from ..operators import scoring as SC
 from ..operators import segments as SG
 from ..session import materialize
-from ..sources import folders, sinks
+from ..sources import folders, readers, sinks
 
 
 def _stage(spark, path, build, force):

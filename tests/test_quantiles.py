@@ -17,7 +17,7 @@ def by_hand(values, probs=PROBS):
     for p in probs:
         h = (len(v) - 1) * p
         lo, part = int(h), h - int(h)
-        out.append(v[lo] if part == 0 else v[lo] * (1 - part) + v[lo + 1] * part)
+        out.append(v[lo] if part == 0 or v[lo] == v[lo + 1] else v[lo] * (1 - part) + v[lo + 1] * part)
     return out
 
 
