@@ -14,6 +14,10 @@ A document that is longer than a block spans the following blocks of its source,
 Null sources count as one source of their own, null and empty texts as of no length; sources without a target get
 weight 1, and a weight below 1 counts as 1. Repeated rows stand side by side in an order of no matter; no rows give none.
 All columns of the input are kept; position columns replace any of the same names.
+
+Ordered output moves the texts once: places and slots are found on ids and sizes alone, and from them the first document
+of each source in each part of the order. These bounds (at most sources x parts rows) tell a whole row its part, and running
+sums within the part give the places again.
 """
 
 import heapq
@@ -21,6 +25,8 @@ import heapq
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 
 def period(weights):
     """Sources by slot for one period of sum(weights) slots: released blocks, earliest deadline first."""
@@ -64,11 +70,15 @@ def phases(weights, blocks):
     return out
 
 
-def _numbered(rows, block_chars, per_bucket):
-    """Adds each document's block in its source, by the order of the md5 of its id: sums over buckets of that order, then
+def _hash(column):
+    return F.md5(F.coalesce(column.cast("string"), F.lit("")))
+
+
+def _numbered(rows, per_bucket):
+    """Adds each document's place in its source, by the order of the md5 of its id: sums over buckets of that order, then
     within a bucket, so that a large source is dealt to many tasks."""
     buckets = max(1, -(-rows.count() // per_bucket))
-    hashed = rows.withColumn("hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    hashed = rows.withColumn("hash", _hash(F.col("id")))
     hashed = hashed.withColumn("bucket", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * buckets, 32))
     key = ["source", "none", "bucket"]
     sums = hashed.groupBy(*key).agg(F.sum("chars").alias("sum"))
@@ -77,8 +87,7 @@ def _numbered(rows, block_chars, per_bucket):
     base = sums.select(*key, before.alias("base"))
     within = Window.partitionBy(*key).orderBy("hash", "chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("within", F.coalesce(F.sum("chars").over(within), F.lit(0)))
-    placed = placed.join(base, key).withColumn("place", F.col("base") + F.col("within"))
-    return placed.select("row", "id", "source", "none", "place", (F.col("place") / block_chars).cast("long").alias("block"))
+    return placed.join(base, key).withColumn("place", F.col("base") + F.col("within")).drop("bucket", "base", "within")
 
 
 def square_root_weights(chars, scale=100):
@@ -111,20 +120,47 @@ def mix(df, weights=square_root_weights, block_chars=20_000, per_bucket=50_000,
     spans = table.select("source", "none", "phase", "had", "weight", "period", "first").distinct()
     until = F.lead("had", 1, 1 << 62).over(Window.partitionBy("source", "none").orderBy("phase"))
     spans = F.broadcast(spans.withColumn("until", until)).alias("s")  # a row a source and phase: at most the square of the sources
-    placed = _numbered(df.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("id"), *named), block_chars, per_bucket).alias("p")
-    inside = F.expr("p.source = s.source and p.none = s.none and p.block >= s.had and p.block < s.until")
-    dated = placed.join(spans, inside).select("p.*", "s.phase", "s.had", "s.weight", "s.period", "s.first")
-    dated = dated.withColumn("nth", ((F.col("block") - F.col("had")) % F.col("weight")).cast("int"))
     slots = F.broadcast(table.select("source", "none", "phase", "nth", "at"))  # at most sources x W rows for each phase
-    slot = F.col("first") + F.floor((F.col("block") - F.col("had")) / F.col("weight")) * F.col("period") + F.col("at")
-    out = dated.join(slots, ["source", "none", "phase", "nth"]).select("row", "id", "block", slot.alias("slot"), "place")
+
+    def dated(placed):
+        inside = F.expr("p.source = s.source and p.none = s.none and p.block >= s.had and p.block < s.until")
+        placed = placed.withColumn("block", (F.col("place") / block_chars).cast("long")).alias("p")
+        found = placed.join(spans, inside).select("p.*", "s.phase", "s.had", "s.weight", "s.period", "s.first")
+        found = found.withColumn("nth", ((F.col("block") - F.col("had")) % F.col("weight")).cast("int"))
+        slot = F.col("first") + F.floor((F.col("block") - F.col("had")) / F.col("weight")) * F.col("period") + F.col("at")
+        found = found.join(slots, ["source", "none", "phase", "nth"]).withColumn("slot", slot)
+        return found.drop("phase", "nth", "had", "weight", "period", "first", "at")
+
+    narrow = df.select(F.col("doc_id").alias("id"), *named)
+    whole = df.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("id"), *named)
     if ordered:
         parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(blocks.values()))
-        part = F.least(F.floor(F.col("slot") * parts / total), F.lit(parts - 1)).cast("int")
-        out = out.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("slot", "place", "id")
+        out = _in_parts(whole, dated(_numbered(narrow, per_bucket)), parts, total)
+        out = dated(out).sortWithinPartitions("slot", "place", "id")
+    else:
+        out = dated(_numbered(whole, per_bucket))
     return out.select("row.*", "block", "slot", "place")
 
 
+def _in_parts(whole, dated, parts, total):
+    """The rows of ``whole`` in ``parts`` tasks by stretches of slots, with their places, given the slots of their ids."""
+    source = ["source", "none"]
+    order = F.struct("hash", "chars")
+    part = F.least(F.floor(F.col("slot") * parts / total), F.lit(parts - 1)).cast("int")
+    narrow = materialize(dated.select(*source, "hash", "chars", "place", part.alias("part")))
+    firsts = narrow.groupBy(*source, "part").agg(F.min(order).alias("first"))
+    # at most sources x parts rows, in order of the parts; rows alike that stand on a bound go to the later part together
+    bounds = F.broadcast(firsts.groupBy(*source).agg(F.sort_array(F.collect_list(F.struct("first", "part"))).alias("bounds")))
+    of_row = F.element_at(F.filter("bounds", lambda b: b["first"] <= order), -1)["part"]
+    narrow = narrow.drop("part").join(bounds, source).withColumn("part", of_row)
+    base = F.broadcast(narrow.groupBy(*source, "part").agg(F.min("place").alias("base")))
+    moved = whole.withColumn("hash", _hash(F.col("id"))).join(bounds, source).withColumn("part", of_row).drop("bounds")
+    moved = moved.repartitionById(parts, "part")
+    within = Window.partitionBy("part", *source).orderBy("hash", "chars").rowsBetween(Window.unboundedPreceding, -1)
+    placed = moved.withColumn("within", F.coalesce(F.sum("chars").over(within), F.lit(0)))
+    return placed.join(base, [*source, "part"]).withColumn("place", F.col("base") + F.col("within"))
+
+
 def mixture(docs, **options):
     """Per document: doc_id, source, block, slot, place."""
     narrow = docs.select("doc_id", "source", F.length("text").alias("size"))

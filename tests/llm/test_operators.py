@@ -186,6 +186,21 @@ def test_vote_is_exact():
         assert abs(s - (w * label[near]).sum() / w.sum()) < 1e-9
 
 
+def test_pfair_ordered_rows_have_the_slots_of_the_mixture(spark):
+    rows = [(None if i % 11 == 0 else i // 2, ("a", "b", None)[i % 3 if i % 5 else 0], "x" * (37 * i % 900), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, part int").repartition(5)
+    plain = pfair.mix(df, {"a": 2, "b": 3}, block_chars=1_500, per_bucket=40)
+    ordered = pfair.mix(df, {"a": 2, "b": 3}, block_chars=1_500, per_bucket=40, ordered=True)
+    assert ordered.columns == plain.columns
+    found = ordered.collect()
+    size = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", len(r["text"]), r["place"], r["block"], r["slot"])
+    assert sorted(map(size, found)) == sorted(map(size, plain.collect()))
+    assert sorted(r["part"] for r in found) == list(range(600))
+    slots = [r["slot"] for r in found]
+    hot = {r["slot"] for r in found if r["doc_id"] is None}  # rows alike on a bound stay together
+    assert [s for s in slots if s not in hot] == sorted(s for s in slots if s not in hot)
+
+
 def test_pfair_order_and_deviation():
     weights, blocks = {("a", False): 5, ("b", False): 2, ("c", False): 1, ("", True): 1}, {("a", False): 37, ("b", False): 9, ("c", False): 11, ("", True): 2}
     got = []
