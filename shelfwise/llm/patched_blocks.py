@@ -13,6 +13,7 @@ an empty table. Columns other than doc_id and text do not take part.
 """
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
-from .text import batch, crc_of, text_column, word_tokenizer
+from .text import batch, text_column, word_tokenizer
 
 MAGIC = b"PFB1"
 HEADER = struct.Struct("<4sQIII")
@@ -29,7 +30,7 @@ BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2"), (
 
 
 def _bit_length(x):
-    return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
+    return np.maximum((x.astype(np.float64).view(np.int64) >> 52) - 1022, 0).astype(np.uint8)  # from the exponent
 
 
 def pack(ids, block=128, fit=0.9):
@@ -116,27 +117,31 @@ def write_ids(df, tokenizer, path, end_id, block=128, fit=0.9, segment=1 << 16,
     stored = StructType([StructField(c, t()) for c, t in (("part", IntegerType), ("first", LongType), ("n_ids", LongType),
                                                          ("doc_ids", BinaryType), ("nulls", LongType), ("lengths", BinaryType), ("data", BinaryType))])
 
+    def kind_of(tok):
+        return "<u4" if max(tok.lib.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16 else "<u2"
+
     def encode(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         tok, out = word_tokenizer(tokenizer), to_arrow_schema(coded)
-        wide = tok.lib.get_vocab_size(with_added_tokens=True) > 1 << 16
+        kind = kind_of(tok)
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             part = np.searchsorted(bounds, np.array([-1 << 63 if i is None else i for i in ids], np.int64), "left").astype(np.int32)
             yield batch(out, part=part, doc_id=b.column("doc_id"),
-                        ids=[i.astype("<u4" if wide else "<u2").tobytes() for i in tok.each(t or "" for t in b.column("text").cast(pa.string()).to_pylist())])
+                        ids=[i.astype(kind).tobytes() + end for i in tok.each(t or "" for t in b.column("text").cast(pa.string()).to_pylist())])
 
     def segments(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         tok, out = word_tokenizer(tokenizer), to_arrow_schema(stored)
-        kind = "<u4" if tok.lib.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
+        kind = np.dtype(kind_of(tok))
         part, first, held, docs, n = None, 0, [], [], 0
 
         def flush():
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), kind)
             return batch(out, part=[part], first=[first], n_ids=[len(ids)],
                          doc_ids=[np.array([d or 0 for d in docs], "<i8").tobytes()], nulls=[sum(d is None for d in docs)],
-                         lengths=[np.array([len(h) for h in held], "<u4").tobytes()], data=[pack(ids, block, fit)])
+                         lengths=[np.array([len(h) // kind.itemsize for h in held], "<u4").tobytes()], data=[pack(ids, block, fit)])
         for b in batches:
             for p, d, raw in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
                 if held and (p != part or n >= segment):
@@ -146,9 +151,9 @@ def write_ids(df, tokenizer, path, end_id, block=128, fit=0.9, segment=1 << 16,
                 elif p != part:
                     first = 0
                 part = p
-                held.append(np.append(np.frombuffer(raw, kind).astype("<u4"), np.uint32(end_id)))
+                held.append(raw)
                 docs.append(d)
-                n += len(held[-1])
+                n += len(raw) // kind.itemsize
         if held:
             yield flush()
 
@@ -175,9 +180,10 @@ def read_ids(spark, path, with_ids=True):
                 ends = np.cumsum(lengths)
                 docs = np.frombuffer(r["doc_ids"], "<i8").tolist()
                 docs[:r["nulls"]] = [None] * r["nulls"]
-                cut = np.split(ids, ends[:-1])
-                yield batch(out, doc_id=docs, start=r["base"] + r["first"] + ends - lengths, n_tokens=lengths, ids_crc32=[crc_of(c) for c in cut],
-                            **({"ids": [c.tobytes() for c in cut]} if with_ids else {}))
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                cut = [raw[4 * a:4 * z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
+                yield batch(out, doc_id=docs, start=r["base"] + r["first"] + ends - lengths, n_tokens=lengths, ids_crc32=[zlib.crc32(c) for c in cut],
+                            **({"ids": [bytes(c) for c in cut]} if with_ids else {}))
     return table.join(F.broadcast(base), "part").mapInArrow(decode, schema)
 
 
