@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from ..session import materialize
 
 LEAF = 64
-AT_ONCE = 4  # leaves visited between two tests
+AT_ONCE = 8  # leaves visited before the first test; then four times as many before the next
 
 
 def chi_square_quantile(dims, p):
@@ -66,39 +66,61 @@ def kd_leaves(points, leaf=LEAF):
     return order, starts, np.stack([d[1] for d in done]), np.stack([d[2] for d in done])
 
 
-def search_block(queries, query_ids, vectors, ids, k, low, sure, seed):
-    """The best k of a block for each query, as (query, ids, scores) with the largest scores first and ties by id."""
-    dims = vectors.shape[1]
-    directions, limit = projection(dims, low, seed), chi_square_quantile(low, sure)
+def index_block(vectors, ids, low, seed):
+    """A block's vectors and ids in the order of its kd-tree's leaves, with projected points, their squared lengths,
+    leaf starts, box corners and the largest squared norm."""
+    directions = projection(vectors.shape[1], low, seed)
     norms = (vectors ** 2).sum(axis=1)
     most = norms.max()
     points = vectors @ directions[:-1] + np.sqrt(np.maximum(most - norms, 0))[:, None] * directions[-1]
     order, starts, least, largest = kd_leaves(points)
-    vectors, ids, points = vectors[order], ids[order], points[order]
-    for q, qid in zip(queries, query_ids):
-        at = q @ directions[:-1]
-        gap = np.maximum(least - at, 0) + np.maximum(at - largest, 0)
-        gap = (gap ** 2).sum(axis=1)
+    points = points[order]
+    return vectors[order], ids[order], points, (points ** 2).sum(axis=1), starts, least, largest, most
+
+
+def products(matrix, rows, vector):
+    """Products of some rows with a vector; of many rows, out of those of all, which need no copy."""
+    return (matrix @ vector)[rows] if 4 * len(rows) > len(matrix) else matrix[rows] @ vector
+
+
+def search_block(queries, query_ids, index, k, low, sure, seed):
+    """The best k of a block for each query, as (query, ids, scores) with the largest scores first and ties by id.
+
+    Leaves come by the distance of their boxes in growing stretches; of each, the points that the test does not rule out
+    are verified, until no leaf left passes it."""
+    vectors, ids, points, square, starts, least, largest, most = index
+    limit, sizes = chi_square_quantile(low, sure), np.diff(starts)
+    at_all = queries @ projection(vectors.shape[1], low, seed)[:-1]
+    for q, qid, at in zip(queries, query_ids, at_all):
+        gap = np.maximum(np.maximum(least - at, at - largest), 0)
+        gap = np.einsum("ij,ij->i", gap, gap)
         by_gap = np.argsort(gap, kind="stable")
         best_s, best_i, far = np.empty(0), np.empty(0, np.int64), np.inf
-        base = q @ q + most
-        for i in range(0, len(by_gap), AT_ONCE):
-            leaves = by_gap[i:i + AT_ONCE]
-            if gap[leaves[0]] > limit * far:
-                break
-            rows = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in leaves])
+        base, done, step = q @ q + most, 0, AT_ONCE
+        while done < len(by_gap) and gap[by_gap[done]] <= limit * far:
+            leaves = by_gap[done:done + step]
+            leaves = leaves[gap[leaves] <= limit * far]
+            done, step = done + step, 4 * step
+            chosen = np.zeros(len(starts) - 1, bool)
+            chosen[leaves] = True
+            rows = np.flatnonzero(np.repeat(chosen, sizes))
             if far < np.inf:
-                rows = rows[((points[rows] - at) ** 2).sum(axis=1) <= limit * far]
+                rows = rows[square[rows] - 2 * products(points, rows, at) <= limit * far - at @ at + 1e-9 * base]
             rows = rows[ids[rows] != qid]
-            s = (vectors[rows] * q).sum(axis=1)
-            best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, ids[rows]])
-            if len(best_s) > k:
-                keep = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[keep], best_i[keep]
+            s = products(vectors, rows, q)
+            if len(best_s) == k:  # no worse than the last of the best, but for rounding
+                near = s >= best_s.min() - 1e-9 * base
+                rows, s = rows[near], s[near]
+            elif len(s) > k:
+                near = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * base
+                rows, s = rows[near], s[near]
+            best_s = np.concatenate([best_s, (vectors[rows] * q).sum(axis=1)])  # one order of adding, whatever the rows beside
+            best_i = np.concatenate([best_i, ids[rows]])
+            keep = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[keep], best_i[keep]
             if len(best_s) == k:
                 far = max(base - 2 * best_s.min(), 0) * (1 + 1e-9) + 1e-12
-        keep = np.lexsort((best_i, -best_s))
-        yield int(qid), best_i[keep], best_s[keep]
+        yield int(qid), best_i, best_s
 
 
 def _packed(df, name, per_block):
@@ -122,7 +144,7 @@ def usable(df):
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(df, is_query, k=20, low=16, sure=0.97, seed=11, rows_a_block=8192, queries_a_block=512):
+def nearest(df, is_query, k=20, low=16, sure=0.97, seed=11, rows_a_block=8192, queries_a_block=2048):
     """For each row that ``is_query`` holds for: query_id, rank, vec_id, score of the k largest inner products found."""
     rows = materialize(usable(df))
     data, asked = _packed(rows, "block", rows_a_block), _packed(rows.where(is_query), "asked", queries_a_block)
@@ -134,8 +156,8 @@ def nearest(df, is_query, k=20, low=16, sure=0.97, seed=11, rows_a_block=8192, q
         for b in batches:
             for r in b.to_pylist():
                 ids, qids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["query_ids"], "<i8")
-                found = list(search_block(np.frombuffer(r["queries"], "<f8").reshape(len(qids), -1), qids,
-                                          np.frombuffer(r["data"], "<f8").reshape(len(ids), -1), ids, k, low, sure, seed))
+                index = index_block(np.frombuffer(r["data"], "<f8").reshape(len(ids), -1), ids, low, seed)
+                found = list(search_block(np.frombuffer(r["queries"], "<f8").reshape(len(qids), -1), qids, index, k, low, sure, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
                                                   pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], schema=out)
     # the stated queries against all rows, in blocks: each block of rows goes to the blocks of queries of its length
