@@ -57,7 +57,8 @@ def pack(ids, block=128, fit=0.9):
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = np.unpackbits(rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), block, 4), axis=2, bitorder="little")[:, :, :w]
+            kind = np.dtype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(rest[rows].astype(kind).view(np.uint8).reshape(len(rows), block, kind.itemsize), axis=2, bitorder="little")[:, :, :w]
             packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             out[start[rows, None] + BLOCK_HEAD.itemsize + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(over)
@@ -87,9 +88,10 @@ def unpack(data, first=0, last=None):
         if w:
             rows = np.flatnonzero(width == w)
             packed = body[start[rows, None] + BLOCK_HEAD.itemsize + np.arange((int(w) * block + 7) // 8)]
-            bits = np.zeros((len(rows), block, 32), np.uint8)
+            kind = np.dtype("<u2" if w <= 16 else "<u4")
+            bits = np.zeros((len(rows), block, 8 * kind.itemsize), np.uint8)
             bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little", count=int(w) * block).reshape(len(rows), block, w)
-            out[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            out[rows] = np.packbits(bits, axis=2, bitorder="little").view(kind)[:, :, 0]
     row = np.repeat(np.arange(last - first), exceptions)
     if len(row):
         nth = np.arange(len(row)) - np.concatenate([[0], np.cumsum(exceptions)])[row]
