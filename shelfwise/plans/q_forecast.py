@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as DR
 from ..operators import forecast as FC
+from ..operators import smoothing as SM
 from ..session import materialize
 from .q_basics import _HOLS, CLUSTER_SQL, cluster_labels, holidays_between
 from .registry import query
@@ -353,3 +354,44 @@ def _(t):
 def _(t):
     h = held(t)
     return DR.psi_equal_width(h.where("NOT is_test"), h.where("is_test"), "revenue").select(F.round("psi", 6).alias("psi"))
+
+
+def _smooth_sql(m, src, name):
+    """A recursion over the periods: every grid point's state is a row, its seasons a list."""
+    grid = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for a, b, g in SM.GRID)
+    return f"""{name}_o AS (SELECT revenue AS v, row_number() OVER (ORDER BY date) AS i FROM {src}), {name}_y AS (SELECT list(v ORDER BY i) AS y, count(*) AS n FROM {name}_o),
+    {name} AS (WITH RECURSIVE f AS (
+        SELECT a, b, g, {m}::BIGINT AS i, n, list_sum(y[1:{m}]) / {m} AS l, (list_sum(y[{m} + 1:{2 * m}]) / {m} - list_sum(y[1:{m}]) / {m}) / {m} AS t,
+            list_transform(y[1:{m}], lambda x: x - list_sum(y[1:{m}]) / {m}) AS s, 0::DOUBLE AS sse, 0::DOUBLE AS sae
+        FROM {name}_y, (VALUES {grid}) w(a, b, g) WHERE n >= {2 * m}
+        UNION ALL
+        SELECT a, b, g, i, n, l2, b * (l2 - l) + (1 - b) * t, list_append(s[2:], g * (v - l2) + (1 - g) * s[1]), sse + (v - (l + t + s[1])) ** 2, sae + abs(v - (l + t + s[1]))
+        FROM (SELECT f.* REPLACE (o.i AS i), v, a * (v - s[1]) + (1 - a) * (l + t) AS l2 FROM f JOIN {name}_o o ON o.i = f.i + 1))
+        SELECT *, sqrt(sse / (n - {m})) AS rmse, sae / (n - {m}) AS mae FROM f WHERE i = n)"""
+
+
+_SMOOTH = (("daily", 7), ("monthly", 12))
+
+
+@query("ts7_level_trend_season", "sales", " UNION ALL ".join(
+    f"""SELECT '{g}' AS grain, a AS alpha, b AS beta, g AS gamma, CAST(n AS INT) AS periods, round(l, 2) AS level, round(t, 4) AS trend, round(s[1], 2) AS next_season,
+    round(s[{m}], 2) AS last_season, round(rmse, 2) AS rmse, round(mae, 2) AS mae FROM f{g}""" for g, m in _SMOOTH),
+    ", ".join(series_sql(g, g) + ", " + _smooth_sql(m, g, "f" + g) for g, m in _SMOOTH))
+def _(t):
+    return reduce(lambda a, b: a.unionByName(b), [SM.level_trend_season(FC.series(t.sales(*COLS), g), m).select(
+        F.lit(g).alias("grain"), "alpha", "beta", "gamma", "periods", F.round("level", 2).alias("level"), F.round("trend", 4).alias("trend"),
+        F.round(F.col("seasons")[0], 2).alias("next_season"), F.round(F.element_at("seasons", -1), 2).alias("last_season"),
+        F.round("rmse", 2).alias("rmse"), F.round("mae", 2).alias("mae")) for g, m in _SMOOTH])
+
+
+@query("ts7_blended_holdout", "sales", f"""SELECT 'smoothed' AS model, e.* FROM ({err_sql('sm')}) e UNION ALL SELECT 'trend_seasonal', e.* FROM ({err_sql('hy')}) e
+    UNION ALL SELECT 'blend', e.* FROM ({err_sql('bl')}) e""",
+       _W + ", " + HYB + ", tr AS (SELECT date, revenue FROM h WHERE NOT is_test), " + _smooth_sql(52, "tr", "fs") + """,
+    sm AS (SELECT date, revenue, greatest(l + (j - h.n + 1) * t + s[(j - h.n) % 52 + 1], 0) AS yhat FROM h, (SELECT * EXCLUDE (n) FROM fs ORDER BY rmse, a, b, g LIMIT 1) WHERE is_test),
+    bl AS (SELECT sm.date, sm.revenue, (0.4::DOUBLE * sm.yhat + 0.6::DOUBLE * hy.yhat) / (0.4::DOUBLE + 0.6::DOUBLE) AS yhat FROM sm JOIN hy USING (date))""")
+def _(t):
+    df = held(t)
+    models = {"smoothed": materialize(SM.smoothed_holdout(df, 52)), "trend_seasonal": FC.trend_seasonal(df, "week_of_year")}
+    models["blend"] = SM.blend(models, {"smoothed": 0.4, "trend_seasonal": 0.6})
+    return reduce(lambda a, b: a.unionByName(b), [FC.errors(f).select(
+        F.lit(m).alias("model"), *[F.round(c, d).alias(c) for c, d in (("smape", 6), ("mape", 6), ("mae", 2), ("rmse", 2))], "n") for m, f in models.items()])
