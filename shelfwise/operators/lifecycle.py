@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.quantiles import split_neighbor, split_running_sum
+from ..session import materialize
 
 
 def _by_month(log: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def price_carts(carts: DataFrame, products: DataFrame) -> DataFrame:
 def oversell_check(demand: DataFrame, products: DataFrame) -> DataFrame:
     """Demand lines in arrival order with the running demand per product against its stock.
 
-    The running sum is cut by day, so a best-seller is spread over its days.
+    The running sum is cut by day, so a best-seller is spread over its days. The demand is written, since it is summed twice.
     """
-    run = split_running_sum(demand, ["product_id"], "created_at", ["order_id", "quantity"], {"quantity": "running"})
+    run = split_running_sum(materialize(demand), ["product_id"], "created_at", ["order_id", "quantity"], {"quantity": "running"})
     return run.join(products.select("product_id", "stock"), "product_id").withColumn("fits", F.col("running") <= F.col("stock"))
 
 

@@ -7,7 +7,7 @@ from ..functions import scalars as X
 from ..operators import lifecycle as O
 from ..operators import quality as Q
 from ..operators import scoring as SC
-from ..session import materialize
+from ..session import even_parts, materialize
 from .registry import query
 
 _LEGAL = " OR ".join(f"(from_status = '{a}' AND to_status = '{b}')" for a, b in S.TRANSITIONS)
@@ -42,7 +42,10 @@ _DEM = "dem AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(sum
 
 
 def demand(t):
-    return t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+    n = even_parts(t.raw("lineitem"))
+    li = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity").repartition(n, "l_orderkey")
+    o = t.raw("orders").select("o_orderkey", "o_orderdate").repartition(n, "o_orderkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.to_date("o_orderdate").alias("created_at")).agg(
         F.sum("l_quantity").cast("long").alias("quantity"))
 
