@@ -595,8 +595,8 @@ def _(t):
 @query("so2_distinct_pairs", "tx", """SELECT 'product' AS kind, count(*) AS n FROM (SELECT DISTINCT stock_code, description FROM tx) UNION ALL
     SELECT 'customer', count(*) FROM (SELECT DISTINCT customer_id, country FROM tx)""")
 def _(t):
-    a = t.lines("stock_code", "description").distinct().select(F.lit("product").alias("kind"))
-    b = t.lines("customer_id", "country").distinct().select(F.lit("customer").alias("kind"))
+    a = t.line_products().select(F.lit("product").alias("kind"))
+    b = t.line_customers().select(F.lit("customer").alias("kind"))
     return a.unionByName(b).groupBy("kind").agg(F.count("*").alias("n"))
 
 
