@@ -273,7 +273,7 @@ def derive_churn(df: DataFrame, cut_date, keys=(), columns=None) -> DataFrame:
         "recency_score": F.least(F.lit(100.0), c("recency_days") / 365 * 100),
     })
     if columns is None or "is_bulk_buyer" in columns:
-        p90 = exact_quantiles(df, "avg_items_per_order", [0.9], keys=keys).select(*keys, F.get("q", F.lit(0)).alias("_p90"))
+        p90 = exact_quantiles(df, "avg_items_per_order", [0.9], keys=keys, edges_per_key=bool(keys)).select(*keys, F.get("q", F.lit(0)).alias("_p90"))
         df = df.join(F.broadcast(p90), list(keys)) if keys else df.withColumn("_p90", p90.scalar())  # a row a cut
         df = df.withColumn("is_bulk_buyer", (c("avg_items_per_order") > c("_p90")).cast("int")).drop("_p90")
     idle = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros("last_purchase")) / F.lit(86_400_000_000)
