@@ -6,7 +6,7 @@ stage's result to the shared folder and reads it again, so that lost executors c
 
 from shelfwise.llm import neighbour_vote, parity_join, pfair, surrogates, swap_packing
 from shelfwise.llm.queries import KEY, WORDS
-from shelfwise.llm.text import documents
+from shelfwise.llm.text import MEMO, documents
 from shelfwise.session import materialize
 
 #: The votes of neighbours, the search for near copies and the packing have no SQL; tests/llm holds ``run`` against plain Python.
@@ -37,7 +37,7 @@ def mix_sources(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Pieces of all documents, packed into sequences of at most 2048 tokens, by ranges of the mixture, which is the order of the
     files and of the rows in them."""
-    return swap_packing.pack_documents(docs, WORDS, end_id=0, capacity=2048, ordered=True)
+    return swap_packing.pack_documents(docs, WORDS, end_id=0, capacity=2048, ordered=True, runs=MEMO)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("personal_data", personal_data), ("mix_sources", mix_sources), ("pack", pack)]

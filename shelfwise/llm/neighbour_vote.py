@@ -12,7 +12,7 @@ document: the smaller, if there are more; null labels and labels of unknown docu
 scored alike, and null ids are kept.
 """
 
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-from .text import Memo, batch, free_name, shingle_hashes, text_column, word_hasher
+from .text import MEMO, at_work, batch, free_name, shingle_hashes, text_column
 
 _SHAPES = bytes.maketrans(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)),
                           b"0" * 10 + b"A" * 26 + b"a" * 26 + b"a" * 128)
@@ -33,32 +33,45 @@ def shape(word):
     return bytes(c for i, c in enumerate(s) if i == 0 or c != s[i - 1])
 
 
+class _Words(dict):
+    """Numbers of words, and by number a word's place and its shape's among the features, and its hash."""
+
+    def __init__(self, half):
+        self.half, self.places, self.shapes, self.hashes = half, array("i"), array("i"), array("Q")
+
+    def __missing__(self, word):
+        self.places.append(xxhash.xxh32_intdigest(word) % self.half)
+        self.shapes.append(self.half + xxhash.xxh32_intdigest(shape(word), 7) % self.half)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        n = self[word] = len(self)
+        return n
+
+
 class Features:
     """Counts of a text's features, as a dense vector."""
 
-    def __init__(self, size):
-        self.size, half = size, (size - REPEATS) // 2
-        self.words = Memo(lambda w: xxhash.xxh32_intdigest(w) % half)
-        self.shapes = Memo(lambda w: half + xxhash.xxh32_intdigest(shape(w), 7) % half, 200_000)
-        self.hasher = word_hasher()
+    def __init__(self, size, limit=MEMO):
+        self.size, self.half, self.limit = size, (size - REPEATS) // 2, limit
+        self.words = _Words(self.half)
 
     def __call__(self, text):
         words = (text or b"").split()
         n = len(words)
-        ids = np.fromiter(map(self.words.__getitem__, words), np.int32, n)
-        shapes = np.fromiter(map(self.shapes.__getitem__, words), np.int32, n)
+        if not n:
+            return np.zeros(self.size, np.float32)
+        if len(self.words) >= self.limit:  # between texts, since a text's numbers are looked up together
+            self.words = _Words(self.half)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int32, n)
+        ids, shapes, h = (np.frombuffer(x, x.typecode)[at] for x in (self.words.places, self.words.shapes, self.words.hashes))
         out = np.bincount(np.concatenate([ids, shapes]), minlength=self.size).astype(np.float32)
-        if n:
-            h = self.hasher(words)
-            s = shingle_hashes(h, 3)
-            lines = [x for x in text.split(b"\n") if x.strip()]
-            out[-3:] = (np.count_nonzero(h[1:] == h[:-1]), len(s) - len(np.unique(s)), (len(lines) - len(set(lines))) * n / len(lines))
+        s = shingle_hashes(h, 3)
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        out[-3:] = (np.count_nonzero(h[1:] == h[:-1]), len(s) - len(np.unique(s)), (len(lines) - len(set(lines))) * n / len(lines))
         return out
 
 
-@lru_cache(maxsize=1)
 def _features(size):
-    return Features(size)
+    return at_work(Features, size)
 
 
 def counts(df, features, *others):
@@ -104,8 +117,20 @@ def _unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _weigh(x, idf):
-    return _unit(np.sqrt(x) * idf)
+def _weigh(x, idf, block=128):
+    """In place, as ``x`` is the largest array of a task."""
+    np.sqrt(x, out=x)
+    x *= idf
+    for i in range(0, len(x), block):
+        x[i:i + block] = _unit(x[i:i + block])
+    return x
+
+
+def _rows(f, texts):
+    x = np.empty((len(texts), f.size), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = f(t)
+    return x
 
 
 def vote(vectors, model, k=15, power=4, block=512):
@@ -138,9 +163,10 @@ def score(df, model, key="doc_id", k=15, power=4):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                x = np.stack([f(t) for t in part.column("text").to_pylist()])
+                x = _rows(f, part.column("text").to_pylist())
+                some = x.any(axis=1)
                 s = vote(_unit(_weigh(x, m["idf"]) @ m["directions"]), m, k, power)
-                yield batch(out, **{key: part.column(key), "score": np.where(x.any(axis=1), s, 0.0)})
+                yield batch(out, **{key: part.column(key), "score": np.where(some, s, 0.0)})
     return text_column(df, key).mapInArrow(run, schema)
 
 
@@ -148,7 +174,8 @@ def keep(df, model, threshold=0.3, **options):
     """The rows of ``df``, all columns, whose score reaches the threshold."""
     if model is None:
         return df.where(F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) > 0)
-    own = free_name(df, "own_text")
+    is_text = dict(df.dtypes).get("text") == "string"  # then its bytes are taken from the column itself
+    own = "text" if is_text else free_name(df, "own_text")
     shared, columns, schema = df.sparkSession.sparkContext.broadcast(model), df.columns, df.schema
 
     def run(batches):
@@ -157,10 +184,12 @@ def keep(df, model, threshold=0.3, **options):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                x = np.stack([f(t) for t in part.column(own).to_pylist()])
+                x = _rows(f, part.column(own).cast(pa.binary()).to_pylist())
+                some = x.any(axis=1)
                 s = vote(_unit(_weigh(x, m["idf"]) @ m["directions"]), m, **options)
-                yield part.select(columns).filter(pa.array(np.where(x.any(axis=1), s, 0.0) >= threshold))
-    return df.withColumn(own, F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+                yield part.select(columns).filter(pa.array(np.where(some, s, 0.0) >= threshold))
+    given = df if is_text else df.withColumn(own, F.col("text").cast("string").cast("binary"))
+    return given.mapInArrow(run, schema)
 
 
 def held_out(key="doc_id"):

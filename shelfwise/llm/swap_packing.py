@@ -24,28 +24,31 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, Str
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .text import batch, crc_of, text_column, word_tokenizer
+from .text import RUNS, batch, crc_of, text_column, word_tokenizer
 
 
 #: Pieces that stand side by side in a file and are counted as one to find their places.
 RUN = 1_000
+SLICE = 512  # texts at once outside of their Arrow batch
 _PLACE = (("file", StringType), ("run_row", LongType), ("run_piece", IntegerType), ("in_run", IntegerType))
 
 
-def pieces(df, tokenizer, end_id, capacity, with_ids=True, placed=False):
+def pieces(df, tokenizer, end_id, capacity, with_ids=True, placed=False, runs=RUNS):
     """Per piece: row (a number of its own), doc_id, piece, start, length, ids_crc32 and, if asked, ids; ``placed``: of a frame
-    read from files also the file, the first row and piece of a run of pieces in it, and the number in that run."""
+    read from files also the file, the first row and piece of a run of pieces in it, and the number in that run. ``runs``: how many runs of characters a
+    worker remembers."""
     kinds = (("row", LongType), ("doc_id", LongType), ("piece", IntegerType), ("start", LongType), ("length", LongType), ("ids_crc32", LongType))
     schema = StructType([StructField(c, t()) for c, t in kinds + _PLACE * placed] + [StructField("ids", BinaryType())] * with_ids)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
-        tok, out = word_tokenizer(tokenizer), to_arrow_schema(schema)
+        tok, out = word_tokenizer(tokenizer, runs), to_arrow_schema(schema)
         row = TaskContext.get().partitionId() << 40
         run_of = (None, 0, 0, RUN)
         for b in batches:
             got = {f.name: [] for f in out}
-            texts = (t or "" for t in b.column("text").cast(pa.string()).to_pylist())
+            column = b.column("text").cast(pa.string())
+            texts = (t or "" for i in range(0, b.num_rows, SLICE) for t in column.slice(i, SLICE).to_pylist())
             places = zip(*(b.column(c).to_pylist() for c in ("file", "at"))) if placed else repeat(None)
             for d, ids, at in zip(b.column("doc_id").to_pylist(), tok.each(texts), places):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -224,10 +227,10 @@ def pack(table, capacity, group=20_000, patience=20, ordered=False):
     return dealt.repartition(n, "pack_group").groupBy("pack_group").applyInPandas(run, schema).drop("pack_place")
 
 
-def pack_documents(df, tokenizer, end_id=0, capacity=2048, group=20_000, ordered=False):
+def pack_documents(df, tokenizer, end_id=0, capacity=2048, group=20_000, ordered=False, runs=RUNS):
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``ordered``: ``df`` as read from files whose
     order the sequences shall follow."""
-    table = materialize(pieces(df, tokenizer, end_id, capacity, with_ids=False, placed=ordered))
+    table = materialize(pieces(df, tokenizer, end_id, capacity, with_ids=False, placed=ordered, runs=runs))
     return pack(table, capacity, group, ordered=ordered).drop("row")
 
 

@@ -1,7 +1,5 @@
 """Helpers shared by the document operators: rows in Arrow batches, word hashing, memoised tokenizers."""
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,7 +8,7 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than these six; ``bytes.split()`` cuts at exactly the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 MEMO = 300_000
-RUNS = 1_000_000  # of a tokenizer
+RUNS = 1_000_000  # of a tokenizer; some 170 MB
 
 
 def documents(spark, sf_dir):
@@ -97,14 +95,14 @@ class WordTokenizer:
 
     MARKS = ".,;:!?#*$%&|"
 
-    def __init__(self, path):
+    def __init__(self, path, runs=RUNS):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         added = {str(t.content): i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.special, (self.cut, self.cut_id) = list(added), next(iter(added.items()))
-        self.memo, self.old = {"": b""}, {}
+        self.memo, self.old, self.most = {"": b""}, {}, runs // 2
         self.plain = self._plain(path)
 
     def whole(self, text):
@@ -148,7 +146,7 @@ class WordTokenizer:
     def _learn(self, missing):
         """Remembers a set of runs that are not remembered yet."""
         memo, old = self.memo, self.old
-        if len(memo) + len(missing) > RUNS // 2:  # what was met lately outlives one turn
+        if len(memo) + len(missing) > self.most:  # what was met lately outlives one turn
             self.old = old = memo
             self.memo = memo = {"": b""}
         new, parts, tails = [], set(), []
@@ -219,13 +217,21 @@ class WordTokenizer:
             yield from self.many(group)
 
 
-@lru_cache(maxsize=2)
-def word_tokenizer(path):
-    """One tokenizer a process, so that the tasks of a worker share what it remembers."""
-    return WordTokenizer(path)
+_AT_WORK = {}
+
+
+def at_work(make, *args):
+    """One helper a process, shared by the tasks of a worker. Workers outlive an operator: what its helper has remembered goes
+    when the next operator asks for one of its own."""
+    if (make, args) not in _AT_WORK:
+        _AT_WORK.clear()
+        _AT_WORK[make, args] = make(*args)
+    return _AT_WORK[make, args]
+
+
+def word_tokenizer(path, runs=RUNS):
+    return at_work(WordTokenizer, path, runs)
 
 
-@lru_cache(maxsize=1)
 def word_hasher():
-    """One hasher a process."""
-    return WordHasher()
+    return at_work(WordHasher)
