@@ -12,8 +12,8 @@ Segments of few bits are shared by chance. As S exceeds D + 1 by a margin, a set
 for each partner, such a segment among those they agree on, so it sends only these; any other set sends all.
 
 A caller who bears a small chance of a miss (``miss``, for a pair at the very threshold) gets by with less: differences fall on
-segments by hashes, so fewer and fuller segments do, rich ones alone are sent, and a linked pair shares at least ``need`` keys, by
-Chernoff's bound. Pairs of short runs that share less than half of that are dropped, as are the places in longer runs of
+segments by hashes, so rich ones alone are sent, out of up to ``COPIES`` sketches by hashes of their own, which lets a small set have
+segments as rich as those of a large one, and a linked pair shares at least ``need`` keys, by Chernoff's bound. Pairs of short runs that share less than half of that are dropped, as are the places in longer runs of
 sets that have less than half of it there. Sizes for which no such bound holds are searched as above.
 
 Rows that share a key come sorted past one task each, in a stream: runs of up to ``SMALL`` sets become pairs there, and
@@ -43,6 +43,8 @@ SMALL = 16
 BLOCK = 4096
 FOLD = 512  # bits of the short sketch
 WIDE = 4  # bits a shingle, at least, of the wide one
+COPIES = 6  # sketches a set has in a band, at most
+FORESTS = 16  # of the pairs left open in a block of a run, that are verified in one round
 
 
 def _schema(**kinds):
@@ -71,6 +73,7 @@ class Bands:
         self.percent, self.miss = percent, miss
         self.plan = lru_cache(None)(self._plan)
         self.need = lru_cache(None)(self._need)
+        self.seeds = lru_cache(None)(self._seeds)
 
     def most_apart(self, a, b):
         """Largest symmetric difference of two linked sets of sizes a and b."""
@@ -93,24 +96,27 @@ class Bands:
         return range(self.of(n), self.of(max(n, 100 * n // self.percent)) + 1)
 
     def _plan(self, band):
-        """D, number of segments, least bits of a rich segment, and how many rich ones a set has at least to send only these (0: it
-        always does, since then a linked pair shares a rich one but for the chance ``miss``)."""
+        """D, number of segments, least bits of a rich segment, how many rich ones a set has at least to send only these (0: it
+        always does, since then a linked pair shares a rich one but for the chance ``miss``), and number of sketches."""
         low, high = self.least(band), self.least(band + 1) - 1
         apart = self.most_apart(high, high)
         if apart == 0:
-            return 0, 0, 0, 0
+            return 0, 0, 0, 0, 1
         if self.miss:
+            tried = sorted({max(2, round(apart * 2 ** (i / 16))) for i in range(-48, 33)})  # an eighth to four times D
             for rich in (4, 3, 2):
-                for segments in range(max(2, apart // 2), 2 * apart):
-                    if (1 - self._chance(low, apart, segments, rich)) ** segments <= self.miss:
-                        return apart, segments, rich, 0
+                enough = [(copies * segments * _at_least(rich, low / segments), segments, copies) for copies in range(1, COPIES + 1) for segments in tried
+                          if (1 - self._chance(low, apart, segments, rich)) ** (copies * segments) <= self.miss]
+                if enough:  # the one that sends the fewest keys
+                    _, segments, copies = min(enough)
+                    return apart, segments, rich, 0, copies
         for rich in (4, 3, 2):
             for spare in range(1, apart // 3 + 2):
                 segments = apart + 1 + spare
                 poor = segments * (1 - _at_least(rich, low / segments))
                 if poor + 2 * math.sqrt(poor) <= spare:
-                    return apart, segments, rich, apart + 1
-        return apart, apart + 2, 1, apart + 1
+                    return apart, segments, rich, apart + 1, 1
+        return apart, apart + 2, 1, apart + 1, 1
 
     def _chance(self, low, apart, segments, rich):
         """That a segment of a linked pair is rich and free of all differences; what they share is at least the least size's share."""
@@ -119,10 +125,11 @@ class Bands:
     def _need(self, band):
         """Keys that a linked pair of a band shares but for the chance ``miss``, by Chernoff's bound; hits of differences on
         segments hold each other back, so that the bound for independent ones holds."""
-        apart, segments, rich, least = self.plan(band)
+        apart, segments, rich, least, copies = self.plan(band)
         if not segments or least:
             return 1
         chance, shared = self._chance(self.least(band), apart, segments, rich), 0
+        segments *= copies
         while True:
             x = shared / segments
             far = (x * math.log(x / chance) if x else 0) + (1 - x) * math.log((1 - x) / (1 - chance))
@@ -130,25 +137,29 @@ class Bands:
                 return max(1, shared)
             shared += 1
 
+    @staticmethod
+    def _seeds(band, copies):
+        return np.array([[(band + (c << 32)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1] for c in range(copies)], np.uint64)
+
     def sketch(self, shingles, band):
-        """Segments of a set's sketch, 64 bits each."""
-        segments = self.plan(band)[1]
+        """Segments of a set's sketch, or of its sketches one after the other, 64 bits each."""
+        _, segments, _, _, copies = self.plan(band)
         if not segments:  # sets of such sizes link only when equal
             return np.empty(0, "<u8")
-        place = mix(shingles ^ np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(64 * segments)
-        bits = (np.bincount(place.astype(np.int64), minlength=64 * segments) & 1).astype(np.uint8)
+        place = mix(shingles ^ self.seeds(band, copies)) % np.uint64(64 * segments) + np.arange(copies, dtype=np.uint64)[:, None] * np.uint64(64 * segments)
+        bits = (np.bincount(place.ravel().astype(np.int64), minlength=64 * segments * copies) & 1).astype(np.uint8)
         return np.packbits(bits, bitorder="little").view("<u8")
 
     def keys(self, shingles):
         """Join keys of a set: a hash of band, segment and value for each segment sent."""
         out = []
         for band in self.bands(len(shingles)):
-            _, segments, rich, least = self.plan(band)
+            _, segments, rich, least, _ = self.plan(band)
             if segments:
                 s = self.sketch(shingles, band)
                 where = np.flatnonzero(np.bitwise_count(s) >= rich)
                 if len(where) < least:
-                    where = np.arange(segments)
+                    where = np.arange(len(s))
                 with np.errstate(over="ignore"):
                     out.append(mix(mix(s[where] + np.uint64(band << 32)) + where.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -377,34 +388,37 @@ def _joined(labels, links):
     return materialize(kept.unionByName(moved))
 
 
-def _forest(members, folds, labels, failed, percent):
-    """For members (key, node, size) of long runs: a spanning forest, per pair of blocks of a run, of the pairs of different
-    components that short sketches leave open, without those that failed."""
+def _forest(members, folds, labels, failed, crowded, percent):
+    """For members (node, size, keys) of long runs: up to ``FORESTS`` spanning forests, per pair of blocks of a run, of the pairs of
+    different components that short sketches leave open, without those that failed. Each forest takes what those before it leave
+    over, so that pairs that fail on their whole sets have others in their place. Joins are by node; keys come after them."""
     schema = _schema(a=LongType, b=LongType)
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    open_ = placed.join(mixed.select("key", "n"), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = open_.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "component")
-    dealt = dealt.join(folds.drop("fold"), ["node", "size"])
+    placed = members.join(folds.drop("fold"), ["node", "size"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     bad = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("bad"))
-    dealt = dealt.join(bad, "node", "left")
+    placed = placed.join(bad, "node", "left")
+    dealt = placed.select(F.explode("keys").alias("key"), "node", "size", "component", "wide", "bad")
+    if crowded is None:
+        dealt = dealt.select("*", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    else:
+        dealt = dealt.join(crowded, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "component", "wide", "bad")
 
     def run(key, table):
         _, i, j = (k.as_py() for k in key)
         order = np.argsort(table.column("size").to_numpy(), kind="stable")
         node, size, own, comp = (table.column(c).to_numpy()[order] for c in ("node", "size", "own", "component"))
+        if (comp == comp[0]).all():
+            return _arrow(schema).empty_table()
         size = size.astype(np.int64)
         raw = [np.frombuffer(f, "<u8") for f in table.column("wide").to_pylist()]
         raw = [raw[x] for x in order.tolist()]
         width = np.array([len(f) for f in raw])
         folds = {w: np.stack([_shorter(f[None, :], w)[0] for f in raw if len(f) >= w]) for w in np.unique(width).tolist()}  # widths rise with sizes
         skip = {int(n): set(b) for n, b in zip(table.column("node").to_pylist(), table.column("bad").to_pylist()) if b}
-        root, found = {}, []
+        forests, found = [{} for _ in range(FORESTS)], []
 
-        def find(x):
+        def find(root, x):
             while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
@@ -414,34 +428,47 @@ def _forest(members, folds, labels, failed, percent):
             w = int(width[first])
             fold = folds[w][first - int(np.searchsorted(width, w)):]
             apart = np.bitwise_count(fold[:x - first] ^ fold[x - first]).sum(axis=1, dtype=np.int64)
-            ok = (apart <= (size[first:x] + size[x]) * (100 - percent) // (100 + percent)) & (node[first:x] != node[x])
+            ok = (apart <= (size[first:x] + size[x]) * (100 - percent) // (100 + percent)) & (comp[first:x] != comp[x])
             if i != j:
                 ok &= own[first:x] != own[x]
             for y in (first + np.flatnonzero(ok)).tolist():
                 a, b = sorted((int(node[x]), int(node[y])))
-                p, q = find(int(comp[x])), find(int(comp[y]))
-                if p != q and b not in skip.get(a, ()):
-                    root[p] = q
-                    found.append((a, b))
+                if b not in skip.get(a, ()):
+                    for root in forests:
+                        p, q = find(root, int(comp[x])), find(root, int(comp[y]))
+                        if p != q:
+                            root[p] = q
+                            found.append((a, b))
+                            break
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
     return dealt.groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
 
 
-def _open_runs(long_runs, stars, labels):
-    """The longer runs in which not all are of one component with the least node. Most runs close with the links of their stars, and
-    none of their rows goes on."""
-    open_ = stars.select("a", "b")
+def _stars(runs):
+    """The members b of longer runs by the least node a, with the keys of the runs they share. A written table."""
+    stars = runs.where("shared is null").groupBy("a", "b")
+    return materialize(stars.agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("need").alias("need"), F.collect_set("key").alias("keys")))
+
+
+def _open_stars(stars, labels):
+    """The stars in which not all are of one component with the least node. Most close with their links, and none of their rows goes on."""
+    open_ = stars.where("a <> b").select("a", "b")
     for end in ("a", "b"):
         open_ = open_.join(labels.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
-    keys = long_runs.select("key", "a", "b").join(open_.where("ca <> cb").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-    return long_runs.join(keys, "key", "left_semi")
+    return stars.join(open_.where("ca <> cb").select("a").distinct(), "a", "left_semi")
+
+
+def _members(stars):
+    """Members (node, size, keys) of longer runs, one row each, without those that are in too few of them for a link. A written table."""
+    members = stars.groupBy(F.col("b").alias("node"), F.col("nb").alias("size")).agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.first("need").alias("need"))
+    return materialize(members.where(2 * F.size("keys") > F.col("need") - F.col("need") % 2).drop("need"))
 
 
-def _members(runs):
-    """Members (key, node, size) of longer runs, without those that are in too few of them for a link."""
-    members = runs.select("key", F.col("b").alias("node"), F.col("nb").alias("size"), "need").distinct()
-    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need")).where("2 * places > need - need % 2")
-    return materialize(members.drop("need").join(often.select("node"), "node", "left_semi"))
+def _crowded(members):
+    """The keys of runs with more than ``BLOCK`` members and the number of blocks they make; None if there are none."""
+    n = members.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    crowded = materialize(n.where("k > 1"))
+    return None if crowded.isEmpty() else crowded
 
 
 def _text_hash():
@@ -457,10 +484,9 @@ def groups(df, words=3, percent=90, miss=0.0):
     pairs = runs.where("shared is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.first("need").alias("need"))
     pairs = pairs.where("2 * shared >= need").select("a", "na", "b", "nb")
     folds = materialize(sig.select("node", F.col("n_shingles").cast("int").alias("size"), "fold", "wide").dropDuplicates(["node", "size"]))
-    long_runs = runs.where("shared is null")
-    stars = materialize(long_runs.where("a <> b").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))) if miss else None
+    stars = _stars(runs)
     if miss:  # with all segments sent, as without ``miss``, most stars would be of sets that are apart
-        fits = stars.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
+        fits = stars.where("a <> b").select("a", "na", "b", "nb").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
         pairs = pairs.unionByName(fits).distinct()
     pairs = materialize(_close(pairs, folds.drop("wide"), percent, "fold", _of_folds))
 
@@ -478,9 +504,10 @@ def groups(df, words=3, percent=90, miss=0.0):
     checked = _verified(pairs, described, percent)
     labels = materialize(components(checked.where("link = 1")))
     failed = checked.where("link = 0")
-    members = _members(_open_runs(long_runs, stars, labels) if miss else long_runs)
+    members = _members(_open_stars(stars, labels) if miss else stars)
+    crowded = _crowded(members)
     while True:
-        more = materialize(_forest(members, folds, labels, failed, percent))
+        more = materialize(_forest(members, folds, labels, failed, crowded, percent))
         if more.isEmpty():
             break
         new = _verified(more, fetch(_ends(more)), percent)

@@ -462,3 +462,15 @@ def test_one_of_each_decides_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, root long")
     got = sorted(r["root"] for r in parity_join.one_of_each(df).collect())
     assert got in ([0, 1, 3, 6, 7, 8, 9], [0, 1, 4, 6, 7, 8, 9])
+
+
+def test_small_sets_send_rich_segments_too():
+    """Segments of few bits are shared by chance, in runs that grow with the table; sets of 113 shingles and more send none of less than four bits."""
+    bands = parity_join.Bands(80, 1e-9)
+    for band in range(18, 30):
+        apart, segments, rich, least, copies = bands.plan(band)
+        assert rich == 4 and least == 0
+        assert (1 - bands._chance(bands.least(band), apart, segments, rich)) ** (copies * segments) <= 1e-9
+        rng = np.random.default_rng(band)
+        sets = [rng.integers(0, 1 << 63, bands.least(band), dtype=np.uint64) for _ in range(20)]
+        assert all(np.bitwise_count(s := bands.sketch(x, band)).sum() <= copies * len(x) and len(s) == copies * segments for x in sets)
