@@ -17,7 +17,8 @@ segments as rich as those of a large one, and a linked pair shares at least ``ne
 sets that have less than half of it there. Sizes for which no such bound holds are searched as above.
 
 Rows that share a key come sorted past one task each, in a stream: runs of up to ``SMALL`` sets become pairs there, and
-only longer runs are kept as groups. With ``miss``, each member of a longer run also makes a pair with the least one. Pairs are pruned by a short sketch of fixed length and by
+only longer runs are kept as groups. With ``miss``, runs of more than ``FEW`` are long already, so that a group sends at most three pairs
+for two of its keys, and each set also makes a pair with up to ``NEAREST`` of the least ones of its longer runs. Pairs are pruned by a short sketch of fixed length and by
 their sketches, and the rest verified on whole sets. Longer runs that these links leave apart are compared in square blocks of bounded size on their short sketches; of what could be links only a spanning
 forest goes on to be verified, and rounds follow until each pair of a group is known to be apart or joined by verified
 links. So all links count for the groups, and no group's pairs are written out.
@@ -32,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -40,6 +42,8 @@ from .text import batch, mix, shingle_hashes, text_column, word_hasher
 
 BAND = 1.3
 SMALL = 16
+FEW = 4  # the same with ``miss``
+NEAREST = 4  # of the least nodes of a set's longer runs, that it makes a pair with at once
 BLOCK = 4096
 FOLD = 512  # bits of the short sketch
 WIDE = 4  # bits a shingle, at least, of the wide one
@@ -228,7 +232,7 @@ def _runs(keys, percent, miss=0.0):
     schema = _schema(key=LongType, a=LongType, na=IntegerType, b=LongType, nb=IntegerType, shared=IntegerType, need=IntegerType)
 
     def run(batches):
-        out, bands = _arrow(schema), Bands(percent, miss)
+        out, bands, small = _arrow(schema), Bands(percent, miss), min(SMALL, FEW) if miss else SMALL
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         long_key = centre = None
 
@@ -241,11 +245,11 @@ def _runs(keys, percent, miss=0.0):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             length = np.diff(np.r_[start, len(key)])
             of = np.repeat(np.arange(len(start)), length)
-            is_long = (length > SMALL)[of]
+            is_long = (length > small)[of]
             if long_key is not None and len(key):
                 is_long |= key == long_key
             cols = [[], [], [], [], []]
-            for step in range(1, SMALL):
+            for step in range(1, small):
                 i = np.flatnonzero((of[step:] == of[:-step]) & ~is_long[step:]) if len(key) > step else []
                 if not len(i):
                     break
@@ -280,7 +284,7 @@ def _runs(keys, percent, miss=0.0):
             got = [g[once] for g in got]
             key = got[0]
             last = int(np.searchsorted(key, key[-1], "left"))  # the run at the end may go on
-            if len(key) - last > SMALL:
+            if len(key) - last > small:
                 yield from results(*got)
                 held = [g[:0] for g in got]
             else:
@@ -450,6 +454,14 @@ def _stars(runs):
     return materialize(stars.agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("need").alias("need"), F.collect_set("key").alias("keys")))
 
 
+def _nearest(stars, percent):
+    """Pairs of each member of longer runs with the few least nodes that it shares most of these with, of those its size allows: at most
+    ``NEAREST`` a node, however long its runs. What they leave apart is compared in blocks."""
+    fits = stars.where("a <> b").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
+    order = F.row_number().over(Window.partitionBy("b", "nb").orderBy(F.size("keys").desc(), "a", "na"))
+    return fits.withColumn("order", order).where(F.col("order") <= NEAREST).select("a", "na", "b", "nb")
+
+
 def _open_stars(stars, labels):
     """The stars in which not all are of one component with the least node. Most close with their links, and none of their rows goes on."""
     open_ = stars.where("a <> b").select("a", "b")
@@ -486,8 +498,7 @@ def groups(df, words=3, percent=90, miss=0.0):
     folds = materialize(sig.select("node", F.col("n_shingles").cast("int").alias("size"), "fold", "wide").dropDuplicates(["node", "size"]))
     stars = _stars(runs)
     if miss:  # with all segments sent, as without ``miss``, most stars would be of sets that are apart
-        fits = stars.where("a <> b").select("a", "na", "b", "nb").where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-        pairs = pairs.unionByName(fits).distinct()
+        pairs = pairs.unionByName(_nearest(stars, percent)).distinct()
     pairs = materialize(_close(pairs, folds.drop("wide"), percent, "fold", _of_folds))
 
     def fetch(ends, *hint):

@@ -1,6 +1,7 @@
 """The operators against plain versions of the same work, on the small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -474,3 +475,22 @@ def test_small_sets_send_rich_segments_too():
         rng = np.random.default_rng(band)
         sets = [rng.integers(0, 1 << 63, bands.least(band), dtype=np.uint64) for _ in range(20)]
         assert all(np.bitwise_count(s := bands.sketch(x, band)).sum() <= copies * len(x) and len(s) == copies * segments for x in sets)
+
+
+def test_pairs_of_a_large_group_grow_with_its_keys(spark):
+    """Members of a large group meet others in each of many runs: with ``miss``, pairs are at most three for two keys and a few a node."""
+    rng = random.Random(11)
+    rows = [(k, n, 200) for k in range(600) for n in rng.sample(range(400), 16 if k % 2 else 4)]
+    keys = spark.createDataFrame(rows, "key long, node long, size int")
+    runs = parity_join._runs(keys, 80, 1e-9).cache()
+    assert 0 < runs.where("shared is not null").count() <= 1.5 * len(rows) / 5  # those of the short runs, a fifth of the keys
+    stars = parity_join._stars(runs)
+    nearest = [(r["a"], r["b"]) for r in parity_join._nearest(stars, 80).collect()]
+    assert len(set(nearest)) == len(nearest) and max(Counter(b for _, b in nearest).values()) <= parity_join.NEAREST
+    held = {(r["b"], k) for r in stars.collect() for k in r["keys"]}
+    assert held == {(n, k) for k, n, _ in rows if k % 2}  # and no member of a longer run is left out
+    least = {}
+    for k, n, _ in rows:
+        least[k] = min(n, least.get(k, n))
+    assert set(nearest) <= {(least[k], n) for k, n, _ in rows if k % 2}
+    assert {b for _, b in nearest} == {n for k, n, _ in rows if k % 2 and n != least[k]}
